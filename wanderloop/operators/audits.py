@@ -29,6 +29,7 @@ from wanderloop.functions import topology
 from wanderloop.functions import vectors as V
 from wanderloop.functions.record import with_record
 from wanderloop.operators.ordered import OrderedGroups, group_sizes
+from wanderloop.operators.quantiles import join_on_keys
 from wanderloop.operators.trajectory import key_fields, pack_points, segment_of, step_gram
 
 LIFETIME_FIELDS = [
@@ -92,8 +93,9 @@ def spread(df: DataFrame, items: int) -> DataFrame:
     return df.repartition(max(1, min(items, max(4 * width, math.ceil(items / 32)))))
 
 
-def audit_rng_key(master: int, null_id: int, block_size: int) -> list[int]:
-    return [master, null_id, block_size]
+def audit_rng_key(row: dict, null_id: int) -> list[int]:
+    """Seed of one permutation; it names the null, never the task it runs in."""
+    return [row["master"], null_id, row["block_size"]]
 
 
 def null_lifetimes(
@@ -102,7 +104,7 @@ def null_lifetimes(
     settings: Sequence[Setting],
     cfg: AuditConfig,
     groups: int,
-    rng_key: Callable[[int, int, int], list[int]] = audit_rng_key,
+    rng_key: Callable[[dict, int], list[int]] = audit_rng_key,
 ) -> DataFrame:
     """Lifetimes of the observed order (null_id = -1) and of each permutation."""
     keys = list(keys)
@@ -124,8 +126,8 @@ def null_lifetimes(
                 for null_id in range(first, min(first + per_task, n_nulls)):
                     order = None
                     if null_id >= 0:
-                        key = rng_key(row["master"], null_id, row["block_size"])
-                        order = topology.block_order(n, row["block_size"], np.random.default_rng(key))
+                        rng = np.random.default_rng(rng_key(row, null_id))
+                        order = topology.block_order(n, row["block_size"], rng)
                     d = topology.distances_from_gram(gram, order)
                     euc, geo, k = topology.lifetime_pair(d, row["k0"], kmax, pct, fill)
                     head = [row[c] for c in keys]
@@ -240,22 +242,15 @@ def audit_lifetimes(
     """Observed and null lifetimes of every trajectory under every setting."""
     keys = list(keys)
     settings = list(settings or settings_of(cfg))
-    largest, _ = group_sizes(df, keys)
-    short = df
-    if largest > cfg.max_points:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        is_long = F.col("_n") > cfg.max_points
-        short = df.join(sizes.filter(~is_long).drop("_n"), keys, "left_semi")
-        long = df.join(sizes.filter(is_long).drop("_n"), keys, "left_semi")
-        packed = long_null_points(long, keys, order, point, settings, cfg)
-        n_long = sizes.filter(is_long).count()
-        from_long = lifetimes_of_moves(
-            packed, keys, cfg, n_long * len(settings) * (cfg.n_nulls + 1)
-        )
+    short, long, n_long = split_by_length(df, keys, cfg.max_points)
     groups = short.select(*keys).distinct().count()
     grams = step_gram(short, keys, order, point, cfg.max_points, cfg.chunk_cols)
-    from_short = null_lifetimes(grams, keys, settings, cfg, groups)
-    return from_short if largest <= cfg.max_points else from_short.unionByName(from_long)
+    lifetimes = null_lifetimes(grams, keys, settings, cfg, groups)
+    if long is None:
+        return lifetimes
+    moved = long_null_points(long, keys, order, point, settings, cfg)
+    items = n_long * len(settings) * (cfg.n_nulls + 1)
+    return lifetimes.unionByName(lifetimes_of_moves(moved, keys, cfg, items))
 
 
 def audit_records(lifetimes: DataFrame, cell: Sequence[str], cfg: AuditConfig) -> DataFrame:
@@ -295,7 +290,78 @@ def ambient_audit(
     return audit_records(lifetimes, [*keys, *SETTING], cfg)
 
 
-def point_audit_inputs(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], point: str, cap: int
+def split_by_length(df: DataFrame, keys: Sequence[str], cap: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(trajectories that fit one task, longer ones or None, number of longer ones)."""
+    keys = list(keys)
+    if group_sizes(df, keys)[0] <= cap:
+        return df, None, 0
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    is_long = F.col("_n") > cap
+    short = join_on_keys(df, sizes.filter(~is_long).drop("_n"), keys, "left_semi")
+    long = join_on_keys(df, sizes.filter(is_long).drop("_n"), keys, "left_semi")
+    return short, long, sizes.filter(is_long).count()
+
+
+def path_measures(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], point: str,
+    cfg: AuditConfig, settings: Sequence[Setting],
+    measure: Callable[[np.ndarray, dict], list[tuple]], fields: Sequence[T.StructField],
 ) -> DataFrame:
-    return pack_points(df, keys, order, point, cap)
+    """Apply ``measure`` to the observed path (null_id = -1) and each null path.
+
+    ``measure`` gets the checkpoints as an array and the setting, and returns
+    tuples for ``fields``. Null paths are built as in ``audit_lifetimes``.
+    """
+    keys = list(keys)
+    per_task, n_nulls = cfg.nulls_per_task, cfg.n_nulls
+    short, long, n_long = split_by_length(df, keys, cfg.max_points)
+    packed = pack_points(short, keys, order, point, cfg.max_points).filter(F.size("points") > 1)
+    batches = F.sequence(F.lit(-1), F.lit(n_nulls - 1), F.lit(per_task))
+    cells = with_settings(packed, settings).withColumn("first_null", F.explode(batches))
+    head = [
+        T.StructField("block_size", T.IntegerType()), T.StructField("k0", T.IntegerType()),
+        T.StructField("pct", T.DoubleType()), T.StructField("null_id", T.IntegerType()),
+    ]
+    schema = T.StructType(key_fields(df, keys) + head + list(fields))
+
+    def rows_for(row: dict, null_id: int, path: np.ndarray) -> list:
+        setting = {k: row[k] for k in SETTING}
+        pct = setting["pct"]
+        setting["pct"] = None if pct is None or math.isnan(pct) else pct
+        lead = [*[row[c] for c in keys], *setting.values(), null_id]
+        return [[*lead, *values] for values in measure(path, setting)]
+
+    def short_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                x = np.stack(row["points"]).astype(float)
+                steps = np.diff(x, axis=0)
+                first = row["first_null"]
+                for null_id in range(first, min(first + per_task, n_nulls)):
+                    path = x
+                    if null_id >= 0:
+                        rng = np.random.default_rng(audit_rng_key(row, null_id))
+                        moved = steps[topology.block_order(len(steps), row["block_size"], rng)]
+                        path = np.vstack([x[:1], x[:1] + moved.cumsum(axis=0)])
+                    out += rows_for(row, null_id, path)
+            yield lifetime_frame(out, schema)
+
+    def long_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                moves = np.stack(row["moves"]).astype(float)
+                path = np.vstack([np.zeros(moves.shape[1]), moves.cumsum(axis=0)])
+                out += rows_for(row, row["null_id"], path)
+            yield lifetime_frame(out, schema)
+
+    groups = short.select(*keys).distinct().count()
+    items = groups * len(settings) * math.ceil((n_nulls + 1) / per_task)
+    out = spread(cells, items).mapInPandas(short_paths, schema)
+    if long is None:
+        return out
+    moved = long_null_points(long, keys, order, point, settings, cfg)
+    return out.unionByName(
+        spread(moved, n_long * len(settings) * (n_nulls + 1)).mapInPandas(long_paths, schema)
+    )

@@ -22,7 +22,8 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     for k in keys:
         term = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         cond = term if cond is None else cond & term
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+    joined = left.join(renamed, cond, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
 def group_summary(

@@ -132,6 +132,16 @@ def step_gram(
     return gram_from_chunks(to_chunks(kept, "point", chunk_cols), keys)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def gram_of_moves(moves: pd.Series) -> pd.Series:
+    """Inner products of the increments packed in one row."""
+    def gram(rows) -> np.ndarray:
+        steps = np.stack(rows).astype(float)
+        return (steps @ steps.T).ravel()
+
+    return moves.map(gram)
+
+
 def segment_of(rank: Column, n_points: Column, cap: int) -> Column:
     """Which gap between kept checkpoints the step of 1-based ``rank`` falls in.
 
@@ -152,6 +162,6 @@ def segment_of(rank: Column, n_points: Column, cap: int) -> Column:
 
 
 __all__ = [
-    "gram_from_chunks", "key_fields", "kinematics", "pack_points", "segment_of",
+    "gram_from_chunks", "gram_of_moves", "key_fields", "kinematics", "pack_points", "segment_of",
     "step_gram", "steps_of", "stride_kept", "to_chunks",
 ]
