@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -12,6 +14,8 @@ from pyspark.sql import SparkSession
 GROUP_ROWS_CONF = "spark.wanderloop.groupRows"
 DEFAULT_GROUP_ROWS = 4_000_000
 
+_shipped: set[str] = set()
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -66,7 +70,23 @@ def build_session(app: str = "wanderloop", master: str | None = None) -> SparkSe
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="wanderloop-")) / "wanderloop.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
 
 
 def group_rows(spark: SparkSession) -> int:

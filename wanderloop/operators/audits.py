@@ -28,9 +28,10 @@ from wanderloop.config import AuditConfig, group_rows
 from wanderloop.functions import topology
 from wanderloop.functions import vectors as V
 from wanderloop.functions.record import with_record
-from wanderloop.operators.ordered import OrderedGroups, group_sizes
+from wanderloop.operators.ordered import OrderedGroups, fanned, group_sizes
 from wanderloop.operators.quantiles import join_on_keys
 from wanderloop.operators.trajectory import key_fields, pack_points, segment_of, step_gram
+from wanderloop.operators.walk_nulls import TOKEN_SPAN, hash_number
 
 LIFETIME_FIELDS = [
     T.StructField("block_size", T.IntegerType()),
@@ -167,20 +168,17 @@ def long_null_points(
         *keys, "pos", "n_points", V.difference(F.col("point"), F.col("before")).alias("step")
     )
     block = F.floor((F.col("pos") - 1) / F.col("block_size"))
-    token = F.md5(
-        F.concat_ws(
-            "|", F.col("master").cast("string"), F.col("null_id").cast("string"),
-            F.col("block_size").cast("string"), *[F.col(k).cast("string") for k in keys],
-            block.cast("string"),
-        )
+    names = ("master", "null_id", "block_size", *keys)
+    token = hash_number(
+        F.concat_ws("|", *[F.col(c).cast("string") for c in names], block.cast("string"))
     )
     cell = [*keys, *SETTING, "null_id"]
-    grid = with_settings(steps, settings).withColumn(
+    grid = with_settings(fanned(steps, *keys, "pos"), settings).withColumn(
         "null_id", F.explode(F.sequence(F.lit(-1), F.lit(cfg.n_nulls - 1)))
     )
     observed = F.col("null_id") == -1
-    grid = grid.withColumn("token", F.when(observed, F.lit("")).otherwise(token))
-    share = F.conv(F.substring("token", 1, 8), 16, 10).cast("double") / 4294967296.0
+    grid = grid.withColumn("token", F.when(observed, F.lit(0)).otherwise(token))
+    share = F.col("token") / TOKEN_SPAN
     cuts = F.ceil((F.col("n_points") - 1) / rows)
     grid = grid.withColumn(
         "cut",

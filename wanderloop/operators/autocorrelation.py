@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from wanderloop.config import group_rows
 from wanderloop.functions import vectors as V
+from wanderloop.operators.ordered import settled
 from wanderloop.operators.quantiles import join_on_keys
-from wanderloop.operators.summaries import group_summary
+from wanderloop.operators.summaries import require_short
 from wanderloop.operators.trajectory import steps_of
 
 EPS = 1e-12
@@ -132,10 +133,12 @@ def window_means(acf: DataFrame, keys: Sequence[str], lag: str = "lag", value: s
 
 def persistence_differences(windows: DataFrame, group: str) -> DataFrame:
     """Pairwise C1_20 differences of group means; the groups are a short label list."""
-    means = windows.groupBy(group).agg(F.avg("C1_20").alias("m"))
+    means = settled(windows.groupBy(group).agg(F.avg("C1_20").alias("m")))
+    require_short(means, [], 100)
     packed = means.agg(F.array_sort(F.collect_list(F.struct(group, "m"))).alias("g"))
     first = packed.select("g", F.posexplode("g").alias("i", "a"))
-    return first.select("a", F.explode(F.slice("g", F.col("i") + 2, F.greatest(F.size("g") - F.col("i") - 1, F.lit(0)))).alias("b")).select(
+    later = F.slice("g", F.col("i") + 2, F.size("g"))
+    return first.select("a", F.explode(later).alias("b")).select(
         F.col(f"a.{group}").alias(f"{group}_a"), F.col(f"b.{group}").alias(f"{group}_b"),
         (F.col("a.m") - F.col("b.m")).alias("diff"),
     )
@@ -148,6 +151,6 @@ def next_stage_suggested(windows: DataFrame, group: str, threshold: float = 0.10
 
 
 __all__ = [
-    "acf_statistics", "direction_acf", "group_summary", "magnitude_acf", "next_stage_suggested",
+    "acf_statistics", "direction_acf", "magnitude_acf", "next_stage_suggested",
     "persistence_differences", "trajectory_acf", "window_means", "with_leads",
 ]

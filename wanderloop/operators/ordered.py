@@ -20,6 +20,27 @@ from pyspark.sql import functions as F
 from wanderloop.config import ensure_checkpoint_dir, group_rows
 
 SLICE = "_slice"
+# Slices up to which the table of carried totals (two rows each) is broadcast.
+BROADCAST_SLICES = 20_000
+
+
+def fanned(df: DataFrame, *by: str) -> DataFrame:
+    """Spread rows over all task slots before each is multiplied.
+
+    Small partitions would otherwise be merged, and the multiplied rows of all
+    of them be made in one task.
+    """
+    spark = df.sparkSession
+    slots = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return df.repartition(slots, *by)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Computed once and kept in the checkpoint folder, for costly small results."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
@@ -49,7 +70,7 @@ class OrderedGroups:
             self.parts = self.keys
             return
         ensure_checkpoint_dir(df.sparkSession)
-        slices = max(2, math.ceil(2 * total / limit))
+        self.slices = slices = max(2, math.ceil(2 * total / limit))
         # The checkpoint pins which rows a slice holds: sampled range bounds
         # must not move when a lost task is run again.
         self.df = (
@@ -105,8 +126,9 @@ class OrderedGroups:
         cond = out[SLICE] == F.col("_k_slice")
         for k in self.keys:
             cond = cond & out[k].eqNullSafe(F.col(f"_k_{k}"))
-        # At most two rows per slice, see the module text.
-        joined = out.join(F.broadcast(carry), cond, "left")
+        if self.slices <= BROADCAST_SLICES:
+            carry = F.broadcast(carry)
+        joined = out.join(carry, cond, "left")
         at = position or "_at"
         fixed: dict[str, Column] = {}
         for name in lags:

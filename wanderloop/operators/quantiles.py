@@ -15,8 +15,16 @@ from wanderloop.operators.ordered import OrderedGroups, group_sizes
 BUILT_IN_ROWS = 1_000_000
 
 
-def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which NULL keys match, keeping the left copy of the keys."""
+def join_on_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: bool = False
+) -> DataFrame:
+    """Equi-join keeping the left copy of the keys.
+
+    Plain equality lets Spark reuse a partitioning by the same keys; NULL keys
+    match only with ``null_safe``, which costs that reuse.
+    """
+    if not null_safe:
+        return left.join(right, list(keys), how)
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = None
     for k in keys:
@@ -31,15 +39,18 @@ def group_summary(
     keys: Sequence[str],
     aggs: Mapping[str, Column],
     quantiles: Mapping[str, tuple[str, float]],
+    largest: int | None = None,
 ) -> DataFrame:
     """Plain aggregates and exact quantiles ``name -> (column, probability)``.
 
     Small groups take one aggregation with the built-in ``percentile``.
-    Otherwise each quantile is found by rank, see ``quantile_by_rank``.
+    Otherwise each quantile is found by rank, see ``quantiles_by_rank``.
+    ``largest`` is the size of the largest group where it is known already.
     """
     keys = list(keys)
     plain = [expr.alias(name) for name, expr in aggs.items()]
-    largest, _ = group_sizes(df, keys)
+    if largest is None:
+        largest, _ = group_sizes(df, keys)
     if largest <= min(BUILT_IN_ROWS, group_rows(df.sparkSession)):
         exact = [F.percentile(c, F.lit(float(p))).alias(name) for name, (c, p) in quantiles.items()]
         return df.groupBy(*keys).agg(*plain, *exact)
@@ -50,7 +61,7 @@ def group_summary(
     if not keys:
         raise ValueError("split quantiles need a key; use a constant column for the whole table")
     for c, probs in by_column.items():
-        out = join_on_keys(out, quantiles_by_rank(df, keys, c, probs), keys, "left")
+        out = join_on_keys(out, quantiles_by_rank(df, keys, c, probs), keys, "left", null_safe=True)
     return out.select(*keys, *aggs, *quantiles)
 
 
@@ -69,7 +80,7 @@ def quantiles_by_rank(
     )
     upto = OrderedGroups(counts, keys, [value]).scan(sums={"_upto": "_count"})
     sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    joined = join_on_keys(upto, sizes, keys)
+    joined = join_on_keys(upto, sizes, keys, null_safe=True)
     picks = []
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("_n") - 1)
@@ -86,14 +97,15 @@ def quantiles_by_rank(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], largest: int | None = None
 ) -> DataFrame:
     """Keys plus one column per named probability."""
-    return group_summary(df, keys, {}, {name: (value, p) for name, p in probs.items()})
+    return group_summary(df, keys, {}, {name: (value, p) for name, p in probs.items()}, largest)
 
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Keys, ``center`` (median) and ``mad`` (median absolute deviation)."""
-    center = exact_quantiles(df, keys, value, {"center": 0.5})
+    largest, _ = group_sizes(df, keys)
+    center = exact_quantiles(df, keys, value, {"center": 0.5}, largest)
     spread = join_on_keys(df, center, keys).withColumn("_dev", F.abs(F.col(value) - F.col("center")))
-    return join_on_keys(center, exact_quantiles(spread, keys, "_dev", {"mad": 0.5}), keys)
+    return join_on_keys(center, exact_quantiles(spread, keys, "_dev", {"mad": 0.5}, largest), keys)

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wanderloop.functions.columns import is_true_text, wilson_bounds
-from wanderloop.operators.ordered import OrderedGroups
+from wanderloop.operators.ordered import OrderedGroups, group_sizes
 from wanderloop.operators.quantiles import group_summary, join_on_keys
-from wanderloop.operators.ranks import kendall_p_column, kendall_tau_b
+from wanderloop.operators.ranks import MAX_GRID, kendall_p_column, kendall_tau_b
 
 NUMBER = "double"
 
@@ -56,12 +56,20 @@ def adjacent_flips(
     )
 
 
+def require_short(df: DataFrame, keys: Sequence[str], most: int = MAX_GRID) -> None:
+    """Stop before gathering a list that is not a short list of settings."""
+    largest, _ = group_sizes(df, keys)
+    if largest > most:
+        raise ValueError(f"{largest} grid points in one group; a sweep grid has at most {most}")
+
+
 def grid_arrays(df: DataFrame, by: Sequence[str], k: str, metrics: dict[str, Column]) -> DataFrame:
     """Per group: the k grid and each metric averaged at its points, as aligned arrays.
 
     The grid is the list of settings a sweep was run on.
     """
     points = df.groupBy(*by, k).agg(*[F.avg(m).alias(name) for name, m in metrics.items()])
+    require_short(points, by)
     packed = points.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct(F.col(k).alias("_k"), *metrics))).alias("_grid")
     )
@@ -71,8 +79,11 @@ def grid_arrays(df: DataFrame, by: Sequence[str], k: str, metrics: dict[str, Col
     return packed.select(*by, *cols)
 
 
-def sweep_analysis(df: DataFrame, p_values: bool = True) -> DataFrame:
-    """Per dataset: rates, extremes, flips over k and rank trends over the k grid."""
+def sweep_analysis(df: DataFrame, p_values: bool = True, carried: Sequence[str] = ()) -> DataFrame:
+    """Per dataset: rates, extremes, flips over k and rank trends over the k grid.
+
+    ``carried`` columns are constant within a dataset and are passed on.
+    """
     by = ["dataset"]
     trigger = df.withColumn("_fired", as_flag("formal_trigger"))
     totals = trigger.groupBy(*by).agg(
@@ -80,9 +91,11 @@ def sweep_analysis(df: DataFrame, p_values: bool = True) -> DataFrame:
         F.count(F.lit(1)).alias("n_total"),
         rate("formal_trigger").alias("formal_fire_rate"),
         F.min("pperm").alias("min_pperm"),
+        F.avg("Lobs").alias("mean_Lobs"),
         F.avg("TSR").alias("mean_TSR"),
         F.avg("zrob").alias("mean_zrob"),
         F.max("TSR").alias("max_TSR"),
+        *[F.min(c).alias(c) for c in carried],
     )
     flips = adjacent_flips(trigger, ["dataset", "seed"], ["k"], "_fired", by)
     arrays = grid_arrays(
@@ -100,6 +113,7 @@ def sweep_analysis(df: DataFrame, p_values: bool = True) -> DataFrame:
 
 def decision_sequences(df: DataFrame, keys: Sequence[str], k: str, decision: Column) -> DataFrame:
     """The k grid and the decisions along it, as comma-separated text."""
+    require_short(df, keys)
     packed = df.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), decision.alias("d")))).alias("_grid")
     )

@@ -12,17 +12,20 @@ from pyspark.sql import types as T
 
 from wanderloop.config import AuditConfig
 from wanderloop.functions import topology
+from wanderloop.functions.vectors import as_doubles
 from wanderloop.operators import locality as L
-from wanderloop.operators.audits import SETTING, ambient_audit, sensitivity_settings
+from wanderloop.operators.audits import (
+    SETTING, ambient_audit, audit_records, null_lifetimes, sensitivity_settings, settings_of,
+)
 from wanderloop.operators.calibration import calibrate
 from wanderloop.operators.controls import looped_grams
 from wanderloop.operators.decisions import archetype_decision, audit_decision
+from wanderloop.operators.ordered import settled, stride_subsample
 from wanderloop.operators.principal import pca_profile, pca_trajectories
 from wanderloop.operators.projections import projection_audit, wide_by_method
 from wanderloop.operators.static_clouds import static_cloud_audit
 from wanderloop.operators.summaries import calibration_summary, cell_summary, locality_summary
 from wanderloop.operators.trajectory import step_gram, to_chunks
-from wanderloop.operators.audits import null_lifetimes, audit_records, settings_of
 from wanderloop.plans.registry import query, table
 
 MAX_POINTS = 600
@@ -252,7 +255,7 @@ def locality_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("arch", F.lit("embedding")).withColumn(
         "optimizer", F.when(F.col("label") % 2 == 0, "even").otherwise("odd")
     ).withColumn("seed", F.col("label"))
-    return locality_summary(rows)
+    return locality_summary(settled(rows))
 
 
 @query("geodesic_apsp")
@@ -287,7 +290,7 @@ def block_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block audits summarised per block size."""
     cfg = AuditConfig(n_nulls=19, block_sizes=(1, 5, 10, 20))
     rows = ambient_audit(vectors(spark, sf_dir), KEYS, ORDER, POINT, cfg)
-    return cell_summary(rows, ["block_size"])
+    return cell_summary(settled(rows), ["block_size"])
 
 
 @query("neural_sensitivity")
@@ -297,7 +300,7 @@ def neural_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ambient_audit(
         vectors(spark, sf_dir), KEYS, ORDER, POINT, cfg, sensitivity_settings(cfg, (8, 12), (90.0, 95.0))
     )
-    return cell_summary(rows, ["k0", "pct"], with_lobs=True)
+    return cell_summary(settled(rows), ["k0", "pct"], with_lobs=True)
 
 
 @query("projection_max_test")
@@ -352,9 +355,6 @@ def pca_prefix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loop_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pure planar loop at several amplitudes must be found."""
     df, cfg = vectors(spark, sf_dir), AuditConfig(n_nulls=39)
-    from wanderloop.functions.vectors import as_doubles
-    from wanderloop.operators.ordered import stride_subsample
-
     kept = stride_subsample(
         df.select(*KEYS, *ORDER, as_doubles(F.col(POINT)).alias("point")), KEYS, ORDER, MAX_POINTS
     ).select(*KEYS, "position", "point")
@@ -372,4 +372,4 @@ def vector_walk_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """False-positive rate of the geodesic test on walks of pooled increments."""
     cfg = AuditConfig(seed=20260506, n_nulls=19, block_sizes=(1, 5))
     rows = calibrate(vectors(spark, sf_dir), KEYS, ORDER, POINT, cfg, n_calib=20, n_steps=40)
-    return calibration_summary(rows)
+    return calibration_summary(settled(rows))

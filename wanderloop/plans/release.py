@@ -150,12 +150,14 @@ INVENTORY = {
 @query("warehouse_inventory", " UNION ALL ".join(_inventory_sql(n, c) for n, c in INVENTORY.items()))
 def warehouse_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line per table: columns, rows and trigger counts."""
-    lines = []
+    rows, headers = [], []
     for name in INVENTORY:
         raw = table(spark, sf_dir, name)
-        normalized = R.normalize_formal_rule(raw.withColumn("source_csv", F.lit(name)))
-        lines.append(R.release_inventory(normalized, name, raw.columns))
-    return union_by_name(lines)
+        headers.append((name, ";".join(raw.columns)))
+        ruled = R.normalize_formal_rule(raw.withColumn("source_csv", F.lit(name)))
+        rows.append(ruled.drop(*raw.columns))
+    files = spark.createDataFrame(headers, "source_csv string, columns string")
+    return R.release_inventory(union_by_name(rows), files)
 
 
 @query(

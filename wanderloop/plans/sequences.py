@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wanderloop.operators import autocorrelation as A
-from wanderloop.operators.ordered import OrderedGroups, hash_subsample, stride_subsample
+from wanderloop.operators.ordered import OrderedGroups, hash_subsample, settled, stride_subsample
 from wanderloop.operators.quantiles import join_on_keys
 from wanderloop.operators.summaries import adjacent_flips, calibration_summary, decision_sequences
 from wanderloop.operators.trajectory import kinematics, steps_of
-from wanderloop.operators.walk_nulls import record_from_lifetimes, walk_extents
+from wanderloop.operators.walk_nulls import hash_number, record_from_lifetimes, walk_extents
 from wanderloop.plans.registry import query, table
 from wanderloop.plans.walk_tests import EXTENT_SQL, RECORD_SQL
 
@@ -332,16 +332,14 @@ def pooled_walk_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.range(N_WALKS).withColumnRenamed("id", "calib_id")
         .withColumn("pos", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(WALK_STEPS).cast("long"))))
     )
-    token = F.md5(F.concat_ws("|", F.lit("20260506"), F.col("calib_id").cast("string"), F.col("pos").cast("string")))
-    draws = draws.withColumn(
-        "idx", F.conv(F.substring(token, 1, 15), 16, 10).cast("long") % F.lit(n_pool)
-    )
+    drawn = F.concat_ws("|", F.lit("20260506"), F.col("calib_id").cast("string"), F.col("pos").cast("string"))
+    draws = draws.withColumn("idx", hash_number(drawn) % F.lit(n_pool))
     steps = draws.join(indexed, "idx").select(
         "calib_id", "pos", "step", F.lit(WALK_STEPS).cast("long").alias("n_steps")
     )
     extents = walk_extents(steps, ["calib_id"], WALK_NULLS, (1, 5, 10, 20), 42)
     record = record_from_lifetimes(extents, ["calib_id", "block_size"], tie_digits=9)
-    out = calibration_summary(record)
+    out = calibration_summary(settled(record))
     nine = ("empirical_fpr", "empirical_fpr_wilson95_lo", "empirical_fpr_wilson95_hi")
     six = ("mean_Lobs", "median_Lobs", "mean_null_median", "median_null_median", "mean_pperm", "min_pperm")
     return out.withColumns(

@@ -1,94 +1,143 @@
-"""Result tables kept as many small CSV files with differing headers."""
+"""Result tables kept as many CSV files with differing headers.
+
+All files are read by one Spark job. A row becomes a map of its cells beside
+the header of its file, so files need not share columns, and the rules of
+``roles`` run over all of them at once. Columns are spread out at the end.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanderloop.operators.roles import normalize_formal_rule, release_inventory, trigger_summary
-from wanderloop.operators.summaries import union_by_name
-
-
-def list_files(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFrame:
-    """(path, length) of matching files below the roots; contents are not read."""
-    return (
+from wanderloop.operators.roles import (
+    SUMMARY_KEYS, inputs_of_maps, release_inventory, trigger_summary, with_formal_rule,
+)
+
+# Cell texts read as missing.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+ROW_SCHEMA = (
+    "path string, row_no long, names array<string>, values map<string,string>, problem string"
+)
+
+
+def header_names(cells: Sequence[str]) -> list[str]:
+    """Column names with blanks numbered and repeats suffixed .1, .2, ..."""
+    seen: dict[str, int] = {}
+    names = []
+    for i, cell in enumerate(cells):
+        name = cell or f"Unnamed: {i}"
+        again = seen.get(name, 0)
+        seen[name] = again + 1
+        names.append(f"{name}.{again}" if again else name)
+    return names
+
+
+def parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """File contents to row maps; row_no -1 stands for the file itself."""
+    missing = set(MISSING)
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            try:
+                lines = csv.reader(io.StringIO(content.decode("utf-8"), newline=""), strict=True)
+                names = header_names(next(lines))
+                rows = [(path, -1, names, None, None)]
+                for cells in lines:
+                    if not cells:
+                        continue
+                    if len(cells) > len(names):
+                        raise ValueError(f"line {lines.line_num} has more cells than the header")
+                    kept = {n: c for n, c in zip(names, cells) if c not in missing}
+                    rows.append((path, len(rows) - 1, names, kept, None))
+            except (csv.Error, UnicodeDecodeError, StopIteration, ValueError) as exc:
+                rows = [(path, -1, None, None, f"{type(exc).__name__}: {exc}")]
+            yield pd.DataFrame(rows, columns=["path", "row_no", "names", "values", "problem"])
+
+
+def scan_result_csvs(spark: SparkSession, base: str, roots: Sequence[str]) -> DataFrame:
+    """(source_csv, row_no, names, values, problem) of all files below the roots."""
+    base = base.rstrip("/")
+    files = (
         spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(list(roots))
-        .select("path", "length")
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+        .load([f"{base}/{r}" for r in roots])
+        .select("path", "content")
+    )
+    # A file is small but parsing it is not free: deal files to all tasks.
+    spread = files.repartition(spark.sparkContext.defaultParallelism)
+    rel = F.substr(F.regexp_replace("path", r"^file:/+", "/"), F.lit(len(base) + 2))
+    return spread.mapInPandas(parse_files, ROW_SCHEMA).select(
+        rel.alias("source_csv"), "row_no", "names", "values", "problem"
     )
 
 
-def read_result_csv(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
-    """One file with its own header; blanks become NULL, never NaN."""
-    df = spark.read.csv(
-        path, header=True, inferSchema=True, nullValue="", multiLine=True, escape='"'
+def column_names(rows: DataFrame) -> list[str]:
+    """All column names in order of first appearance by path; one name per header cell."""
+    seen = (
+        rows.filter("row_no = -1 AND problem IS NULL")
+        .select("source_csv", F.posexplode("names").alias("at", "name"))
+        .groupBy("name").agg(F.min(F.struct("source_csv", "at")).alias("first"))
+        .orderBy("first")
     )
-    return df.withColumn("source_csv", F.lit(source or path))
-
-
-def read_result_csvs(
-    spark: SparkSession, base: str, roots: Sequence[str]
-) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
-    """Tables by relative path, in path order, and the files that could not be read.
-
-    Every file has its own columns, so each gets its own reader. Only the list
-    of names comes to the driver.
-    """
-    listed = list_files(spark, [f"{base}/{r}" for r in roots], "*.csv").select("path")
-    base_name = base.rstrip("/") + "/"
-    tables, failed = {}, []
-    for path in sorted({r["path"] for r in listed.toLocalIterator()}):
-        plain = path.removeprefix("file:")
-        rel = plain.split(base_name, 1)[-1]
-        try:
-            df = read_result_csv(spark, path, rel)
-        except Exception as exc:  # an unreadable file is reported, not fatal
-            failed.append((rel, str(exc).splitlines()[0]))
-            continue
-        if len(df.columns) > 1:
-            tables[rel] = df
-    return tables, failed
-
-
-def unify_types(frames: Sequence[DataFrame]) -> list[DataFrame]:
-    """Columns inferred with clashing types across files become text."""
-    types: dict[str, set[str]] = {}
-    for df in frames:
-        for name, dtype in df.dtypes:
-            types.setdefault(name, set()).add(dtype)
-    numeric = {"int", "bigint", "double"}
-    target = {}
-    for name, seen in types.items():
-        if len(seen) > 1:
-            target[name] = "double" if seen <= numeric else "string"
-    return [
-        df.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in target.items() if c in df.columns})
-        for df in frames
-    ]
+    return [r["name"] for r in seen.select("name").toLocalIterator()]
 
 
 def build_release(
     spark: SparkSession, base: str, roots: Sequence[str], allow_empty: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """(inventory, normalised rows of all files, trigger summary)."""
-    tables, _ = read_result_csvs(spark, base, roots)
-    if not tables:
+    scanned = scan_result_csvs(spark, base, roots).persist(StorageLevel.MEMORY_AND_DISK)
+    good = scanned.filter("problem IS NULL")
+    files = good.filter("row_no = -1").select(
+        "source_csv", F.array_join("names", ";").alias("columns")
+    )
+    names = column_names(scanned)
+    if not names:
         if allow_empty:
             return None
-        raise FileNotFoundError(f"no CSV files under {base}")
-    normalized = {
-        name: normalize_formal_rule(df.withColumnsRenamed({c: c.replace(".", "_") for c in df.columns}))
-        for name, df in tables.items()
-    }
-    inventory = union_by_name(
-        [release_inventory(normalized[name], name, tables[name].columns) for name in tables]
-    )
-    everything = union_by_name(unify_types(list(normalized.values())))
-    return inventory, everything, trigger_summary(everything)
+        raise FileNotFoundError(f"no readable CSV files under {base}")
+    rows = with_formal_rule(good.filter("row_no >= 0"), inputs_of_maps("values", "names"))
+    ruled = [c for c in rows.columns if c not in scanned.columns]
+    taken = {"source_csv", *(c.lower() for c in ruled)}
+    spellings: dict[str, list[str]] = {}
+    for name in names:
+        spellings.setdefault(name.lower(), []).append(name)
+    # Spark ignores case in column names: spellings of one name share a column.
+    cells = [
+        F.coalesce(*[F.try_element_at(F.col("values"), F.lit(n)) for n in same]).alias(same[0])
+        for lower, same in spellings.items() if lower not in taken
+    ]
+    everything = rows.select("source_csv", *cells, *ruled)
+    keys = [
+        F.try_element_at(F.col("values"), F.lit(k)).alias(k)
+        for k in SUMMARY_KEYS if k in names and k not in taken
+    ]
+    summary = trigger_summary(rows.select("source_csv", *keys, *ruled))
+    return release_inventory(rows, files), everything, summary
+
+
+def unreadable_files(spark: SparkSession, base: str, roots: Sequence[str]) -> DataFrame:
+    return scan_result_csvs(spark, base, roots).filter("problem IS NOT NULL").select("source_csv", "problem")
+
+
+def typed(df: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """Named text columns read as the given types; unreadable cells become NULL."""
+    return df.withColumns({c: F.col(f"`{c}`").try_cast(t) for c, t in schema.items() if c in df.columns})
+
+
+def read_result_csv(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
+    """Files that share one header; blanks become NULL, never NaN."""
+    reader = spark.read.option("header", True).option("nullValue", "")
+    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
