@@ -138,6 +138,25 @@ def filtration_end(d: np.ndarray, pct: float | None) -> float:
     return float(positive.max() if pct is None else np.percentile(positive, pct))
 
 
+def wider(mask: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Masks with room for more classes, and the new slots, highest first."""
+    had = 8 * mask.itemsize * mask.shape[2]
+    if mask.itemsize == 1:
+        mask = mask.astype(np.uint64)
+    else:
+        mask = np.concatenate([mask, np.zeros((*mask.shape[:2], 1), dtype=np.uint64)], axis=2)
+    return mask, list(range(64 * mask.shape[2] - 1, had - 1, -1))
+
+
+def relations(rel: np.ndarray) -> list[tuple[int, int]]:
+    """(batch row, mask) of each distinct non-zero mask at its first row, in row order."""
+    hit, where = np.nonzero(rel.any(axis=2)) if rel.shape[2] > 1 else np.nonzero(rel[:, :, 0])
+    raw = np.ascontiguousarray(rel[hit, where]).view(f"V{rel.itemsize * rel.shape[2]}").ravel()
+    keys = raw if rel.shape[2] > 1 else rel[hit, where, 0]
+    _, first = np.unique(keys, return_index=True)
+    return [(int(hit[f]), int.from_bytes(raw[f].tobytes(), "little")) for f in np.sort(first).tolist()]
+
+
 def h1_bars(d: np.ndarray, end: float, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """(births, deaths) of the positive H1 bars of the Rips filtration up to ``end``.
 
@@ -158,19 +177,20 @@ def h1_bars(d: np.ndarray, end: float, batch: int = 512) -> tuple[np.ndarray, np
     if n < 4 or m == 0:
         return np.empty(0), np.empty(0)
 
-    whole = np.int32 if (m + 1) * n < 2**31 else np.int64
-    rank = np.full((n, n), m, dtype=whole)
-    rank[rows, cols] = rank[cols, rows] = np.arange(m, dtype=whole)
-    # Common neighbour with the smallest larger rank, coded as rank * n + index.
-    coded = rank * whole(n) + np.arange(n, dtype=whole)
-    best = np.full((n, n), np.iinfo(whole).max, dtype=whole)
+    small = np.int16 if m < 2**15 else np.int32
+    rank = np.full((n, n), m, dtype=small)
+    rank[rows, cols] = rank[cols, rows] = np.arange(m, dtype=small)
+    # Rank of the older-than-both edge through each pair's best common
+    # neighbour; that edge names the neighbour.
+    best = np.full((n, n), m, dtype=small)
     pair = np.empty_like(best)
     for v in range(n):
-        np.maximum(coded[:, v, None], coded[None, :, v], out=pair)
+        np.maximum(rank[:, v, None], rank[None, v], out=pair)
         np.minimum(best, pair, out=best)
     best = best[rows, cols]
-    inner = best % n
-    plain = best // n < np.arange(m)
+    plain = best < np.arange(m)
+    a, b = rows[np.minimum(best, m - 1)], cols[np.minimum(best, m - 1)]
+    inner = np.where((a == rows) | (a == cols), b, a)
 
     parent = list(range(n))
 
@@ -190,10 +210,10 @@ def h1_bars(d: np.ndarray, end: float, batch: int = 512) -> tuple[np.ndarray, np
     if not opens:
         return np.empty(0), np.empty(0)
 
-    words = 1
-    free = list(range(63, -1, -1))
+    # Masks start with room for 8 open classes and widen when more are open.
+    mask = np.zeros((n, n, 1), dtype=np.uint8)
+    free = list(range(7, -1, -1))
     born: dict[int, int] = {}  # slot -> edge that opened the class in it
-    mask = np.zeros((n, n, words), dtype=np.uint64)
     bars: list[tuple[float, float]] = []
     opens_at = np.asarray(opens)
     start = 0
@@ -207,14 +227,14 @@ def h1_bars(d: np.ndarray, end: float, batch: int = 512) -> tuple[np.ndarray, np
         i, j = rows[start:stop], cols[start:stop]
         fresh = opens_at[(opens_at >= start) & (opens_at < stop)].tolist()
         while len(free) < len(fresh):
-            free = list(range(64 * words + 63, 64 * words - 1, -1)) + free
-            words += 1
-            mask = np.concatenate([mask, np.zeros((n, n, 1), dtype=np.uint64)], axis=2)
+            mask, added = wider(mask)
+            free = added + free
+        bits, layers = 8 * mask.itemsize, mask.shape[2]
+        one = mask.dtype.type(1)
         for e in fresh:
             slot = free.pop()
             born[slot] = e
-            a, b = rows[e], cols[e]
-            mask[a, b, slot // 64] = mask[b, a, slot // 64] = np.uint64(1 << (slot % 64))
+            mask[[rows[e], cols[e]], [cols[e], rows[e]], slot // bits] = 1 << (slot % bits)
         # Masks of replaceable edges; those leaning on this batch wait a pass.
         todo = np.flatnonzero(plain[start:stop])
         via = inner[start:stop]
@@ -223,42 +243,27 @@ def h1_bars(d: np.ndarray, end: float, batch: int = 512) -> tuple[np.ndarray, np
         while todo.size:
             a, b, v = i[todo], j[todo], via[todo]
             left, right = rank[a, v] - start, rank[b, v] - start
-            ready = ~((left >= 0) & pending[np.maximum(left, 0)])
-            ready &= ~((right >= 0) & pending[np.maximum(right, 0)])
+            wait = (left >= 0) & pending[np.maximum(left, 0)]
+            wait |= (right >= 0) & pending[np.maximum(right, 0)]
+            ready = ~wait
             a, b, v = a[ready], b[ready], v[ready]
             mask[a, b] = mask[b, a] = mask[a, v] ^ mask[b, v]
             pending[todo[ready]] = False
-            todo = todo[~ready]
+            todo = todo[wait]
         # Relations: triangles whose youngest edge lies in this batch.
-        inside = np.maximum(rank[i], rank[j]) < np.arange(start, stop, dtype=whole)[:, None]
+        edge = np.arange(start, stop, dtype=small)[:, None]
+        inside = np.maximum(rank[i], rank[j]) < edge
+        rel = mask[i] ^ mask[j]
+        rel ^= mask[i, j][:, None, :]
+        rel *= inside[:, :, None]
         closed: list[tuple[int, int]] = []
-        if words == 1:
-            flat = mask[:, :, 0]
-            rel = flat[i] ^ flat[j]
-            rel ^= flat[i, j][:, None]
-            rel[~inside] = 0
-            hit, where = np.nonzero(rel)
-            values, first = np.unique(rel[hit, where], return_index=True)
-            seen = [(int(hit[f]), int(values[q])) for q, f in enumerate(first.tolist())]
-        else:
-            rel = mask[i] ^ mask[j] ^ mask[i, j][:, None, :]
-            rel[~inside] = 0
-            hit, where = np.nonzero(rel.any(axis=2))
-            raw = np.ascontiguousarray(rel[hit, where]).view(f"V{8 * words}").ravel()
-            values, first = np.unique(raw, return_index=True)
-            seen = [
-                (int(hit[f]), int.from_bytes(values[q].tobytes(), "little"))
-                for q, f in enumerate(first.tolist())
-            ]
-        seen.sort(key=lambda pair: pair[0])
-        for e, vec in seen:
+        for e, vec in relations(rel) if rel.max() else ():
             for slot, other in closed:
                 if vec >> slot & 1:
                     vec ^= other
             if not vec:
                 continue
-            bits = [s for s in born if vec >> s & 1]
-            youngest = max(bits, key=born.__getitem__)
+            youngest = max((s for s in born if vec >> s & 1), key=born.__getitem__)
             birth, death = float(length[born.pop(youngest)]), float(length[start + e])
             if death > birth:
                 bars.append((birth, death))
@@ -267,11 +272,11 @@ def h1_bars(d: np.ndarray, end: float, batch: int = 512) -> tuple[np.ndarray, np
             if not born:
                 break
         for slot, vec in closed:
-            has = (mask[:, :, slot // 64] >> np.uint64(slot % 64)) & np.uint64(1)
-            for wd in range(words):
-                part = (vec >> (64 * wd)) & 0xFFFFFFFFFFFFFFFF
+            has = (mask[:, :, slot // bits] >> mask.dtype.type(slot % bits)) & one
+            for layer in range(layers):
+                part = (vec >> (bits * layer)) & ((1 << bits) - 1)
                 if part:
-                    mask[:, :, wd] ^= has * np.uint64(part)
+                    mask[:, :, layer] ^= has * mask.dtype.type(part)
             free.append(slot)
         start = stop
     bars += [(float(length[e]), np.inf) for e in born.values()]
