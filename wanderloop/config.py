@@ -89,6 +89,11 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def run_seed(arch_index: int, optimizer_index: int, offset: int, base: int = 42) -> int:
+    """Seed of one run of a sweep."""
+    return base + 10_000 * arch_index + 100 * optimizer_index + offset
+
+
 def group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_CONF, str(DEFAULT_GROUP_ROWS)))
 

@@ -307,10 +307,16 @@ def significant_bars(d: np.ndarray, pct: float | None, share: float = 0.10) -> i
 
 def lifetime_pair(
     d: np.ndarray, k0: int, kmax: int, pct: float | None = None, sentinel_fill: bool = False
-) -> tuple[float, float, int]:
-    """(Euclidean lifetime, geodesic lifetime, k used) of one distance matrix."""
+) -> tuple[float, float | None, int]:
+    """(Euclidean lifetime, geodesic lifetime, k used) of one distance matrix.
+
+    The geodesic lifetime is None when the graph stays disconnected at ``kmax``.
+    """
     straight = max_h1_lifetime(d, pct)
     if len(d) < 4:
         return straight, 0.0, 0
-    geo, k, _ = geodesic_distances(d, k0, kmax, sentinel_fill)
+    try:
+        geo, k, _ = geodesic_distances(d, k0, kmax, sentinel_fill)
+    except RuntimeError:
+        return straight, None, min(int(kmax), len(d) - 1)
     return straight, max_h1_lifetime(geo, pct), k

@@ -139,8 +139,10 @@ def null_lifetimes(
 
 
 def lifetime_frame(rows: list, schema: T.StructType) -> pd.DataFrame:
+    """Rows as a frame whose missing numbers become NULL, never NaN."""
     frame = pd.DataFrame(rows, columns=schema.names)
-    frame["pct"] = frame["pct"].astype(object).where(frame["pct"].notna(), None)
+    for c in {"pct", "L_geo"} & set(frame.columns):
+        frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
     return frame
 
 
@@ -240,8 +242,7 @@ def audit_lifetimes(
     """Observed and null lifetimes of every trajectory under every setting."""
     keys = list(keys)
     settings = list(settings or settings_of(cfg))
-    short, long, n_long = split_by_length(df, keys, cfg.max_points)
-    groups = short.select(*keys).distinct().count()
+    short, groups, long, n_long = split_by_length(df, keys, cfg.max_points)
     grams = step_gram(short, keys, order, point, cfg.max_points, cfg.chunk_cols)
     lifetimes = null_lifetimes(grams, keys, settings, cfg, groups)
     if long is None:
@@ -252,13 +253,19 @@ def audit_lifetimes(
 
 
 def audit_records(lifetimes: DataFrame, cell: Sequence[str], cfg: AuditConfig) -> DataFrame:
-    """Euclidean and geodesic permutation records with the graph-growth columns."""
+    """Euclidean and geodesic permutation records with the graph-growth columns.
+
+    A cell with a graph that stayed disconnected keeps its Euclidean record;
+    its geodesic fields are NULL and ``geo_status`` says so.
+    """
     observed = F.col("null_id") == -1
+    whole = F.count("L_geo") == F.count(F.lit(1))
     pick = lambda c: F.max(F.when(observed, F.col(c)))
     rest = lambda c: F.collect_list(F.when(~observed, F.col(c)))
     gathered = lifetimes.groupBy(*cell).agg(
         F.max("n_points").alias("N_pts"),
-        pick("L_geo").alias("_geo"), rest("L_geo").alias("_geo_nulls"),
+        F.when(whole, pick("L_geo")).alias("_geo"), F.when(whole, rest("L_geo")).alias("_geo_nulls"),
+        F.when(whole, F.lit("ok")).otherwise(F.lit("disconnected")).alias("geo_status"),
         pick("L_euc").alias("_euc"), rest("L_euc").alias("_euc_nulls"),
         pick("k_used").alias("geo_k_used_obs"), rest("k_used").alias("_k"),
     )
@@ -288,16 +295,20 @@ def ambient_audit(
     return audit_records(lifetimes, [*keys, *SETTING], cfg)
 
 
-def split_by_length(df: DataFrame, keys: Sequence[str], cap: int) -> tuple[DataFrame, DataFrame | None, int]:
-    """(trajectories that fit one task, longer ones or None, number of longer ones)."""
+def split_by_length(
+    df: DataFrame, keys: Sequence[str], cap: int
+) -> tuple[DataFrame, int, DataFrame | None, int]:
+    """Trajectories that fit one task and their number; longer ones, if any, and theirs."""
     keys = list(keys)
-    if group_sizes(df, keys)[0] <= cap:
-        return df, None, 0
+    known = group_sizes(df, keys)
+    if known.largest <= cap:
+        return df, known.groups, None, 0
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     is_long = F.col("_n") > cap
     short = join_on_keys(df, sizes.filter(~is_long).drop("_n"), keys, "left_semi")
     long = join_on_keys(df, sizes.filter(is_long).drop("_n"), keys, "left_semi")
-    return short, long, sizes.filter(is_long).count()
+    n_long = sizes.filter(is_long).count()
+    return short, known.groups - n_long, long, n_long
 
 
 def path_measures(
@@ -312,7 +323,7 @@ def path_measures(
     """
     keys = list(keys)
     per_task, n_nulls = cfg.nulls_per_task, cfg.n_nulls
-    short, long, n_long = split_by_length(df, keys, cfg.max_points)
+    short, groups, long, n_long = split_by_length(df, keys, cfg.max_points)
     packed = pack_points(short, keys, order, point, cfg.max_points).filter(F.size("points") > 1)
     batches = F.sequence(F.lit(-1), F.lit(n_nulls - 1), F.lit(per_task))
     cells = with_settings(packed, settings).withColumn("first_null", F.explode(batches))
@@ -354,7 +365,6 @@ def path_measures(
                 out += rows_for(row, row["null_id"], path)
             yield lifetime_frame(out, schema)
 
-    groups = short.select(*keys).distinct().count()
     items = groups * len(settings) * math.ceil((n_nulls + 1) / per_task)
     out = spread(cells, items).mapInPandas(short_paths, schema)
     if long is None:

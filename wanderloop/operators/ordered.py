@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,11 +44,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows in total)."""
+class GroupSizes(NamedTuple):
+    largest: int
+    total: int
+    groups: int
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> GroupSizes:
+    """Rows of the largest group, rows in total, and number of groups."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    return int(row["largest"] or 0), int(row["total"] or 0)
+    row = counts.agg(
+        F.max("n").alias("largest"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("groups")
+    ).first()
+    return GroupSizes(int(row["largest"] or 0), int(row["total"] or 0), int(row["groups"]))
 
 
 class OrderedGroups:
@@ -63,7 +72,7 @@ class OrderedGroups:
         self.keys = list(keys)
         self.order = list(order)
         limit = limit or group_rows(df.sparkSession)
-        largest, total = group_sizes(df, self.keys)
+        largest, total, _ = group_sizes(df, self.keys)
         self.is_split = largest > limit
         if not self.is_split:
             self.df = df

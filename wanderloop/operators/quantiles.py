@@ -50,13 +50,22 @@ def group_summary(
     keys = list(keys)
     plain = [expr.alias(name) for name, expr in aggs.items()]
     if largest is None:
-        largest, _ = group_sizes(df, keys)
-    if largest <= min(BUILT_IN_ROWS, group_rows(df.sparkSession)):
-        exact = [F.percentile(c, F.lit(float(p))).alias(name) for name, (c, p) in quantiles.items()]
-        return df.groupBy(*keys).agg(*plain, *exact)
+        largest = group_sizes(df, keys).largest
     by_column: dict[str, dict[str, float]] = {}
     for name, (c, p) in quantiles.items():
-        by_column.setdefault(c, {})[name] = p
+        by_column.setdefault(c, {})[name] = float(p)
+    if largest <= min(BUILT_IN_ROWS, group_rows(df.sparkSession)):
+        # One aggregate per column: each keeps its own table of values.
+        exact = [
+            F.percentile(c, F.array(*[F.lit(p) for p in probs.values()])).alias(f"_q{i}")
+            for i, (c, probs) in enumerate(by_column.items())
+        ]
+        got = df.groupBy(*keys).agg(*plain, *exact)
+        picked = {
+            name: F.get(f"_q{i}", F.lit(at))
+            for i, probs in enumerate(by_column.values()) for at, name in enumerate(probs)
+        }
+        return got.select(*keys, *aggs, *[picked[name].alias(name) for name in quantiles])
     out = df.groupBy(*keys).agg(*plain, F.count(F.lit(1)).alias("_rows"))
     if not keys:
         raise ValueError("split quantiles need a key; use a constant column for the whole table")
@@ -105,7 +114,7 @@ def exact_quantiles(
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Keys, ``center`` (median) and ``mad`` (median absolute deviation)."""
-    largest, _ = group_sizes(df, keys)
+    largest = group_sizes(df, keys).largest
     center = exact_quantiles(df, keys, value, {"center": 0.5}, largest)
     spread = join_on_keys(df, center, keys).withColumn("_dev", F.abs(F.col(value) - F.col("center")))
     return join_on_keys(center, exact_quantiles(spread, keys, "_dev", {"mad": 0.5}, largest), keys)

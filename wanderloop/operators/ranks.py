@@ -18,7 +18,7 @@ MAX_GRID = 1024
 
 def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
     """Distinct values of the whole table with their tie-averaged ranks."""
-    counts = df.groupBy(value).agg(F.sum("_w").alias("_count"))
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_count"))
     upto = OrderedGroups(counts, [], [value]).scan(sums={"_upto": "_count"})
     return upto.select(
         F.col(value).alias(f"_v_{rank}"),
@@ -32,11 +32,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     Pairs are counted first, so repeated values cross the shuffles once; ranks
     come from a slice-wise running count over the distinct values.
     """
-    pairs = (
-        df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(x, y).agg(F.count(F.lit(1)).alias("_w"))
-    )
-    rx, ry = average_ranks(pairs, x, "_rx"), average_ranks(pairs, y, "_ry")
+    whole = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = whole.groupBy(x, y).agg(F.count(F.lit(1)).alias("_w"))
+    rx, ry = average_ranks(whole, x, "_rx"), average_ranks(whole, y, "_ry")
     ranked = pairs.join(rx, F.col(x) == F.col("_v__rx")).join(ry, F.col(y) == F.col("_v__ry"))
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     sums = ranked.agg(

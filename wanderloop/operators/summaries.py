@@ -58,7 +58,7 @@ def adjacent_flips(
 
 def require_short(df: DataFrame, keys: Sequence[str], most: int = MAX_GRID) -> None:
     """Stop before gathering a list that is not a short list of settings."""
-    largest, _ = group_sizes(df, keys)
+    largest = group_sizes(df, keys).largest
     if largest > most:
         raise ValueError(f"{largest} grid points in one group; a sweep grid has at most {most}")
 

@@ -20,7 +20,7 @@ from wanderloop.operators.audits import (
 from wanderloop.operators.calibration import calibrate
 from wanderloop.operators.controls import looped_grams
 from wanderloop.operators.decisions import archetype_decision, audit_decision
-from wanderloop.operators.ordered import settled, stride_subsample
+from wanderloop.operators.ordered import group_sizes, settled, stride_subsample
 from wanderloop.operators.principal import pca_profile, pca_trajectories
 from wanderloop.operators.projections import projection_audit, wide_by_method
 from wanderloop.operators.static_clouds import static_cloud_audit
@@ -38,7 +38,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grams_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     df = vectors(spark, sf_dir)
-    return step_gram(df, KEYS, ORDER, POINT, MAX_POINTS), df.select(*KEYS).distinct().count()
+    return step_gram(df, KEYS, ORDER, POINT, MAX_POINTS), group_sizes(df, KEYS).groups
 
 
 POINTS_SQL = """ordered AS (
@@ -247,7 +247,20 @@ def locality_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in LOCALITY_NUMBERS})
 
 
-@query("locality_overview")
+@query(
+    "locality_overview",
+    "WITH RECURSIVE rows AS (" + LOCALITY_SQL + """)
+    SELECT 'embedding' AS arch, CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS optimizer,
+      count(*) AS n_paths, CAST(sum(connected_at_initial_k::INTEGER) AS BIGINT) AS connected_initial_count,
+      CAST(sum(adaptive_growth_used::INTEGER) AS BIGINT) AS adaptive_growth_count, min(k_used) AS k_used_min,
+      CAST(median(k_used) AS DOUBLE) AS k_used_median, max(k_used) AS k_used_max,
+      median(graph_density) AS graph_density_median, max(graph_density) AS graph_density_max,
+      round(median(edge_max_over_median), 5) AS edge_max_over_median_median,
+      max(edge_max_over_median) AS edge_max_over_median_max,
+      max(edge_max_over_allpair_p95) AS edge_max_over_allpair_p95_max,
+      CAST(sum(near_complete_graph_flag::INTEGER) AS BIGINT) AS near_complete_graph_count
+    FROM rows GROUP BY 1, 2""",
+)
 def locality_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locality columns rolled up over groups of trajectories."""
     grams, groups = grams_of(spark, sf_dir)
@@ -255,14 +268,39 @@ def locality_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("arch", F.lit("embedding")).withColumn(
         "optimizer", F.when(F.col("label") % 2 == 0, "even").otherwise("odd")
     ).withColumn("seed", F.col("label"))
-    return locality_summary(settled(rows))
+    rows = rows.withColumns({c: F.round(c, 6) for c in LOCALITY_NUMBERS})
+    out = locality_summary(settled(rows))
+    return out.withColumn("edge_max_over_median_median", F.round("edge_max_over_median_median", 5))
+
+
+def _squared(level: int) -> str:
+    """Paths of up to 2**level edges from paths of half as many."""
+    return f"""
+p{level} AS (
+  SELECT a.label, a.i, b.j, min(a.d + b.d) AS d FROM p{level - 1} a JOIN p{level - 1} b
+    ON a.label = b.label AND a.j = b.i GROUP BY a.label, a.i, b.j)"""
+
+
+GEODESIC_SQL = (
+    "WITH RECURSIVE " + PAIRS_SQL
+    + COMPONENTS_SQL.replace("[1, 2, 4, 8, 16, 32, 64, 128, 256, 512]", "[12, 24, 48, 96, 192, 199]") + FROM_FIRST_SQL + """,
+p0 AS (
+  SELECT x.label, x.i, x.j, d.d FROM edges x JOIN grown g ON g.label = x.label AND g.k = x.k
+    JOIN dist d ON d.label = x.label AND d.i = x.i AND d.j = x.j
+  UNION ALL SELECT label, i, i, 0.0 FROM pts),"""
+    + ",".join(_squared(level) for level in range(1, 11))
+    + """ SELECT p.label, p.i AS t, CAST(least(g.k, g.n - 1) AS INTEGER) AS k_used,
+      round(sum(p.d) / (g.n - 1), 6) AS mean_geodesic, round(max(p.d), 6) AS max_geodesic
+    FROM p10 p JOIN grown g USING (label) GROUP BY p.label, p.i, g.k, g.n"""
+)
 
 
-@query("geodesic_apsp")
+@query("geodesic_apsp", GEODESIC_SQL)
 def geodesic_apsp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest-path distances on the grown graph, per checkpoint."""
     grams, groups = grams_of(spark, sf_dir)
-    return L.geodesic_rows(grams, KEYS, groups, 12, 199)
+    out = L.geodesic_rows(grams, KEYS, groups, 12, 199)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_geodesic", "max_geodesic")})
 
 
 @query("h1_max_lifetime")
@@ -277,6 +315,19 @@ def h1_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.h1_diagram(grams, KEYS, groups)
 
 
+@query("top_h1_bar")
+def top_h1_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest bar of each trajectory and the number of bars a tenth as long."""
+    grams, groups = grams_of(spark, sf_dir)
+    life = F.col("death") - F.col("birth")
+    bars = L.h1_diagram(grams, KEYS, groups).withColumn("life", life)
+    best = bars.groupBy(*KEYS).agg(
+        F.max_by(F.struct("birth", "death"), "life").alias("bar"), F.max("life").alias("top"),
+        F.count(F.lit(1)).alias("n_bars"),
+    )
+    return best.select(*KEYS, "n_bars", "bar.*", F.col("top").alias("lifetime"))
+
+
 @query("full_audit_geo")
 def full_audit_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched-step audit of every label: Euclidean and geodesic records."""
@@ -362,7 +413,7 @@ def loop_control(spark: SparkSession, sf_dir: str) -> DataFrame:
         to_chunks(kept, "point", 16), KEYS, 64, (0.1, 1.0), drift_scale=0.0, support_size=24, chunk_cols=16
     )
     keys = ["label", "amp_frac"]
-    groups = 2 * df.select(*KEYS).distinct().count()
+    groups = 2 * group_sizes(df, KEYS).groups
     life = null_lifetimes(grams, keys, settings_of(cfg), cfg, groups)
     return audit_records(life, [*keys, *SETTING], cfg)
 

@@ -73,6 +73,15 @@ def read_npy(spark: SparkSession, pattern: str, chunk_cols: int = 50_000) -> Dat
     return spark.read.format("npy").option("chunk_cols", str(chunk_cols)).load(pattern)
 
 
+def trajectory_shapes(chunks: DataFrame) -> DataFrame:
+    """(file, n_points, d): rows and columns, counted from one checkpoint's chunks."""
+    sizes = chunks.groupBy("file").agg(
+        (F.max("t") + 1).alias("n_points"),
+        F.sum(F.when(F.col("t") == 0, F.size("vals"))).alias("d"),
+    )
+    return sizes
+
+
 def with_run_keys(df: DataFrame, file: str = "file") -> DataFrame:
     """Architecture, optimizer and seed captured from the file name."""
     stem = F.regexp_replace(F.col(file), r"\.npy$", "")
