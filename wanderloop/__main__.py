@@ -48,9 +48,8 @@ def parser() -> argparse.ArgumentParser:
 def run_audit(spark, args) -> None:
     """Wide trajectories from array files: Gram, nulls, records; finished cells are kept."""
     from wanderloop.operators.audits import SETTING, audit_records, null_lifetimes, settings_of
-    from wanderloop.operators.ordered import group_sizes
     from wanderloop.operators.trajectory import gram_from_chunks
-    from wanderloop.sources.npy import read_npy, with_run_keys
+    from wanderloop.sources.npy import npy_headers, read_npy, with_run_keys
     from wanderloop.streaming.resume import run_resumable
 
     cfg = AuditConfig(
@@ -59,14 +58,16 @@ def run_audit(spark, args) -> None:
     )
     keys = ["arch", "optimizer", "seed"]
     chunks = with_run_keys(read_npy(spark, args.pattern, cfg.chunk_cols)).withColumnRenamed("t", "position")
-    checkpoints = chunks.filter("chunk_id = 0")
-    if group_sizes(checkpoints, keys).largest > cfg.max_points:
+    shapes = [shape for _, shape in npy_headers(args.pattern)]
+    if not shapes:
+        raise FileNotFoundError(f"no trajectory files match {args.pattern}")
+    if max(n for n, _ in shapes) > cfg.max_points:
         # Dropping checkpoints before permuting would test another null.
         raise ValueError(f"a trajectory has more than {cfg.max_points} checkpoints")
 
     def run(left):
         grams = gram_from_chunks(left, keys)
-        life = null_lifetimes(grams, keys, settings_of(cfg), cfg, group_sizes(left, keys).groups)
+        life = null_lifetimes(grams, keys, settings_of(cfg), cfg, len(shapes))
         return audit_records(life, [*keys, *SETTING], cfg)
 
     if args.resume:

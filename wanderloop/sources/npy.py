@@ -12,6 +12,7 @@ import glob
 import os
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,6 +21,20 @@ SCHEMA = "file string, t int, chunk_id int, vals array<float>"
 # Pattern of trajectory names and suffix of side files.
 NAME_PATTERN = r"^(.+?)__(.+?)__seed(\d+)$"
 SIDE_SUFFIX = "__metrics"
+ROWS_PER_BATCH = 32
+
+
+def npy_headers(pattern: str, skip_side: bool = True) -> list[tuple[str, tuple[int, int]]]:
+    """(path, shape) of the matching files in path order; only headers are read."""
+    found = []
+    for path in sorted(glob.glob(pattern)):
+        if skip_side and SIDE_SUFFIX in os.path.basename(path):
+            continue
+        shape = np.load(path, mmap_mode="r").shape
+        if len(shape) != 2:
+            raise ValueError(f"{path}: expected a 2-D array, found shape {shape}")
+        found.append((path, shape))
+    return found
 
 
 class ChunkSplit(InputPartition):
@@ -35,12 +50,7 @@ class NpyReader(DataSourceReader):
 
     def partitions(self):
         splits = []
-        for path in sorted(glob.glob(self.pattern)):
-            if self.skip_side and SIDE_SUFFIX in os.path.basename(path):
-                continue
-            shape = np.load(path, mmap_mode="r").shape  # header only
-            if len(shape) != 2:
-                raise ValueError(f"{path}: expected a 2-D array, found shape {shape}")
+        for path, shape in npy_headers(self.pattern, self.skip_side):
             for chunk_id, start in enumerate(range(0, shape[1], self.chunk_cols)):
                 stop = min(start + self.chunk_cols, shape[1])
                 splits.append(ChunkSplit(path, chunk_id, start, stop))
@@ -48,10 +58,22 @@ class NpyReader(DataSourceReader):
 
     def read(self, split):
         rows = np.load(split.path, mmap_mode="r")
-        name = os.path.basename(split.path)
-        for t in range(rows.shape[0]):
-            vals = np.asarray(rows[t, split.start : split.stop], dtype=np.float32)
-            yield name, t, split.chunk_id, vals.tolist()
+        name, width = os.path.basename(split.path), split.stop - split.start
+        for first in range(0, rows.shape[0], ROWS_PER_BATCH):
+            block = np.ascontiguousarray(
+                rows[first : first + ROWS_PER_BATCH, split.start : split.stop], dtype=np.float32
+            )
+            n = len(block)
+            offsets = np.arange(n + 1, dtype=np.int32) * width
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name] * n, pa.string()),
+                    pa.array(np.arange(first, first + n, dtype=np.int32)),
+                    pa.array(np.full(n, split.chunk_id, dtype=np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(block.ravel())),
+                ],
+                names=["file", "t", "chunk_id", "vals"],
+            )
 
 
 class NpyDataSource(DataSource):
@@ -73,15 +95,6 @@ def read_npy(spark: SparkSession, pattern: str, chunk_cols: int = 50_000) -> Dat
     return spark.read.format("npy").option("chunk_cols", str(chunk_cols)).load(pattern)
 
 
-def trajectory_shapes(chunks: DataFrame) -> DataFrame:
-    """(file, n_points, d): rows and columns, counted from one checkpoint's chunks."""
-    sizes = chunks.groupBy("file").agg(
-        (F.max("t") + 1).alias("n_points"),
-        F.sum(F.when(F.col("t") == 0, F.size("vals"))).alias("d"),
-    )
-    return sizes
-
-
 def with_run_keys(df: DataFrame, file: str = "file") -> DataFrame:
     """Architecture, optimizer and seed captured from the file name."""
     stem = F.regexp_replace(F.col(file), r"\.npy$", "")
