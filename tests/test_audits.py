@@ -14,6 +14,7 @@ from wanderloop.config import AuditConfig
 from wanderloop.functions import topology as T
 from wanderloop.operators import audits as A
 from wanderloop.operators.calibration import calibrate, walk_draws
+from wanderloop.operators.decisions import with_inference_role
 from wanderloop.operators.controls import looped_grams, sparse_plane
 from wanderloop.operators.locality import graph_locality, knn_edges
 from wanderloop.operators.principal import pca_profile, pca_trajectories
@@ -101,6 +102,23 @@ def test_sensitivity_settings_cut_the_filtration(spark):
         assert np.allclose([row["L_euc"], row["L_geo"], row["k_used"]], want)
 
 
+def test_each_setting_has_its_own_number_of_nulls(spark):
+    cfg = AuditConfig(n_nulls=7, k0=3, block_sizes=(1, 4), nulls_per_task=3)
+    df = frame(spark, paths(sizes=(12,)))
+    grams = step_gram(df, ["id"], ["t"], "point", 600)
+    life = A.null_lifetimes(grams, ["id"], A.targeted_settings(cfg, 2), cfg, 1, rng_key=A.offset_rng_key)
+    rows = {r["block_size"]: r for r in A.audit_records(life, ["id", *A.SETTING], cfg).collect()}
+    assert rows[1]["n_nulls_used"] == 7 and rows[4]["n_nulls_used"] == 2
+    gram = gram_of(paths(sizes=(12,))["p0"])
+    want = [
+        T.lifetime_pair(T.distances_from_gram(gram, np.random.default_rng(cfg.seed + i).permutation(11)), 3, 199)[0]
+        for i in range(7)
+    ]
+    assert rows[1]["euc_null_max"] == pytest.approx(max(want))
+    tagged = {r["block_size"]: r for r in with_inference_role(A.audit_records(life, ["id", *A.SETTING], cfg)).collect()}
+    assert tagged[1]["is_formal_inference"] and tagged[4]["analysis_role"] == "block_diagnostic"
+
+
 def long_order(key, n_steps, b, master, null_id):
     blocks = -(-n_steps // b)
     token = {}

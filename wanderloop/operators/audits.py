@@ -48,12 +48,16 @@ SETTING = ("block_size", "k0", "pct")
 
 @dataclass(frozen=True)
 class Setting:
-    """One cell of a sweep: block size, starting k, filtration cut, seed offset."""
+    """One cell of a sweep: block size, starting k, filtration cut, seed, nulls.
+
+    ``n_nulls=None`` takes the number of the run; diagnostics may use fewer.
+    """
 
     block_size: int = 1
     k0: int = 12
     pct: float | None = None
     master: int = 0
+    n_nulls: int | None = None
 
 
 def settings_of(cfg: AuditConfig) -> list[Setting]:
@@ -73,7 +77,25 @@ def sensitivity_settings(
     ]
 
 
-def with_settings(df: DataFrame, settings: Sequence[Setting]) -> DataFrame:
+def targeted_settings(cfg: AuditConfig, diagnostic_nulls: int = 50) -> list[Setting]:
+    """Full ensembles for the formal block size 1, smaller ones for diagnostics."""
+    return [
+        Setting(b, cfg.k0, cfg.filtration_pct, cfg.seed, cfg.n_nulls if b == 1 else diagnostic_nulls)
+        for b in cfg.block_sizes
+    ]
+
+
+def item_count(settings: Sequence[Setting], cfg: AuditConfig, groups: int) -> int:
+    """Null batches of all cells."""
+    per_group = (math.ceil(((s.n_nulls or cfg.n_nulls) + 1) / cfg.nulls_per_task) for s in settings)
+    return groups * sum(per_group)
+
+
+def null_count(settings: Sequence[Setting], cfg: AuditConfig) -> int:
+    return sum((s.n_nulls or cfg.n_nulls) + 1 for s in settings)
+
+
+def with_settings(df: DataFrame, settings: Sequence[Setting], cfg: AuditConfig) -> DataFrame:
     rows = F.array(
         *[
             F.struct(
@@ -81,6 +103,7 @@ def with_settings(df: DataFrame, settings: Sequence[Setting]) -> DataFrame:
                 F.lit(int(s.k0)).alias("k0"),
                 F.lit(s.pct).cast("double").alias("pct"),
                 F.lit(int(s.master)).cast("long").alias("master"),
+                F.lit(int(s.n_nulls or cfg.n_nulls)).alias("n_nulls"),
             )
             for s in settings
         ]
@@ -99,20 +122,25 @@ def audit_rng_key(row: dict, null_id: int) -> list[int]:
     return [row["master"], null_id, row["block_size"]]
 
 
+def offset_rng_key(row: dict, null_id: int) -> int:
+    """Seeds counted up from the master seed, for runs recorded that way."""
+    return row["master"] + null_id
+
+
 def null_lifetimes(
     grams: DataFrame,
     keys: Sequence[str],
     settings: Sequence[Setting],
     cfg: AuditConfig,
     groups: int,
-    rng_key: Callable[[dict, int], list[int]] = audit_rng_key,
+    rng_key: Callable[[dict, int], list[int] | int] = audit_rng_key,
 ) -> DataFrame:
     """Lifetimes of the observed order (null_id = -1) and of each permutation."""
     keys = list(keys)
-    per_task, n_nulls, kmax, fill = cfg.nulls_per_task, cfg.n_nulls, cfg.kmax, cfg.sentinel_fill
-    batches = F.sequence(F.lit(-1), F.lit(n_nulls - 1), F.lit(per_task))
-    cells = with_settings(grams, settings).withColumn("first_null", F.explode(batches))
-    items = groups * len(settings) * math.ceil((n_nulls + 1) / per_task)
+    per_task, kmax, fill = cfg.nulls_per_task, cfg.kmax, cfg.sentinel_fill
+    batches = F.sequence(F.lit(-1), F.col("n_nulls") - 1, F.lit(per_task))
+    cells = with_settings(grams, settings, cfg).withColumn("first_null", F.explode(batches))
+    items = item_count(settings, cfg, groups)
     schema = T.StructType(key_fields(grams, keys) + LIFETIME_FIELDS)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +152,7 @@ def null_lifetimes(
                 gram = flat.reshape(n, n)
                 pct = None if row["pct"] is None or math.isnan(row["pct"]) else row["pct"]
                 first = row["first_null"]
-                for null_id in range(first, min(first + per_task, n_nulls)):
+                for null_id in range(first, min(first + per_task, row["n_nulls"])):
                     order = None
                     if null_id >= 0:
                         rng = np.random.default_rng(rng_key(row, null_id))
@@ -175,8 +203,8 @@ def long_null_points(
         F.concat_ws("|", *[F.col(c).cast("string") for c in names], block.cast("string"))
     )
     cell = [*keys, *SETTING, "null_id"]
-    grid = with_settings(fanned(steps, *keys, "pos"), settings).withColumn(
-        "null_id", F.explode(F.sequence(F.lit(-1), F.lit(cfg.n_nulls - 1)))
+    grid = with_settings(fanned(steps, *keys, "pos"), settings, cfg).withColumn(
+        "null_id", F.explode(F.sequence(F.lit(-1), F.col("n_nulls") - 1))
     )
     observed = F.col("null_id") == -1
     grid = grid.withColumn("token", F.when(observed, F.lit(0)).otherwise(token))
@@ -248,7 +276,7 @@ def audit_lifetimes(
     if long is None:
         return lifetimes
     moved = long_null_points(long, keys, order, point, settings, cfg)
-    items = n_long * len(settings) * (cfg.n_nulls + 1)
+    items = n_long * null_count(settings, cfg)
     return lifetimes.unionByName(lifetimes_of_moves(moved, keys, cfg, items))
 
 
@@ -264,6 +292,7 @@ def audit_records(lifetimes: DataFrame, cell: Sequence[str], cfg: AuditConfig) -
     rest = lambda c: F.collect_list(F.when(~observed, F.col(c)))
     gathered = lifetimes.groupBy(*cell).agg(
         F.max("n_points").alias("N_pts"),
+        F.sum((~observed).cast("int")).alias("n_nulls_used"),
         F.when(whole, pick("L_geo")).alias("_geo"), F.when(whole, rest("L_geo")).alias("_geo_nulls"),
         F.when(whole, F.lit("ok")).otherwise(F.lit("disconnected")).alias("geo_status"),
         pick("L_euc").alias("_euc"), rest("L_euc").alias("_euc_nulls"),
@@ -322,11 +351,11 @@ def path_measures(
     tuples for ``fields``. Null paths are built as in ``audit_lifetimes``.
     """
     keys = list(keys)
-    per_task, n_nulls = cfg.nulls_per_task, cfg.n_nulls
+    per_task = cfg.nulls_per_task
     short, groups, long, n_long = split_by_length(df, keys, cfg.max_points)
     packed = pack_points(short, keys, order, point, cfg.max_points).filter(F.size("points") > 1)
-    batches = F.sequence(F.lit(-1), F.lit(n_nulls - 1), F.lit(per_task))
-    cells = with_settings(packed, settings).withColumn("first_null", F.explode(batches))
+    batches = F.sequence(F.lit(-1), F.col("n_nulls") - 1, F.lit(per_task))
+    cells = with_settings(packed, settings, cfg).withColumn("first_null", F.explode(batches))
     head = [
         T.StructField("block_size", T.IntegerType()), T.StructField("k0", T.IntegerType()),
         T.StructField("pct", T.DoubleType()), T.StructField("null_id", T.IntegerType()),
@@ -347,7 +376,7 @@ def path_measures(
                 x = np.stack(row["points"]).astype(float)
                 steps = np.diff(x, axis=0)
                 first = row["first_null"]
-                for null_id in range(first, min(first + per_task, n_nulls)):
+                for null_id in range(first, min(first + per_task, row["n_nulls"])):
                     path = x
                     if null_id >= 0:
                         rng = np.random.default_rng(audit_rng_key(row, null_id))
@@ -365,11 +394,11 @@ def path_measures(
                 out += rows_for(row, row["null_id"], path)
             yield lifetime_frame(out, schema)
 
-    items = groups * len(settings) * math.ceil((n_nulls + 1) / per_task)
+    items = item_count(settings, cfg, groups)
     out = spread(cells, items).mapInPandas(short_paths, schema)
     if long is None:
         return out
     moved = long_null_points(long, keys, order, point, settings, cfg)
     return out.unionByName(
-        spread(moved, n_long * len(settings) * (n_nulls + 1)).mapInPandas(long_paths, schema)
+        spread(moved, n_long * null_count(settings, cfg)).mapInPandas(long_paths, schema)
     )

@@ -15,11 +15,11 @@ from wanderloop.functions import topology
 from wanderloop.functions.vectors import as_doubles
 from wanderloop.operators import locality as L
 from wanderloop.operators.audits import (
-    SETTING, ambient_audit, audit_records, null_lifetimes, sensitivity_settings, settings_of,
+    SETTING, ambient_audit, audit_records, null_lifetimes, sensitivity_settings, targeted_settings,
 )
 from wanderloop.operators.calibration import calibrate
 from wanderloop.operators.controls import looped_grams
-from wanderloop.operators.decisions import archetype_decision, audit_decision
+from wanderloop.operators.decisions import archetype_decision, audit_decision, with_inference_role
 from wanderloop.operators.ordered import group_sizes, settled, stride_subsample
 from wanderloop.operators.principal import pca_profile, pca_trajectories
 from wanderloop.operators.projections import projection_audit, wide_by_method
@@ -405,7 +405,7 @@ def pca_prefix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("loop_control")
 def loop_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pure planar loop at several amplitudes must be found."""
-    df, cfg = vectors(spark, sf_dir), AuditConfig(n_nulls=39)
+    df, cfg = vectors(spark, sf_dir), AuditConfig(n_nulls=39, block_sizes=(1, 10))
     kept = stride_subsample(
         df.select(*KEYS, *ORDER, as_doubles(F.col(POINT)).alias("point")), KEYS, ORDER, MAX_POINTS
     ).select(*KEYS, "position", "point")
@@ -414,8 +414,8 @@ def loop_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     keys = ["label", "amp_frac"]
     groups = 2 * group_sizes(df, KEYS).groups
-    life = null_lifetimes(grams, keys, settings_of(cfg), cfg, groups)
-    return audit_records(life, [*keys, *SETTING], cfg)
+    life = null_lifetimes(grams, keys, targeted_settings(cfg, 19), cfg, groups)
+    return with_inference_role(audit_records(life, [*keys, *SETTING], cfg))
 
 
 @query("vector_walk_calibration")
