@@ -90,6 +90,16 @@ def test_segments_end_at_kept_checkpoints(spark, n, cap):
     assert (got == np.searchsorted(kept, np.arange(1, n), side="left")).all()
 
 
+def test_long_draws_equal_one_sort(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("o"))
+    got = hash_subsample(df, ["k"], "o", 1500, 3).toPandas()
+    from hashlib import md5
+    for k in (0, 1):
+        order = sorted(range(k, 5000, 2), key=lambda i: md5(f"3|{i}".encode()).hexdigest())
+        part = got[got["k"] == k].sort_values("draw")
+        assert part["o"].tolist() == order[:1500]
+
+
 def test_subsamples(spark, small_groups):
     pdf = hot_table().dropna()
     df = frame(spark, pdf)

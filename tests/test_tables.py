@@ -11,6 +11,7 @@ from wanderloop.functions.columns import is_true_text, number_or_null, wilson_bo
 from wanderloop.operators import autocorrelation as A
 from wanderloop.operators import roles as R
 from wanderloop.operators import summaries as S
+from wanderloop.operators.decisions import component_null_count
 from wanderloop.sources import result_csv as C
 
 
@@ -45,6 +46,21 @@ def test_sweep_analysis(spark):
     assert (seq["k_sequence"], seq["decision_sequence"]) == ("6,8,10,12", "1,1,0,1")
 
 
+def test_curvature_summary(spark):
+    rows = [(i / 7, float(v), i == 9, 0.1 * i) for i, v in enumerate([1, 2, 3, 4, 6, 5, 7, 8])]
+    df = spark.createDataFrame(rows, "lambda_val double, proj_TSR double, geo_formal_trigger boolean, geo_TSR double")
+    row = S.curvature_summary(df).first()
+    assert row["spearman_proj_TSR_vs_lambda"] == pytest.approx(0.9761904761904762)
+    assert row["spearman_p"] == pytest.approx(3.3143960262001e-05, rel=1e-9)
+    assert row["any_geo_formal_trigger"] is False and row["max_geo_TSR"] == pytest.approx(0.7)
+
+
+def test_component_null_count(spark):
+    df = spark.createDataFrame([(0.95, 2.0), (0.95, 3.0), (0.5, 2.0)], "z double, r double")
+    got = df.select(component_null_count(F.col("z"), F.col("r")).alias("n")).collect()
+    assert [r["n"] for r in got] == [100, 200, 200]
+
+
 def test_grid_lists_must_be_short(spark):
     df = spark.range(2000).select(F.lit("d").alias("dataset"), F.col("id").alias("k"), F.lit(1.0).alias("v"))
     with pytest.raises(ValueError, match="grid points"):

@@ -23,6 +23,9 @@ from wanderloop.config import ensure_checkpoint_dir, group_rows
 SLICE = "_slice"
 # Slices up to which the table of carried totals (two rows each) is broadcast.
 BROADCAST_SLICES = 20_000
+# Longest list Spark cuts before the shuffle by itself, and parts otherwise.
+GROUP_LIMIT_ROWS = 1_000
+SALTS = 64
 
 
 def fanned(df: DataFrame, *by: str) -> DataFrame:
@@ -186,9 +189,14 @@ def hash_subsample(df: DataFrame, keys: Sequence[str], row_id: str, cap: int, se
     """``cap`` rows of each group, drawn without replacement by hash order.
 
     The filter on row_number lets Spark cut each group to ``cap`` rows before
-    the shuffle, so a large group never meets in one task.
+    the shuffle, so a large group never meets in one task. Spark does so only
+    for short lists; longer ones are cut in salted parts of a group first.
     """
     token = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(row_id).cast("string")))
+    if cap > GROUP_LIMIT_ROWS:
+        part = F.pmod(F.xxhash64(row_id), F.lit(SALTS))
+        in_part = Window.partitionBy(*keys, part).orderBy(token, row_id)
+        df = df.withColumn("_draw", F.row_number().over(in_part)).filter(F.col("_draw") <= cap).drop("_draw")
     ranked = Window.partitionBy(*keys).orderBy(token, row_id)
     return (
         df.withColumn("draw", F.row_number().over(ranked))

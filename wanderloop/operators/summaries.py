@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from wanderloop.functions.columns import is_true_text, wilson_bounds
 from wanderloop.operators.ordered import OrderedGroups, group_sizes
 from wanderloop.operators.quantiles import group_summary, join_on_keys
-from wanderloop.operators.ranks import MAX_GRID, kendall_p_column, kendall_tau_b
+from wanderloop.operators.ranks import (
+    MAX_GRID, kendall_p_column, kendall_tau_b, spearman, spearman_p_column,
+)
 
 NUMBER = "double"
 
@@ -111,6 +113,19 @@ def sweep_analysis(df: DataFrame, p_values: bool = True, carried: Sequence[str]
     return out
 
 
+def curvature_summary(df: DataFrame) -> DataFrame:
+    """One row: trend of the projection ratio over lambda, and the geodesic extremes."""
+    trend = spearman(df, "lambda_val", "proj_TSR").select(
+        F.lit(1).alias("_one"), F.col("rho").alias("spearman_proj_TSR_vs_lambda"),
+        spearman_p_column("rho", "n").alias("spearman_p"),
+    )
+    extremes = df.agg(
+        F.bool_or(as_flag("geo_formal_trigger")).alias("any_geo_formal_trigger"),
+        F.max("geo_TSR").alias("max_geo_TSR"),
+    ).withColumn("_one", F.lit(1))
+    return trend.join(extremes, "_one").drop("_one")
+
+
 def decision_sequences(df: DataFrame, keys: Sequence[str], k: str, decision: Column) -> DataFrame:
     """The k grid and the decisions along it, as comma-separated text."""
     require_short(df, keys)
