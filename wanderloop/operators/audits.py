@@ -111,10 +111,16 @@ def with_settings(df: DataFrame, settings: Sequence[Setting], cfg: AuditConfig)
     return df.withColumn("_s", F.explode(rows)).select("*", "_s.*").drop("_s")
 
 
-def spread(df: DataFrame, items: int) -> DataFrame:
-    """Deal compute-heavy rows evenly to tasks, whatever their byte size."""
+def spread(df: DataFrame, items: int, by: Sequence[str]) -> DataFrame:
+    """Deal compute-heavy rows to tasks, whatever their byte size.
+
+    Rows are placed by their keys, never round-robin: a recomputed float sum
+    may differ in its last bit, and a row must land where it was before. Few
+    rows get several times as many partitions, so that few of them meet.
+    """
     width = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(items, max(4 * width, math.ceil(items / 32)))))
+    parts = max(1, min(4 * items, max(16 * width, math.ceil(items / 32))))
+    return df.repartition(parts, *by)
 
 
 def audit_rng_key(row: dict, null_id: int) -> list[int]:
@@ -163,7 +169,7 @@ def null_lifetimes(
                     out.append([*head, row["block_size"], row["k0"], pct, null_id, euc, geo, k, n + 1])
             yield lifetime_frame(out, schema)
 
-    return spread(cells, items).mapInPandas(walk, schema)
+    return spread(cells, items, [*keys, *SETTING, "first_null"]).mapInPandas(walk, schema)
 
 
 def lifetime_frame(rows: list, schema: T.StructType) -> pd.DataFrame:
@@ -260,7 +266,7 @@ def lifetimes_of_moves(packed: DataFrame, keys: Sequence[str], cfg: AuditConfig,
                 )
             yield lifetime_frame(out, schema)
 
-    return spread(packed, items).mapInPandas(measure, schema)
+    return spread(packed, items, [*keys, *SETTING, "null_id"]).mapInPandas(measure, schema)
 
 
 def audit_lifetimes(
@@ -395,10 +401,9 @@ def path_measures(
             yield lifetime_frame(out, schema)
 
     items = item_count(settings, cfg, groups)
-    out = spread(cells, items).mapInPandas(short_paths, schema)
+    out = spread(cells, items, [*keys, *SETTING, "first_null"]).mapInPandas(short_paths, schema)
     if long is None:
         return out
     moved = long_null_points(long, keys, order, point, settings, cfg)
-    return out.unionByName(
-        spread(moved, n_long * null_count(settings, cfg)).mapInPandas(long_paths, schema)
-    )
+    placed = spread(moved, n_long * null_count(settings, cfg), [*keys, *SETTING, "null_id"])
+    return out.unionByName(placed.mapInPandas(long_paths, schema))

@@ -73,7 +73,7 @@ def scan_result_csvs(spark: SparkSession, base: str, roots: Sequence[str]) -> Da
         .select("path", "content")
     )
     # A file is small but parsing it is not free: deal files to all tasks.
-    spread = files.repartition(spark.sparkContext.defaultParallelism)
+    spread = files.repartition(4 * spark.sparkContext.defaultParallelism, "path")
     rel = F.substr(F.regexp_replace("path", r"^file:/+", "/"), F.lit(len(base) + 2))
     return spread.mapInPandas(parse_files, ROW_SCHEMA).select(
         rel.alias("source_csv"), "row_no", "names", "values", "problem"
