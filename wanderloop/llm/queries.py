@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wanderloop.config import ship_package
 from wanderloop.llm.disclosure import KINDS, count_kind, find_personal_data, spans_text
+from wanderloop.llm.quality import fit_quality_tables, fit_quality_trees, quality_rules, quality_scores
 from wanderloop.llm.shared import bounded_batches
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_quality_rules")
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the boosted trees for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_quality_trees(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additive-model quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality_tables(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the personal data of every document."""
