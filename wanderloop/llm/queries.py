@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wanderloop.config import ship_package
+from wanderloop.llm.bpe import decode, encode, load_spec
 from wanderloop.llm.disclosure import KINDS, count_kind, find_personal_data, spans_text
 from wanderloop.llm.quality import fit_quality_tables, fit_quality_trees, quality_rules, quality_scores
 from wanderloop.llm.shared import bounded_batches
@@ -52,6 +54,21 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit_quality_tables(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op6_bpe")
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of every document."""
+    spec = load_spec(spark, public_tokenizers.path("word_bpe_49k.json"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode(docs, spec).drop("text")
+    digests = coded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+    )
+    return decode(digests, spec).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @query("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the personal data of every document."""
