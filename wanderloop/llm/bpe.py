@@ -36,8 +36,9 @@ SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 # Below this all characters are composed, and letters are the same in every version of
 # Unicode; above, the library's own normaliser and character classes decide.
 LATER = regex.compile(r"[^\x00-\u02ff]")
-KEPT_WORDS, KEPT_CHARS = 150_000, 64
-SHORT = 24
+KEPT_WORDS, KEPT_CHARS = 250_000, 64
+SHORT = 64
+NEVER = 1 << 62
 
 
 def byte_letters() -> list[str]:
@@ -51,6 +52,14 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def keep(cache: dict[str, list[int]], key: str, ids: list[int]) -> None:
+    """Remember a short string; a full cache starts anew, so its size has a bound."""
+    if len(key) <= KEPT_CHARS:
+        if len(cache) >= KEPT_WORDS:
+            cache.clear()
+        cache[key] = ids
+
+
 class WordBpe:
     """One vocabulary: encodes and decodes texts; keeps the ids of short words it has met."""
 
@@ -62,10 +71,11 @@ class WordBpe:
         letters = byte_letters()
         self.first = [vocab[c] for c in letters]
         self.last = [vocab[c + self.end] for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # Rank and new id of a merge in one number, so that the least number is the first merge.
+        self.merges: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a], vocab[b]] = rank << 32 | vocab[a + b]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         size = max(chain(vocab.values(), self.special.values())) + 1
@@ -77,55 +87,68 @@ class WordBpe:
         for text in vocab:
             inner = [byte_of[c] for c in text.removesuffix(self.end)]
             self.joined[inner[:-1], inner[1:]] = True
+        self.joined_bytes = self.joined.tobytes()
         self.words: dict[str, list[int]] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.cut = pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True)
 
     def fragments(self, piece: bytes) -> list[tuple[int, int]]:
         """Start and stop of the parts of a piece between certain cuts."""
-        if len(piece) < 2:
-            return [(0, len(piece))]
-        b = np.frombuffer(piece, np.uint8)
-        cuts = (np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist()
+        if len(piece) <= SHORT:
+            table = self.joined_bytes
+            cuts = [i for i, (a, b) in enumerate(zip(piece, piece[1:]), 1) if not table[a << 8 | b]]
+        else:
+            b = np.frombuffer(piece, np.uint8)
+            cuts = (np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist()
         return list(zip([0, *cuts], [*cuts, len(piece)]))
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge the lowest rank first, of equal ranks the leftmost."""
-        merges = self.merges
+        if len(ids) < 2:
+            return ids
+        get = self.merges.get
         if len(ids) <= SHORT:
-            while len(ids) > 1:
-                best = min((merges.get(p, (1 << 60, 0)) + (i,) for i, p in enumerate(zip(ids, ids[1:]))), key=lambda x: (x[0], x[2]))
-                if best[0] == 1 << 60:
-                    break
-                ids[best[2]:best[2] + 2] = [best[1]]
+            codes = [get(p, NEVER) for p in zip(ids, ids[1:])]
+            while codes and (code := min(codes)) != NEVER:
+                i = codes.index(code)
+                ids[i:i + 2] = [code & 0xFFFFFFFF]
+                del codes[i]
+                if i:
+                    codes[i - 1] = get((ids[i - 1], ids[i]), NEVER)
+                if i < len(codes):
+                    codes[i] = get((ids[i], ids[i + 1]), NEVER)
             return ids
         n = len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(*merges[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
-        heap = [(rank, i, new) for rank, new, i in heap]
+        heap = [(code, i) for i, p in enumerate(zip(ids, ids[1:])) if (code := get(p)) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i, new = heapq.heappop(heap)
+            code, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= n or merges.get((ids[i], ids[j])) != (rank, new):
+            if ids[i] < 0 or j >= n or get((ids[i], ids[j])) != code:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = code & 0xFFFFFFFF, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (found := merges.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (found[0], a, found[1]))
+                if a >= 0 and b < n and (found := get((ids[a], ids[b]))) is not None:
+                    heapq.heappush(heap, (found, a))
         return [x for x in ids if x >= 0]
 
     def piece_ids(self, piece: str) -> list[int]:
+        known = self.pieces.get(piece)
+        if known is not None:
+            return known
         raw = piece.encode()
-        out: list[int] = []
+        first, out = self.first, []
         for start, stop in self.fragments(raw):
-            ids = [self.first[b] for b in raw[start:stop]]
+            ids = [first[b] for b in raw[start:stop]]
             if stop == len(raw):
                 ids[-1] = self.last[raw[-1]]
             out += self.merge(ids)
+        keep(self.pieces, piece, out)
         return out
 
     def word_ids(self, word: str) -> list[int]:
@@ -133,11 +156,8 @@ class WordBpe:
             pieces = [word[a:z] for _, (a, z) in self.cut.pre_tokenize_str(word)]
         else:
             pieces = PIECE.findall(word)
-        ids = [i for piece in pieces for i in self.piece_ids(piece)]
-        if len(word) <= KEPT_CHARS:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
-            self.words[word] = ids
+        ids = self.piece_ids(pieces[0]) if len(pieces) == 1 else [i for piece in pieces for i in self.piece_ids(piece)]
+        keep(self.words, word, ids)
         return ids
 
     def encode_plain(self, text: str) -> chain:
