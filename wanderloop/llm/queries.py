@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wanderloop.config import ship_package
 from wanderloop.llm.bpe import decode, encode, load_spec
 from wanderloop.llm.disclosure import KINDS, count_kind, find_personal_data, spans_text
+from wanderloop.llm.mixing import mix
 from wanderloop.llm.quality import fit_quality_tables, fit_quality_trees, quality_rules, quality_scores
-from wanderloop.llm.shared import bounded_batches
+from wanderloop.llm.shared import bounded_batches, settle, text_of, word_count
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +70,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, beside its source's size and target."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(text_of("text")).alias("size"))
+    mixed, known = mix(settle(docs, "mix-sizes"), F.col("size"), F.array("source"))
+    sources = spark.createDataFrame([(s, *known[s]) for s in known], "source string, source_size long, target double")
+    # One row per source, bounded as the sets of sources are.
+    return mixed.join(F.broadcast(sources), mixed["source"].eqNullSafe(sources["source"])).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken")
+    )
+
+
 @query("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the personal data of every document."""
