@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wanderloop.config import ship_package
 from wanderloop.llm.bpe import decode, encode, load_spec
 from wanderloop.llm.disclosure import KINDS, count_kind, find_personal_data, spans_text
+from wanderloop.llm.fingerprints import near_duplicates
 from wanderloop.llm.mixing import mix
 from wanderloop.llm.quality import fit_quality_tables, fit_quality_trees, quality_rules, quality_scores
 from wanderloop.llm.shared import bounded_batches, settle, text_of, word_count
@@ -55,6 +56,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit_quality_tables(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of every document."""
