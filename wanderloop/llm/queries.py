@@ -12,6 +12,7 @@ from wanderloop.config import ship_package
 from wanderloop.llm.bpe import decode, encode, load_spec
 from wanderloop.llm.disclosure import KINDS, count_kind, find_personal_data, spans_text
 from wanderloop.llm.fingerprints import near_duplicates
+from wanderloop.llm.lm import lm_scores
 from wanderloop.llm.mixing import mix
 from wanderloop.llm.quality import fit_quality_tables, fit_quality_trees, quality_rules, quality_scores
 from wanderloop.llm.shared import bounded_batches, settle, text_of, word_count
@@ -49,6 +50,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, fit_quality_trees(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and attention-model log probabilities of every document."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+
+
 @query("op4_quality_classifier")
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Additive-model quality score of every document."""
