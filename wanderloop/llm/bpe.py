@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -36,7 +38,7 @@ SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 # Below this all characters are composed, and letters are the same in every version of
 # Unicode; above, the library's own normaliser and character classes decide.
 LATER = regex.compile(r"[^\x00-\u02ff]")
-KEPT_WORDS, KEPT_CHARS = 250_000, 64
+KEPT_WORDS, KEPT_CHARS = 200_000, 64
 SHORT = 64
 NEVER = 1 << 62
 
@@ -52,12 +54,19 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def keep(cache: dict[str, list[int]], key: str, ids: list[int]) -> None:
-    """Remember a short string; a full cache starts anew, so its size has a bound."""
-    if len(key) <= KEPT_CHARS:
-        if len(cache) >= KEPT_WORDS:
-            cache.clear()
-        cache[key] = ids
+class Recent:
+    """Ids of short strings in two generations: a full one becomes the old one, so that what
+    is used stays and the size has a bound."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def keep(self, key: str, ids: bytes) -> None:
+        if len(key) <= KEPT_CHARS:
+            if len(self.young) >= KEPT_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[key] = ids
 
 
 class WordBpe:
@@ -88,8 +97,7 @@ class WordBpe:
             inner = [byte_of[c] for c in text.removesuffix(self.end)]
             self.joined[inner[:-1], inner[1:]] = True
         self.joined_bytes = self.joined.tobytes()
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.recent = Recent()
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.cut = pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True)
 
@@ -137,10 +145,8 @@ class WordBpe:
                     heapq.heappush(heap, (found, a))
         return [x for x in ids if x >= 0]
 
-    def piece_ids(self, piece: str) -> list[int]:
-        known = self.pieces.get(piece)
-        if known is not None:
-            return known
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of one piece as 32-bit numbers."""
         raw = piece.encode()
         first, out = self.first, []
         for start, stop in self.fragments(raw):
@@ -148,33 +154,39 @@ class WordBpe:
             if stop == len(raw):
                 ids[-1] = self.last[raw[-1]]
             out += self.merge(ids)
-        keep(self.pieces, piece, out)
-        return out
-
-    def word_ids(self, word: str) -> list[int]:
-        if LATER.search(word):
-            pieces = [word[a:z] for _, (a, z) in self.cut.pre_tokenize_str(word)]
-        else:
-            pieces = PIECE.findall(word)
-        ids = self.piece_ids(pieces[0]) if len(pieces) == 1 else [i for piece in pieces for i in self.piece_ids(piece)]
-        keep(self.words, word, ids)
+        return array("i", out).tobytes()
+
+    def fresh(self, word: str) -> bytes:
+        """Ids of a word or piece that the young generation does not hold."""
+        ids = self.recent.old.get(word)
+        if ids is None:
+            if LATER.search(word):
+                pieces = [word[a:z] for _, (a, z) in self.cut.pre_tokenize_str(word)]
+            else:
+                pieces = PIECE.findall(word)
+            if len(pieces) == 1:
+                ids = self.piece_ids(pieces[0])
+            else:
+                known = self.recent.young.get
+                ids = b"".join([known(p) or self.fresh(p) for p in pieces])
+        self.recent.keep(word, ids)
         return ids
 
-    def encode_plain(self, text: str) -> chain:
+    def encode_plain(self, text: str) -> bytes:
         if not text.isascii():
             text = self.normal.normalize_str(text) if LATER.search(text) else text.lower()
         else:
             text = text.lower()
         words = WORD.findall(text) if any(c in text for c in SEPARATORS) else text.split()
-        known, fresh = self.words.get, self.word_ids
-        return chain.from_iterable([known(w) or fresh(w) for w in words])
+        known, fresh = self.recent.young.get, self.fresh
+        return b"".join([known(w) or fresh(w) for w in words])
 
     def encode(self, text: str) -> np.ndarray:
         if self.split_special is None or not any(s in text for s in self.special):
-            return np.fromiter(self.encode_plain(text), np.int32)
+            return np.frombuffer(self.encode_plain(text), np.int32)
         parts = self.split_special.split(text)
-        return np.fromiter(
-            chain.from_iterable([self.special[p]] if p in self.special else self.encode_plain(p) for p in parts), np.int32
+        return np.frombuffer(
+            b"".join([array("i", [self.special[p]]).tobytes() if p in self.special else self.encode_plain(p) for p in parts]), np.int32
         )
 
     def decode(self, ids: list[int]) -> str:
@@ -230,6 +242,13 @@ def decode(rows: DataFrame, spec: Broadcast, ids: str = "ids", decoded: str = "d
     """The rows with the text that the ids stand for; null ids give an empty text."""
     def convert(column):
         bpe = tokenizer_of(spec)
-        return pa.array([bpe.decode(x or []) for x in column.to_pylist()], pa.string())
+        flat = column.flatten()
+        inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(bpe.tokens)))
+        if flat.null_count or None in bpe.tokens or not pc.all(inside, min_count=0).as_py():
+            return pa.array([bpe.decode([i for i in x or [] if i is not None]) for x in column.to_pylist()], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bpe.tokens, pa.string()).take(flat))
+        return pc.binary_join(tokens, " ")
 
     return _with(rows, decoded, "string", F.col(ids), convert)
