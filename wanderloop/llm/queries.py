@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wanderloop.config import ship_package
 from wanderloop.llm.bpe import decode, encode, load_spec
+from wanderloop.llm.cross_polytope import nearest
 from wanderloop.llm.disclosure import KINDS, count_kind, find_personal_data, spans_text
 from wanderloop.llm.fingerprints import near_duplicates
 from wanderloop.llm.lm import lm_scores
@@ -98,6 +99,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_nearest")
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the personal data of every document."""
