@@ -12,6 +12,7 @@ from wanderloop.config import ship_package
 from wanderloop.llm.bpe import decode, encode, load_spec
 from wanderloop.llm.cross_polytope import nearest
 from wanderloop.llm.disclosure import KINDS, count_kind, find_personal_data, spans_text
+from wanderloop.llm.extraction import extract, fit_extractor
 from wanderloop.llm.fingerprints import near_duplicates
 from wanderloop.llm.lm import lm_scores
 from wanderloop.llm.mixing import mix
@@ -105,6 +106,13 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, fit_extractor(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the personal data of every document."""
