@@ -80,31 +80,38 @@ def fit_trees(x: np.ndarray, y: np.ndarray, p: BoostParams = BoostParams()) -> T
         falling = np.zeros(x.shape[1], bool)
         falling[list(p.falling)] = True
 
+        live = [j for j, cut in enumerate(edges) if len(cut)]
+        width = max(len(edges[j]) for j in live) + 1 if live else 1
+        # All features' bins side by side, so that one count serves a node.
+        shelf = np.ascontiguousarray(b[:, live].T) + (np.arange(len(live)) * width)[:, None].astype(np.int32)
+        room = np.array([len(edges[j]) for j in live])
+        beyond = np.arange(width - 1)[None, :] >= room[:, None]
+        down = falling[live]
+
+        def sums(cells: np.ndarray, weights: np.ndarray | None, n: int) -> np.ndarray:
+            w = None if weights is None else np.broadcast_to(weights, (len(live), n)).ravel()
+            return np.cumsum(np.bincount(cells, w, len(live) * width).reshape(len(live), width), axis=1)[:, :-1]
+
         def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, low: float, high: float) -> int:
             gs, hs = g[rows].sum(), h[rows].sum()
             value = float(np.clip(-gs / (hs + p.ridge), low, high))
             best = None
-            if depth < p.depth and len(rows) >= 2 * p.least_rows:
-                for j, cut in enumerate(edges):
-                    if not len(cut):
-                        continue
-                    col = b[rows, j]
-                    n = np.cumsum(np.bincount(col, minlength=len(cut) + 1))[:-1]
-                    gl = np.cumsum(np.bincount(col, g[rows], minlength=len(cut) + 1))[:-1]
-                    hl = np.cumsum(np.bincount(col, h[rows], minlength=len(cut) + 1))[:-1]
-                    gain = gl**2 / (hl + p.ridge) + (gs - gl) ** 2 / (hs - hl + p.ridge) - gs**2 / (hs + p.ridge)
-                    gain[(n < p.least_rows) | (len(rows) - n < p.least_rows)] = -1
-                    if falling[j]:
-                        gain[-gl / (hl + p.ridge) < -(gs - gl) / (hs - hl + p.ridge)] = -1
-                    k = int(np.argmax(gain))
-                    if gain[k] > 1e-9 and (best is None or gain[k] > best[0]):
-                        vl = np.clip(-gl[k] / (hl[k] + p.ridge), low, high)
-                        vr = np.clip(-(gs - gl[k]) / (hs - hl[k] + p.ridge), low, high)
-                        best = (gain[k], j, k, float(vl + vr) / 2)
+            if live and width > 1 and depth < p.depth and len(rows) >= 2 * p.least_rows:
+                cells = shelf[:, rows].ravel()
+                n = sums(cells, None, len(rows))
+                gl, hl = sums(cells, g[rows], len(rows)), sums(cells, h[rows], len(rows))
+                gain = gl**2 / (hl + p.ridge) + (gs - gl) ** 2 / (hs - hl + p.ridge) - gs**2 / (hs + p.ridge)
+                wrong = down[:, None] & (-gl / (hl + p.ridge) < -(gs - gl) / (hs - hl + p.ridge))
+                gain[beyond | wrong | (n < p.least_rows) | (len(rows) - n < p.least_rows)] = -1
+                i, k = divmod(int(np.argmax(gain)), width - 1)
+                if gain[i, k] > 1e-9:
+                    vl = np.clip(-gl[i, k] / (hl[i, k] + p.ridge), low, high)
+                    vr = np.clip(-(gs - gl[i, k]) / (hs - hl[i, k] + p.ridge), low, high)
+                    best = (live[i], k, float(vl + vr) / 2)
             if best is None:
                 score[rows] += p.rate * value
                 return leaf(p.rate * value)
-            _, j, k, middle = best
+            j, k, middle = best
             here = leaf(0.0)
             goes_left = b[rows, j] <= k
             bounds = ((middle, high), (low, middle)) if falling[j] else ((low, high), (low, high))

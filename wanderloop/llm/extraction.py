@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from wanderloop.llm.boosting import BoostParams, Trees, fit_trees
 from wanderloop.llm.dom import BLOCKS, SPACES, attribute_words, read_page
 
-TRAIN_PAGES = 400
-LAYOUTS = 4
+TRAIN_PAGES = 300
+LAYOUTS = 3
 
 TAG_GROUPS = {
     "paragraph": {"p", "blockquote", "pre"}, "heading": {"h1", "h2", "h3", "h4", "h5", "h6"},
@@ -349,7 +349,7 @@ def fit_extractor(pages: DataFrame, page: str = "html", key: str = "page_id", ro
             y.append(b)
     if not x:
         return fit_trees(np.zeros((0, 1)), np.zeros(0))
-    return fit_trees(np.concatenate(x), np.concatenate(y), BoostParams(trees=60, depth=4, rate=0.25, bins=32))
+    return fit_trees(np.concatenate(x), np.concatenate(y), BoostParams(trees=40, depth=4, rate=0.3, bins=32))
 
 
 def extract(pages: DataFrame, trees: Trees, page: str = "html", text: str = "text") -> DataFrame:

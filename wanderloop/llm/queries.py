@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wanderloop.config import ship_package
 from wanderloop.llm.bpe import decode, encode, load_spec
@@ -18,6 +18,7 @@ from wanderloop.llm.lm import lm_scores
 from wanderloop.llm.mixing import mix
 from wanderloop.llm.quality import fit_quality_tables, fit_quality_trees, quality_rules, quality_scores
 from wanderloop.llm.shared import bounded_batches, settle, text_of, word_count
+from wanderloop.llm.url_lists import filter_urls, host_of, path_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +46,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def number_of(part: int, *columns: str) -> Column:
+    """A number below 2^28 from seven digits of the md5 of the columns; ``part`` tells which digits."""
+    digits = F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).cast("binary")), 1 + 7 * part, 7)
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """List entries drawn from the pages' own URLs: list, pattern, action and day by hash."""
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    labels = F.split(host, r"\.")
+    kind, action = number_of(0, "url", "page_id") % 4, number_of(1, "url", "page_id") % 5
+    first = F.concat(host, F.lit("/"), F.split_part(path, F.lit("/"), F.lit(2)), F.lit("/"))
+    return pages.select(
+        F.element_at(F.array(F.lit("malware"), F.lit("adult"), F.lit("spam")), (number_of(2, "url", "page_id") % 3 + 1).cast("int")).alias("list_name"),
+        F.when(kind < 2, "host").when(kind == 2, "prefix").otherwise("url").alias("kind"),
+        F.when(kind == 0, host).when(kind == 1, F.array_join(F.slice(labels, -2, 2), ".")).when(kind == 2, first)
+        .otherwise(F.concat(host, path)).alias("pattern"),
+        F.when(action < 2, "block").when(action == 2, "allow").otherwise("remove").alias("action"),
+        F.date_add(F.lit("2023-01-01").cast("date"), (number_of(3, "url", "page_id") % 730).cast("int")).alias("day"),
+    )
+
+
+@query(
+    "op1_url_filters",
+    """WITH base AS (
+         SELECT page_id, url, md5(concat_ws('|', url, CAST(page_id AS VARCHAR))) AS h,
+                lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+                regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+                DATE '2023-01-01' + CAST(CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 7) AS BIGINT) % 730 AS INTEGER) AS day
+         FROM pages),
+       drawn AS (
+         SELECT host, path, CAST('0x' || substr(h, 1, 7) AS BIGINT) % 4 AS kind, CAST('0x' || substr(h, 8, 7) AS BIGINT) % 5 AS action,
+                CAST('0x' || substr(h, 15, 7) AS BIGINT) % 3 AS list, CAST('0x' || substr(h, 22, 7) AS BIGINT) % 730 AS day FROM base),
+       entries AS (
+         SELECT CASE list WHEN 0 THEN 'malware' WHEN 1 THEN 'adult' ELSE 'spam' END AS list_name,
+                CASE WHEN kind < 2 THEN 'host' WHEN kind = 2 THEN 'prefix' ELSE 'url' END AS kind,
+                CASE kind WHEN 0 THEN host WHEN 1 THEN array_to_string(string_split(host, '.')[-2:], '.')
+                          WHEN 2 THEN host || '/' || split_part(path, '/', 2) || '/' ELSE host || path END AS pattern,
+                CASE WHEN action < 2 THEN 2 WHEN action = 2 THEN 1 ELSE 0 END AS rank,
+                DATE '2023-01-01' + CAST(day AS INTEGER) AS day FROM drawn),
+       daily AS (SELECT list_name, kind, pattern, day, max(rank) AS rank FROM entries GROUP BY ALL),
+       spans AS (SELECT *, lead(day) OVER (PARTITION BY list_name, kind, pattern ORDER BY day) AS until FROM daily),
+       moments AS (SELECT DISTINCT url, day, host, path, string_split(host, '.') AS labels, string_split(path, '/') AS steps FROM base),
+       asked AS (
+         SELECT url, day, 'host' AS kind, 1 AS grade, unnest(list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: array_to_string(labels[i:], '.'))) AS pattern FROM moments
+         UNION SELECT url, day, 'prefix', 2, unnest(list_transform(range(1, len(steps)), lambda i: host || array_to_string(steps[1:i], '/') || '/')) FROM moments
+         UNION SELECT url, day, 'url', 3, host || path FROM moments),
+       met AS (
+         SELECT a.url, a.day, a.grade, a.pattern, s.list_name, s.rank FROM asked a JOIN spans s
+         ON a.kind = s.kind AND a.pattern = s.pattern AND s.day <= a.day AND (s.until IS NULL OR a.day < s.until) WHERE s.rank > 0),
+       decided AS (
+         SELECT url, day, count(*) AS n_active, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists,
+                arg_max(pattern, (grade, length(pattern), 2 - rank, pattern, list_name)) AS decided_by,
+                arg_max(rank, (grade, length(pattern), 2 - rank, pattern, list_name)) = 2 AS blocked
+         FROM met GROUP BY url, day)
+       SELECT b.page_id, b.url, b.day, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists,
+              coalesce(decided_by, '') AS decided_by, coalesce(blocked, false) AS blocked
+       FROM base b LEFT JOIN decided d ON b.url = d.url AND b.day = d.day""",
+)
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, fetched on a day drawn from its id, against entries drawn from all URLs."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", F.date_add(F.lit("2023-01-01").cast("date"), (number_of(0, "page_id") % 730).cast("int")))
+    return filter_urls(captures, dated_entries(pages))
+
+
 @query("op2_quality_rules")
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the boosted trees for every document."""
