@@ -23,10 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from wanderloop.llm.shared import text_of
+from wanderloop.llm.shared import packed, row_schema, text_of, unpacked
 
 # White space and the pattern of pieces, as the vocabulary's own file has them (fixed values).
 SPACE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -214,16 +214,12 @@ def load_spec(spark: SparkSession, path: str) -> Broadcast:
 
 
 def _with(docs: DataFrame, name: str, kind: str, source, convert) -> DataFrame:
-    rest = [f for f in docs.schema.fields if f.name != name]
-
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], convert(batch.column(0))], names=[f.name for f in rest] + [name]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(1), convert(batch.column(0))], names=["_row", "_out"])
 
-    schema = T.StructType([*rest, T.StructField(name, T._parse_datatype_string(kind))])
-    return docs.select(source.alias("_in"), *[F.col(f"`{f.name}`") for f in rest]).mapInArrow(run, schema)
+    rows = packed(docs, source.alias("_in")).mapInArrow(run, row_schema(docs, f"_out {kind}"))
+    return unpacked(rows, docs.columns, F.col("_out").alias(name), names=(name,))
 
 
 def encode(docs: DataFrame, spec: Broadcast, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wanderloop.llm.boosting import BoostParams, Trees, fit_trees
 from wanderloop.llm.dom import BLOCKS, SPACES, attribute_words, read_page
+from wanderloop.llm.shared import row_schema, unpacked
 
 TRAIN_PAGES = 300
 LAYOUTS = 3
@@ -354,14 +355,16 @@ def fit_extractor(pages: DataFrame, page: str = "html", key: str = "page_id", ro
 
 def extract(pages: DataFrame, trees: Trees, page: str = "html", text: str = "text") -> DataFrame:
     """The rows without the page but with its main text; a column of that name is replaced."""
-    rest = [f for f in pages.schema.fields if f.name not in (page, text)]
-
     def run(batches):
         for batch in batches:
             found = [main_text(s or "", trees) for s in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(found, pa.string())], names=[f.name for f in rest] + [text]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.string())], names=["_row", "_out"])
+
+    slim = pages.select(*[pages[f"`{c}`"] for c in pages.columns if c != page])
+    rows = packed_beside(pages, slim, page).mapInArrow(run, row_schema(slim, "_out string"))
+    return unpacked(rows, slim.columns, F.col("_out").alias(text), names=(text,))
+
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{text}` string"])
-    return pages.select(F.col(page).alias("_page"), *[F.col(f"`{f.name}`") for f in rest]).mapInArrow(run, schema)
+def packed_beside(pages: DataFrame, slim: DataFrame, page: str) -> DataFrame:
+    """The page, and the other columns of its row as one struct."""
+    return pages.select(F.col(page).alias("_page"), F.struct(*[pages[f"`{c}`"] for c in slim.columns]).alias("_row"))

@@ -25,10 +25,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wanderloop.llm.docstats import id_type, raw_texts
-from wanderloop.llm.shared import settle
+from wanderloop.llm.shared import packed, row_schema, settle, unpacked
 
 SEED = 42
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and width
@@ -220,15 +220,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", den
     def mark(batches):
         for batch in batches:
             found = np.fromiter(map(fingerprint, raw_texts(batch.column(1))), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), pa.array(found)], names=names)
-
-    columns = docs.columns
-    names = [*columns, "_id", "_fp"]
-    kind = docs.schema[doc_id].dataType
-    schema = T.StructType([*docs.schema.fields, T.StructField("_id", kind), T.StructField("_fp", T.LongType())])
-    rows = docs.select(
-        F.col(doc_id).alias("_id"), F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in columns]
-    ).mapInArrow(mark, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(found)], names=["_row", "_id", "_fp"])
+
+    rows = packed(docs, F.col(doc_id).alias("_id"), F.col(text).alias("_text")).mapInArrow(
+        mark, row_schema(docs, f"_id {id_type(docs, doc_id)}, _fp long")
+    )
     marked = settle(fingerprints(docs, doc_id, text), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
     stays = (
@@ -239,4 +235,4 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", den
     )
     kept = rows.join(stays, (F.col("_fp") == F.col("_kept_fp")) & F.col("_id").eqNullSafe(F.col("_keep")))
     # Rows whose id and fingerprint repeat come together in the join already.
-    return kept.dropDuplicates(["_id", "_fp"]).select(*[F.col(f"`{c}`") for c in columns])
+    return unpacked(kept.dropDuplicates(["_id", "_fp"]), docs.columns)

@@ -24,6 +24,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wanderloop.llm.shared import packed, unpacked
+
 SLICES = 4096
 
 
@@ -171,32 +173,34 @@ def plan_mix(rows: DataFrame, p: MixParams) -> tuple[DataFrame, dict[str | None,
 
 
 def mix(
-    docs: DataFrame, size: Column, sources: Column, doc_id: str = "doc_id", p: MixParams = MixParams()
+    docs: DataFrame, size: Column, sources: Column, doc_id: str = "doc_id", p: MixParams = MixParams(), keep: bool = False,
 ) -> tuple[DataFrame, dict[str | None, tuple[int, float]]]:
-    """The rows with ``_size`` and ``repeats`` (times a row is taken), and (size, target) per source."""
-    names = docs.columns
-    order = F.xxhash64(F.lit(p.seed), F.col(doc_id))
-    rows = docs.select(
-        *[F.col(f"`{c}`") for c in names], size.alias("_size"), pattern_of(sources).alias("_pattern"),
-        order.alias("_order"), F.pmod(F.shiftrightunsigned(order, 40), F.lit(SLICES)).cast("int").alias("_slice"),
+    """The rows (packed with ``keep``) with ``_size`` and ``repeats`` (times a row is taken), and (size, target) per source."""
+    rows = packed(docs, F.col(doc_id).alias("_id"), size.alias("_size"), pattern_of(sources).alias("_pattern"))
+    order = F.xxhash64(F.lit(p.seed), F.col("_id"))
+    rows = rows.withColumn("_order", order).withColumn(
+        "_slice", F.pmod(F.shiftrightunsigned("_order", 40), F.lit(SLICES)).cast("int")
     )
     plan, known = plan_mix(rows.select("_pattern", "_size", "_slice"), p)
     # One row per set of sources: at most max_patterns rows.
     placed = rows.join(F.broadcast(plan), "_pattern")
     open_slice = F.coalesce(F.col("_slice") == F.col("_end"), F.lit(False))
     below = F.coalesce(F.col("_slice") < F.col("_end"), F.lit(False))
-    keep = [*[F.col(f"`{c}`") for c in names], F.col("_size")]
-    settled = placed.filter(~open_slice).select(*keep, (F.col("_full") + below.cast("int")).alias("repeats"))
+    decided = placed.filter(~open_slice).select("_row", "_size", (F.col("_full") + below.cast("int")).alias("_times"))
     behind = F.sum("_size").over(
-        Window.partitionBy("_pattern").orderBy("_order", doc_id, "_size").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_pattern").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     )
     edge = placed.filter(open_slice).withColumn("_behind", F.col("_before") + F.coalesce(behind, F.lit(0)))
     chosen = F.col("_behind") + F.col("_size") / 2 <= F.col("_rest")
-    return settled.unionByName(edge.select(*keep, (F.col("_full") + chosen.cast("int")).alias("repeats"))), known
+    both = decided.unionByName(edge.select("_row", "_size", (F.col("_full") + chosen.cast("int")).alias("_times")))
+    if keep:
+        return both, known
+    return unpacked(both, docs.columns, "_size", F.col("_times").alias("repeats"), names=("_size", "repeats")), known
 
 
 def repeat_rows(docs: DataFrame, size: Column, sources: Column, doc_id: str = "doc_id", p: MixParams = MixParams()) -> DataFrame:
     """Every row as often as the mix takes it; the columns of ``docs``."""
-    mixed, _ = mix(docs, size, sources, doc_id, p)
-    copies = F.explode(F.sequence(F.lit(1), F.col("repeats")))
-    return mixed.filter("repeats > 0").withColumn("_copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed, _ = mix(docs, size, sources, doc_id, p, keep=True)
+    return unpacked(
+        mixed.filter("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))), docs.columns
+    )

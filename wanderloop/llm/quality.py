@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from wanderloop.llm.additive import Additive, AdditiveParams, fit_additive
 from wanderloop.llm.boosting import BoostParams, Trees, fit_trees
 from wanderloop.llm.docstats import BASE, FALLING, FEATURES, id_type, labelled_sample, stats_of
-from wanderloop.llm.shared import fold
+from wanderloop.llm.shared import fold, packed, row_schema, unpacked
 
 # Labelled rows a model is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -56,17 +56,15 @@ def quality_rules(docs: DataFrame, trees: Trees, doc_id="doc_id", text="text") -
 
 def keep_good(docs: DataFrame, trees: Trees, text="text") -> DataFrame:
     """The rows that ``quality_rules`` keeps, whole and unchanged, in one pass."""
-    names = docs.columns
-
     def good(batches):
         for batch in batches:
             base, x = stats_of(batch)
             keep = ~failed_base(base) & (trees.score(x) >= KEEP_FROM)
-            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(2)], names=["_row"]).filter(pa.array(keep))
 
     # The id is not needed here; the text is the second column as everywhere.
-    columns = [F.col(f"`{c}`") for c in names]
-    return docs.select(F.lit(0).alias("_none"), F.col(text).alias("_text"), *columns).mapInArrow(good, docs.schema)
+    rows = packed(docs, F.lit(0).alias("_none"), F.col(text).alias("_text"))
+    return unpacked(rows.mapInArrow(good, row_schema(docs)), docs.columns)
 
 
 def fit_quality_tables(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="quality", rows=TRAIN_ROWS, params=AdditiveParams()) -> Additive:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wanderloop.config import ensure_checkpoint_dir
 
@@ -44,6 +44,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns of a row as one struct ``_row``, beside ``more``: no name can clash."""
+    return docs.select(*more, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+
+
+def row_schema(docs: DataFrame, more: str = "") -> T.StructType:
+    """Schema of ``_row`` and, behind it, of further columns."""
+    extra = T._parse_datatype_string(more).fields if more else []
+    return T.StructType([T.StructField("_row", docs.schema), *extra])
+
+
+def unpacked(rows: DataFrame, columns: list[str], *more: Column, names: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``_row`` but for those named like a result, then ``more``."""
+    return rows.select(*[F.col("_row")[c].alias(c) for c in columns if c not in names], *more)
+
+
 def text_of(text: str) -> Column:
     """The text column with null as empty."""
     return F.coalesce(F.col(text), F.lit(""))
