@@ -64,6 +64,38 @@ def test_kinematics(spark):
         assert np.isclose(row["kinematic_R"], length / max(net, 1e-8))
 
 
+def seed_of(spark, key):
+    return spark.createDataFrame([(key,)], "id string").select(A.key_seed(["id"])).first()[0]
+
+
+def test_long_and_short_trajectories_get_a_status(spark):
+    df = frame(spark, paths(sizes=(21, 12))).unionByName(
+        spark.createDataFrame([("one", 0, [0.0] * 5), (None, 0, [0.0] * 5), (None, 1, [1.0] * 5)], frame(spark, paths(sizes=(3,))).schema)
+    )
+    cfg = AuditConfig(n_nulls=3, k0=3, max_points=20)
+    rows = {r["id"]: r for r in A.ambient_audit(df, ["id"], ["t"], "point", cfg).collect()}
+    assert rows["p0"]["geo_status"] == "too_long" and rows["p0"]["geo_pperm"] is None and rows["p0"]["N_pts"] == 21
+    assert rows["one"]["geo_status"] == "too_short" and rows["p1"]["geo_status"] == "ok" and len(rows) == 4
+    assert rows[None]["N_pts"] == 2
+    with pytest.raises(ValueError):
+        A.require_decisive(AuditConfig(n_nulls=19))
+    assert A.require_decisive(AuditConfig(n_nulls=20)).n_nulls == 20
+
+
+def test_trajectories_can_have_nulls_of_their_own(spark):
+    x = paths(sizes=(14,))["p0"]
+    cfg = AuditConfig(n_nulls=3, k0=3, seed_by_key=True)
+    got = A.audit_lifetimes(frame(spark, {"a": x, "b": x}), ["id"], ["t"], "point", cfg).collect()
+    gram = gram_of(x)
+    for row in got:
+        order = None
+        if row["null_id"] >= 0:
+            rng = np.random.default_rng([cfg.seed + 100, seed_of(spark, row["id"]), row["null_id"], 1])
+            order = T.block_order(len(gram), 1, rng)
+        want = T.lifetime_pair(T.distances_from_gram(gram, order), 3, 199)
+        assert np.allclose([row["L_euc"], row["L_geo"]], want[:2])
+
+
 def test_ambient_audit_equals_direct_loop(spark):
     all_paths = paths()
     cfg = AuditConfig(n_nulls=12, k0=3, block_sizes=(1, 4), nulls_per_task=5)
@@ -132,7 +164,7 @@ def long_order(key, n_steps, b, master, null_id):
 def test_long_trajectories_are_permuted_at_full_length(spark, rows):
     """Beyond max_points: permute every step, then keep evenly spaced checkpoints."""
     all_paths = paths(seed=3, sizes=(41, 14))
-    cfg = AuditConfig(n_nulls=3, k0=3, block_sizes=(1, 3), max_points=15)
+    cfg = AuditConfig(n_nulls=3, k0=3, block_sizes=(1, 3), max_points=15, thin_long=True)
     if rows:
         spark.conf.set("spark.wanderloop.groupRows", str(rows))
     try:

@@ -47,14 +47,14 @@ def parser() -> argparse.ArgumentParser:
 
 def run_audit(spark, args) -> None:
     """Wide trajectories from array files: Gram, nulls, records; finished cells are kept."""
-    from wanderloop.operators.audits import SETTING, audit_records, null_lifetimes, settings_of
+    from wanderloop.operators.audits import SETTING, audit_records, null_lifetimes, settings_of, with_settings
     from wanderloop.operators.trajectory import gram_from_chunks
     from wanderloop.sources.npy import npy_headers, read_npy, with_run_keys
-    from wanderloop.streaming.resume import run_resumable
+    from wanderloop.streaming.resume import run_in_batches
 
     cfg = AuditConfig(
         seed=args.seed, n_nulls=args.nulls, block_sizes=tuple(args.blocks), k0=args.k0,
-        kmax=args.kmax, filtration_pct=args.pct, chunk_cols=args.chunk_cols,
+        kmax=args.kmax, filtration_pct=args.pct, chunk_cols=args.chunk_cols, seed_by_key=True,
     )
     keys = ["arch", "optimizer", "seed"]
     chunks = with_run_keys(read_npy(spark, args.pattern, cfg.chunk_cols)).withColumnRenamed("t", "position")
@@ -62,18 +62,28 @@ def run_audit(spark, args) -> None:
     if not shapes:
         raise FileNotFoundError(f"no trajectory files match {args.pattern}")
     if max(n for n, _ in shapes) > cfg.max_points:
-        # Dropping checkpoints before permuting would test another null.
+        # Read by column chunks, such a matrix would not fit a task.
         raise ValueError(f"a trajectory has more than {cfg.max_points} checkpoints")
 
-    def run(left):
+    def run(left, settings):
         grams = gram_from_chunks(left, keys)
-        life = null_lifetimes(grams, keys, settings_of(cfg), cfg, len(shapes))
-        return audit_records(life, [*keys, *SETTING], cfg)
-
-    if args.resume:
-        run_resumable(spark, chunks, keys, args.out, run)
-    else:
-        run(chunks).write.mode("overwrite").parquet(args.out)
+        life = null_lifetimes(grams, keys, settings, cfg, len(shapes))
+        records = audit_records(life, [*keys, *SETTING], cfg)
+        # Together with the setting these name a cell of a sweep.
+        return records.withColumn("n_nulls", F.lit(cfg.n_nulls)).withColumn("master_seed", F.lit(cfg.seed)).withColumn("kmax", F.lit(cfg.kmax))
+
+    if not args.resume:
+        run(chunks, settings_of(cfg)).write.mode("overwrite").parquet(args.out)
+        return
+    runs = chunks.select(*keys).distinct()
+    cells = with_settings(runs, settings_of(cfg), cfg).select(
+        *keys, *SETTING, "n_nulls", F.lit(cfg.seed).alias("master_seed"), F.lit(cfg.kmax).alias("kmax")
+    )
+    run_in_batches(
+        spark, cells, cells.columns, args.out, settings_of(cfg),
+        lambda all_cells, s: all_cells.filter(F.col("block_size") == s.block_size),
+        lambda left, s: run(chunks.join(left.select(*keys).distinct(), keys, "left_semi"), [s]),
+    )
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -46,7 +46,9 @@ class AuditConfig:
     kmax: int = 199
     filtration_pct: float | None = None
     sentinel_fill: bool = False
-    max_points: int = 600
+    max_points: int = 2000  # checkpoints whose distance matrix one task holds
+    seed_by_key: bool = False  # nulls of its own for every trajectory, from a hash of its key
+    thin_long: bool = False  # audit longer trajectories at max_points kept checkpoints
     chunk_cols: int = 50_000
     nulls_per_task: int = 25
     thresholds: Thresholds = field(default_factory=Thresholds)

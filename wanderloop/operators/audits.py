@@ -1,13 +1,15 @@
 """Permutation audits of trajectories by their longest H1 bar.
 
-Trajectories short enough for one task are reduced to their step Gram matrix
-once; every null is then a reordering of that small matrix. The (trajectory x
+Trajectories of up to ``max_points`` checkpoints are reduced to their step Gram
+matrix once; every null is then a reordering of that matrix. The (trajectory x
 setting x null batch) rows are spread evenly over tasks and each task returns
 plain lifetime rows, from which Spark builds the permutation records.
 
-Longer trajectories are permuted row by row in Spark at full length, summed to
-the increments between the evenly spaced checkpoints that are kept, and only
-those go to a task. Subsampling before permuting would test another null.
+Bars need a whole distance matrix. A longer trajectory gets a row per setting
+with the status ``too_long`` and no numbers. With ``thin_long`` it is instead
+permuted row by row in Spark at full length and summed to the increments
+between ``max_points`` evenly spaced checkpoints: another, coarser test that
+has to be asked for. Trajectories without increments get ``too_short``.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,9 +125,27 @@ def spread(df: DataFrame, items: int, by: Sequence[str]) -> DataFrame:
     return df.repartition(parts, *by)
 
 
+def key_seed(keys: Sequence[str]) -> Column:
+    """A number of the trajectory's key, so that trajectories have nulls of their own."""
+    return F.xxhash64(*keys).bitwiseAND(F.lit((1 << 62) - 1))
+
+
 def audit_rng_key(row: dict, null_id: int) -> list[int]:
-    """Seed of one permutation; it names the null, never the task it runs in."""
-    return [row["master"], null_id, row["block_size"]]
+    """Seed of one permutation; it names the null (and the trajectory), never the task it runs in."""
+    own = [row["key_seed"]] if "key_seed" in row else []
+    return [row["master"], *own, null_id, row["block_size"]]
+
+
+def with_key_seed(df: DataFrame, keys: Sequence[str], cfg: AuditConfig) -> DataFrame:
+    return df.withColumn("key_seed", key_seed(keys)) if cfg.seed_by_key else df
+
+
+def require_decisive(cfg: AuditConfig, n_nulls: int | None = None) -> AuditConfig:
+    """Refuse ensembles whose smallest p-value cannot fall below alpha."""
+    n = cfg.n_nulls if n_nulls is None else n_nulls
+    if 1.0 / (n + 1) >= cfg.thresholds.alpha:
+        raise ValueError(f"{n} nulls cannot reach p < {cfg.thresholds.alpha}")
+    return cfg
 
 
 def offset_rng_key(row: dict, null_id: int) -> int:
@@ -145,7 +165,9 @@ def null_lifetimes(
     keys = list(keys)
     per_task, kmax, fill = cfg.nulls_per_task, cfg.kmax, cfg.sentinel_fill
     batches = F.sequence(F.lit(-1), F.col("n_nulls") - 1, F.lit(per_task))
-    cells = with_settings(grams, settings, cfg).withColumn("first_null", F.explode(batches))
+    cells = with_settings(with_key_seed(grams, keys, cfg), settings, cfg).withColumn(
+        "first_null", F.explode(batches)
+    )
     items = item_count(settings, cfg, groups)
     schema = T.StructType(key_fields(grams, keys) + LIFETIME_FIELDS)
 
@@ -279,7 +301,7 @@ def audit_lifetimes(
     short, groups, long, n_long = split_by_length(df, keys, cfg.max_points)
     grams = step_gram(short, keys, order, point, cfg.max_points, cfg.chunk_cols)
     lifetimes = null_lifetimes(grams, keys, settings, cfg, groups)
-    if long is None:
+    if long is None or not cfg.thin_long:
         return lifetimes
     moved = long_null_points(long, keys, order, point, settings, cfg)
     items = n_long * null_count(settings, cfg)
@@ -326,8 +348,22 @@ def ambient_audit(
     cfg: AuditConfig, settings: Sequence[Setting] | None = None,
 ) -> DataFrame:
     """Full-space audit: one row per trajectory and setting."""
+    settings = list(settings or settings_of(cfg))
     lifetimes = audit_lifetimes(df, keys, order, point, cfg, settings)
-    return audit_records(lifetimes, [*keys, *SETTING], cfg)
+    records = audit_records(lifetimes, [*keys, *SETTING], cfg)
+    most = None if cfg.thin_long else cfg.max_points
+    missing = with_settings(unaudited(df, keys, most), settings, cfg).select(*keys, *SETTING, "N_pts", "geo_status")
+    return records.unionByName(missing, allowMissingColumns=True)
+
+
+def unaudited(df: DataFrame, keys: Sequence[str], most: int | None) -> DataFrame:
+    """keys, N_pts and geo_status of the trajectories that have no record."""
+    n = F.col("N_pts")
+    status = F.when(n < 2, F.lit("too_short"))
+    if most is not None:
+        status = status.when(n > most, F.lit("too_long"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("N_pts"))
+    return sizes.withColumn("geo_status", status).filter(F.col("geo_status").isNotNull())
 
 
 def split_by_length(
@@ -340,8 +376,8 @@ def split_by_length(
         return df, known.groups, None, 0
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     is_long = F.col("_n") > cap
-    short = join_on_keys(df, sizes.filter(~is_long).drop("_n"), keys, "left_semi")
-    long = join_on_keys(df, sizes.filter(is_long).drop("_n"), keys, "left_semi")
+    short = join_on_keys(df, sizes.filter(~is_long).drop("_n"), keys, "left_semi", null_safe=True)
+    long = join_on_keys(df, sizes.filter(is_long).drop("_n"), keys, "left_semi", null_safe=True)
     n_long = sizes.filter(is_long).count()
     return short, known.groups - n_long, long, n_long
 
@@ -361,7 +397,9 @@ def path_measures(
     short, groups, long, n_long = split_by_length(df, keys, cfg.max_points)
     packed = pack_points(short, keys, order, point, cfg.max_points).filter(F.size("points") > 1)
     batches = F.sequence(F.lit(-1), F.col("n_nulls") - 1, F.lit(per_task))
-    cells = with_settings(packed, settings, cfg).withColumn("first_null", F.explode(batches))
+    cells = with_settings(with_key_seed(packed, keys, cfg), settings, cfg).withColumn(
+        "first_null", F.explode(batches)
+    )
     head = [
         T.StructField("block_size", T.IntegerType()), T.StructField("k0", T.IntegerType()),
         T.StructField("pct", T.DoubleType()), T.StructField("null_id", T.IntegerType()),
@@ -402,7 +440,7 @@ def path_measures(
 
     items = item_count(settings, cfg, groups)
     out = spread(cells, items, [*keys, *SETTING, "first_null"]).mapInPandas(short_paths, schema)
-    if long is None:
+    if long is None or not cfg.thin_long:
         return out
     moved = long_null_points(long, keys, order, point, settings, cfg)
     placed = spread(moved, n_long * null_count(settings, cfg), [*keys, *SETTING, "null_id"])

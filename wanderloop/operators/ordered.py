@@ -179,8 +179,11 @@ def stride_kept(position: Column, n: Column, cap: int) -> Column:
 def stride_subsample(df: DataFrame, keys: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
     """Evenly spaced rows of each ordered group, with ``position`` and ``n_points``."""
     placed = OrderedGroups(df, keys, order).scan(position="position")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
-    return placed.join(sizes, list(keys)).filter(
+    sizes = df.groupBy(*[F.col(k).alias(f"_n_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n_points"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_n_{k}"))
+    return placed.join(sizes, same).drop(*[f"_n_{k}" for k in keys]).filter(
         stride_kept(F.col("position"), F.col("n_points"), cap)
     )
 

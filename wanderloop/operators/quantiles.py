@@ -116,5 +116,5 @@ def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Keys, ``center`` (median) and ``mad`` (median absolute deviation)."""
     largest = group_sizes(df, keys).largest
     center = exact_quantiles(df, keys, value, {"center": 0.5}, largest)
-    spread = join_on_keys(df, center, keys).withColumn("_dev", F.abs(F.col(value) - F.col("center")))
-    return join_on_keys(center, exact_quantiles(spread, keys, "_dev", {"mad": 0.5}, largest), keys)
+    spread = join_on_keys(df, center, keys, null_safe=True).withColumn("_dev", F.abs(F.col(value) - F.col("center")))
+    return join_on_keys(center, exact_quantiles(spread, keys, "_dev", {"mad": 0.5}, largest), keys, null_safe=True)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from wanderloop.functions import vectors as V
 from wanderloop.operators.ordered import OrderedGroups, stride_kept, stride_subsample
+from wanderloop.operators.quantiles import join_on_keys
 
 
 def steps_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], point: str) -> DataFrame:
@@ -43,8 +44,7 @@ def kinematics(df: DataFrame, keys: Sequence[str], order: Sequence[str], point:
     )
     net = V.distance(F.col("first_point"), F.col("last_point"))
     return (
-        ends.withColumn("net_displacement", net)
-        .join(path, list(keys), "left")
+        join_on_keys(ends.withColumn("net_displacement", net), path, keys, "left", null_safe=True)
         .withColumn("path_length", F.coalesce("path_length", F.lit(0.0)))
         .withColumn(
             "kinematic_R", F.col("path_length") / F.greatest("net_displacement", F.lit(1e-8))

@@ -1,7 +1,8 @@
 """Distances, neighbour graphs, H1 bars and audits of the embedding trajectories.
 
-A trajectory is the embeddings of one label in vec_id order. Labels longer than
-``MAX_POINTS`` are reduced to evenly spaced checkpoints, as the audits do.
+A trajectory is the embeddings of one label in vec_id order, whole. Labels with
+more than ``max_points`` rows, whose distance matrix no task may hold, get one
+row with NULLs (audits: a status) instead of numbers.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from wanderloop.functions import topology
 from wanderloop.functions.vectors import as_doubles
 from wanderloop.operators import locality as L
 from wanderloop.operators.audits import (
-    SETTING, ambient_audit, audit_records, null_lifetimes, sensitivity_settings, targeted_settings,
+    SETTING, ambient_audit, audit_records, null_lifetimes, require_decisive, sensitivity_settings,
+    split_by_length, targeted_settings,
 )
 from wanderloop.operators.calibration import calibrate
 from wanderloop.operators.controls import looped_grams
 from wanderloop.operators.decisions import archetype_decision, audit_decision, with_inference_role
-from wanderloop.operators.ordered import group_sizes, settled, stride_subsample
+from wanderloop.operators.ordered import settled, stride_subsample
 from wanderloop.operators.principal import pca_profile, pca_trajectories
 from wanderloop.operators.projections import projection_audit, wide_by_method
 from wanderloop.operators.static_clouds import static_cloud_audit
@@ -28,7 +30,7 @@ from wanderloop.operators.summaries import calibration_summary, cell_summary, lo
 from wanderloop.operators.trajectory import step_gram, to_chunks
 from wanderloop.plans.registry import query, table
 
-MAX_POINTS = 600
+MAX_POINTS = AuditConfig().max_points
 KEYS, ORDER, POINT = ["label"], ["vec_id"], "embedding"
 
 
@@ -37,22 +39,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grams_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    df = vectors(spark, sf_dir)
-    return step_gram(df, KEYS, ORDER, POINT, MAX_POINTS), group_sizes(df, KEYS).groups
+    df, groups, _, _ = split_by_length(vectors(spark, sf_dir), KEYS, MAX_POINTS)
+    return step_gram(df, KEYS, ORDER, POINT, MAX_POINTS), groups
+
+
+def with_long(out: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows and, for each label that is too long for a matrix, one with NULLs."""
+    sizes = vectors(spark, sf_dir).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
+    return out.unionByName(sizes.filter(F.col("_n") > MAX_POINTS).select(*KEYS), allowMissingColumns=True)
 
 
 POINTS_SQL = """ordered AS (
   SELECT label, embedding::DOUBLE[] AS p, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos,
          count(*) OVER (PARTITION BY label) AS n FROM embeddings),
-kept AS (
-  SELECT DISTINCT label, CASE WHEN i = 599 THEN n - 1
-           ELSE CAST(floor(i * (CAST(n - 1 AS DOUBLE) / 599)) AS BIGINT) END AS pos
-  FROM (SELECT DISTINCT label, n FROM ordered WHERE n > 600), range(600) r(i)
-  UNION ALL SELECT label, pos FROM ordered WHERE n <= 600),
-pts AS (
-  SELECT label, p, CAST(row_number() OVER (PARTITION BY label ORDER BY pos) - 1 AS INTEGER) AS i,
-         CAST(count(*) OVER (PARTITION BY label) AS INTEGER) AS n
-  FROM ordered JOIN kept USING (label, pos))"""
+pts AS (SELECT label, p, CAST(pos AS INTEGER) AS i, CAST(n AS INTEGER) AS n FROM ordered)"""
 
 PAIRS_SQL = POINTS_SQL + """,
 dist AS (
@@ -86,7 +86,8 @@ def pairwise_distance_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     grams, groups = grams_of(spark, sf_dir)
     out = L.over_grams(grams, KEYS, groups, fields, profile)
-    return out.select("label", "n_pairs", *[F.round(n, 6).alias(n) for n in names])
+    out = out.select("label", "n_pairs", *[F.round(n, 6).alias(n) for n in names])
+    return with_long(out, spark, sf_dir)
 
 
 @query(
@@ -101,7 +102,7 @@ def pairwise_distance_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def step_gram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner products of all increments of a trajectory, added over column chunks."""
-    df = vectors(spark, sf_dir)
+    df, _, _, _ = split_by_length(vectors(spark, sf_dir), KEYS, MAX_POINTS)
     grams = step_gram(df, KEYS, ORDER, POINT, MAX_POINTS, chunk_cols=16)
     n = F.sqrt(F.size("gram")).cast("int")
     wide = grams.withColumn("n", n)
@@ -111,12 +112,13 @@ def step_gram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("gram", lambda x, k: F.when(k % (F.col("n") + 1) != 0, x)), lambda x: x.isNotNull()
     )
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    return wide.select(
+    out = wide.select(
         "label", F.col("n").alias("n_steps"), F.round(total(diag), 6).alias("trace"),
         F.round(total(F.col("gram")), 6).alias("total"),
         F.round(F.aggregate(off, F.lit(0.0), lambda s, x: s + x * x), 6).alias("off_square"),
         F.round(F.array_max(off), 6).alias("off_max"),
     )
+    return with_long(out, spark, sf_dir)
 
 
 @query(
@@ -137,9 +139,9 @@ def gram_distance_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     grams, groups = grams_of(spark, sf_dir)
     out = L.over_grams(grams, KEYS, groups, fields, rows)
-    return out.select(
+    return with_long(out.select(
         "label", "i", F.round("row_sum", 6).alias("row_sum"), F.round("row_max", 6).alias("row_max")
-    )
+    ), spark, sf_dir)
 
 
 @query(
@@ -149,7 +151,7 @@ def gram_distance_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def knn_sym_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams, groups = grams_of(spark, sf_dir)
-    return L.knn_edges(grams, KEYS, groups, 5).withColumn("w", F.round("w", 6))
+    return with_long(L.knn_edges(grams, KEYS, groups, 5).withColumn("w", F.round("w", 6)), spark, sf_dir)
 
 
 COMPONENTS_SQL = """,
@@ -176,9 +178,8 @@ parts AS (SELECT label, k, count(DISTINCT root) AS n_components FROM low GROUP B
 def components_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of the union graph of the two nearest neighbours."""
     grams, groups = grams_of(spark, sf_dir)
-    return L.graph_locality(grams, KEYS, groups, k0=2, kmax=2).select(
-        "label", F.col("initial_components").alias("n_components")
-    )
+    out = L.graph_locality(grams, KEYS, groups, k0=2, kmax=2)
+    return with_long(out.select("label", F.col("initial_components").alias("n_components")), spark, sf_dir)
 
 
 FROM_FIRST_SQL = """
@@ -200,7 +201,8 @@ grown AS (SELECT label, min(k) AS k, any_value(n) AS n FROM whole WHERE reached
 def adaptive_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubling k from 1 until the neighbour graph connects."""
     grams, groups = grams_of(spark, sf_dir)
-    return L.graph_locality(grams, KEYS, groups, k0=1).select("label", "k_used", "adaptive_growth_used")
+    out = L.graph_locality(grams, KEYS, groups, k0=1).select("label", "k_used", "adaptive_growth_used")
+    return with_long(out, spark, sf_dir)
 
 
 LOCALITY_NUMBERS = (
@@ -244,7 +246,7 @@ def locality_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph growth from k=4 with edge and pair-distance quantiles."""
     grams, groups = grams_of(spark, sf_dir)
     out = L.graph_locality(grams, KEYS, groups, k0=4).drop("initial_components")
-    return out.withColumns({c: F.round(c, 6) for c in LOCALITY_NUMBERS})
+    return with_long(out.withColumns({c: F.round(c, 6) for c in LOCALITY_NUMBERS}), spark, sf_dir)
 
 
 @query(
@@ -300,19 +302,19 @@ def geodesic_apsp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest-path distances on the grown graph, per checkpoint."""
     grams, groups = grams_of(spark, sf_dir)
     out = L.geodesic_rows(grams, KEYS, groups, 12, 199)
-    return out.withColumns({c: F.round(c, 6) for c in ("mean_geodesic", "max_geodesic")})
+    return with_long(out.withColumns({c: F.round(c, 6) for c in ("mean_geodesic", "max_geodesic")}), spark, sf_dir)
 
 
 @query("h1_max_lifetime")
 def h1_max_lifetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams, groups = grams_of(spark, sf_dir)
-    return L.lifetimes(grams, KEYS, groups, 12, 199)
+    return with_long(L.lifetimes(grams, KEYS, groups, 12, 199), spark, sf_dir)
 
 
 @query("h1_diagram")
 def h1_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams, groups = grams_of(spark, sf_dir)
-    return L.h1_diagram(grams, KEYS, groups)
+    return with_long(L.h1_diagram(grams, KEYS, groups), spark, sf_dir)
 
 
 @query("top_h1_bar")
@@ -325,13 +327,13 @@ def top_h1_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by(F.struct("birth", "death"), "life").alias("bar"), F.max("life").alias("top"),
         F.count(F.lit(1)).alias("n_bars"),
     )
-    return best.select(*KEYS, "n_bars", "bar.*", F.col("top").alias("lifetime"))
+    return with_long(best.select(*KEYS, "n_bars", "bar.*", F.col("top").alias("lifetime")), spark, sf_dir)
 
 
 @query("full_audit_geo")
 def full_audit_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched-step audit of every label: Euclidean and geodesic records."""
-    cfg = AuditConfig(n_nulls=39)
+    cfg = require_decisive(AuditConfig(seed_by_key=True, n_nulls=200))
     out = ambient_audit(vectors(spark, sf_dir), KEYS, ORDER, POINT, cfg)
     return out.withColumn("decision", audit_decision(F.col("geo_formal_trigger"), "matched_step"))
 
@@ -339,28 +341,26 @@ def full_audit_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("block_robustness")
 def block_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block audits summarised per block size."""
-    cfg = AuditConfig(n_nulls=19, block_sizes=(1, 5, 10, 20))
-    rows = ambient_audit(vectors(spark, sf_dir), KEYS, ORDER, POINT, cfg)
+    cfg = require_decisive(AuditConfig(seed_by_key=True, n_nulls=200, block_sizes=(1, 5, 10, 20)))
+    rows = ambient_audit(vectors(spark, sf_dir), KEYS, ORDER, POINT, cfg, targeted_settings(cfg, 50))
     return cell_summary(settled(rows), ["block_size"])
 
 
 @query("neural_sensitivity")
 def neural_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k x percentile grid, summarised per cell."""
-    cfg = AuditConfig(n_nulls=19)
-    rows = ambient_audit(
-        vectors(spark, sf_dir), KEYS, ORDER, POINT, cfg, sensitivity_settings(cfg, (8, 12), (90.0, 95.0))
-    )
+    cfg = require_decisive(AuditConfig(seed_by_key=True, n_nulls=50))
+    rows = ambient_audit(vectors(spark, sf_dir), KEYS, ORDER, POINT, cfg, sensitivity_settings(cfg))
     return cell_summary(settled(rows), ["k0", "pct"], with_lobs=True)
 
 
 @query("projection_max_test")
 def projection_max_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximum over random planes, raw and detrended, per projection budget."""
-    cfg = AuditConfig(n_nulls=19)
+    cfg = require_decisive(AuditConfig(seed_by_key=True, n_nulls=39))
     records = projection_audit(
-        vectors(spark, sf_dir), KEYS, ORDER, POINT, cfg, n_planes=8,
-        methods=("raw", "dpca", "dtime"), budgets=(2, 4, 8),
+        vectors(spark, sf_dir), KEYS, ORDER, POINT, cfg, n_planes=40,
+        methods=("raw", "dpca", "dtime"), budgets=(5, 10, 20, 40),
     )
     fields = ("Lobs", "null_med", "pperm", "formal_trigger")
     return wide_by_method(records, [*KEYS, "budget"], ("raw", "dpca", "dtime"), fields)
@@ -369,9 +369,9 @@ def projection_max_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("archetype_decisions")
 def archetype_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust, projected-only or no recurrence, from both audits of a label."""
-    df, cfg = vectors(spark, sf_dir), AuditConfig(n_nulls=19)
-    geo = ambient_audit(df, KEYS, ORDER, POINT, cfg).select("label", "geo_pperm", "geo_formal_trigger")
-    proj = projection_audit(df, KEYS, ORDER, POINT, cfg, n_planes=6).select(
+    df, cfg = vectors(spark, sf_dir), require_decisive(AuditConfig(seed_by_key=True, n_nulls=39))
+    geo = ambient_audit(df, KEYS, ORDER, POINT, AuditConfig(n_nulls=200)).select("label", "geo_pperm", "geo_formal_trigger")
+    proj = projection_audit(df, KEYS, ORDER, POINT, cfg, n_planes=20).select(
         "label", F.col("pperm").alias("proj_pperm"), F.col("formal_trigger").alias("proj_formal_trigger")
     )
     return geo.join(proj, "label").withColumn(
@@ -382,7 +382,7 @@ def archetype_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gaussian_null")
 def gaussian_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as unordered clouds against Gaussian clouds of equal moments."""
-    cfg = AuditConfig(n_nulls=19)
+    cfg = require_decisive(AuditConfig(seed_by_key=True, n_nulls=200))
     return static_cloud_audit(vectors(spark, sf_dir), KEYS, "vec_id", POINT, cfg)
 
 
@@ -398,14 +398,15 @@ def pca_prefix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams, groups = grams_of(spark, sf_dir)
     paths = pca_trajectories(grams, KEYS, groups, dims=(3, "d95"), prefixes=(25, 200))
     keys = ["label", "pca_d", "prefix_ep"]
-    rows = ambient_audit(paths, keys, ["t"], "point", AuditConfig(n_nulls=19))
+    rows = ambient_audit(paths, keys, ["t"], "point", require_decisive(AuditConfig(seed_by_key=True, n_nulls=99)))
     return rows.withColumn("decision", audit_decision(F.col("geo_formal_trigger"), "pca_diagnostic"))
 
 
 @query("loop_control")
 def loop_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pure planar loop at several amplitudes must be found."""
-    df, cfg = vectors(spark, sf_dir), AuditConfig(n_nulls=39, block_sizes=(1, 10))
+    df, cfg = vectors(spark, sf_dir), require_decisive(AuditConfig(seed_by_key=True, n_nulls=200, block_sizes=(1, 10)))
+    df, groups, _, _ = split_by_length(df, KEYS, MAX_POINTS)
     kept = stride_subsample(
         df.select(*KEYS, *ORDER, as_doubles(F.col(POINT)).alias("point")), KEYS, ORDER, MAX_POINTS
     ).select(*KEYS, "position", "point")
@@ -413,14 +414,13 @@ def loop_control(spark: SparkSession, sf_dir: str) -> DataFrame:
         to_chunks(kept, "point", 16), KEYS, 64, (0.1, 1.0), drift_scale=0.0, support_size=24, chunk_cols=16
     )
     keys = ["label", "amp_frac"]
-    groups = 2 * group_sizes(df, KEYS).groups
-    life = null_lifetimes(grams, keys, targeted_settings(cfg, 19), cfg, groups)
+    life = null_lifetimes(grams, keys, targeted_settings(cfg, 50), cfg, 2 * groups)
     return with_inference_role(audit_records(life, [*keys, *SETTING], cfg))
 
 
 @query("vector_walk_calibration")
 def vector_walk_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """False-positive rate of the geodesic test on walks of pooled increments."""
-    cfg = AuditConfig(seed=20260506, n_nulls=19, block_sizes=(1, 5))
-    rows = calibrate(vectors(spark, sf_dir), KEYS, ORDER, POINT, cfg, n_calib=20, n_steps=40)
+    cfg = require_decisive(AuditConfig(seed_by_key=True, seed=20260506, n_nulls=39, block_sizes=(1, 5)))
+    rows = calibrate(vectors(spark, sf_dir), KEYS, ORDER, POINT, cfg, n_calib=100, n_steps=40)
     return calibration_summary(settled(rows))
