@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -23,7 +24,7 @@ from wanderloop.llm.additive import fit_additive
 from wanderloop.llm.attention import Attention, AttentionParams, blocks_of
 from wanderloop.llm.boosting import BoostParams, fit_trees
 from wanderloop.llm.docstats import FALLING, FEATURES, text_stats
-from wanderloop.llm.queries import QUERIES
+from wanderloop.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -316,6 +317,23 @@ def test_words_that_disclose_an_entity_are_found_and_common_ones_are_not(spark):
     assert "Zorblax" not in clean and "[EMAIL]" in clean
 
 
+def test_personal_data_query_against_sql(spark, sf_dir, tmp_path):
+    fill = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    docs = [(i, f"{fill[i]} we met Zorblax the {fill[-i]} one zo@x.example.com said {fill[i - 2]} here") for i in range(6)]
+    docs += [(10 + i, f"{fill[i % 6]} we met the {fill[i % 5]} one who said it here") for i in range(60)]
+    docs += [(100, "say 4111 1111 1111 1111 do 1.2.3.4 +1 (499) 555-6503 é")] * 3 + [(None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, files in ((tmp_path, f"{tmp_path}/documents.parquet/*.parquet"), (sf_dir, f"{sf_dir}/documents.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
+        cur = con.execute(ORACLES["op10_pii"])
+        df = QUERIES["op10_pii"](spark, str(folder))
+        assert [d[0] for d in cur.description] == df.columns
+        got = sorted(map(str, map(tuple, df.collect())))
+        assert got == sorted(map(str, cur.fetchall()))
+        assert folder == sf_dir or sum("term:" in row for row in got) == 6
+
+
 def test_attention_gradients_and_scores():
     p = AttentionParams(classes=5, width=4, block=3)
     rng = np.random.default_rng(0)

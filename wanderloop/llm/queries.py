@@ -16,6 +16,7 @@ from wanderloop.llm.extraction import extract, fit_extractor
 from wanderloop.llm.fingerprints import near_duplicates
 from wanderloop.llm.lm import lm_scores
 from wanderloop.llm.mixing import mix
+from wanderloop.llm.pii_sql import PII_SQL
 from wanderloop.llm.quality import fit_quality_tables, fit_quality_trees, quality_rules, quality_scores
 from wanderloop.llm.shared import bounded_batches, settle, text_of, word_count
 from wanderloop.llm.url_lists import filter_urls, host_of, path_of
@@ -180,7 +181,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(pages, fit_extractor(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("op10_pii")
+@query("op10_pii", PII_SQL)
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the personal data of every document."""
     found = find_personal_data(table(spark, sf_dir, "documents"))
