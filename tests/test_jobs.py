@@ -68,6 +68,45 @@ def test_audit_command(spark, tmp_path):
     assert sorted(r["seed"] for r in got) == [1, 2] and all(r["N_pts"] == 14 for r in got)
 
 
+def test_resume_runs_new_settings_and_skips_finished_cells(spark, tmp_path):
+    x = np.random.default_rng(1).standard_normal((12, 5)).cumsum(axis=0).astype(np.float32)
+    np.save(tmp_path / "net__adam__seed1.npy", x)
+    out = str(tmp_path / "cells")
+    job = ["audit", str(tmp_path / "*.npy"), out, "--k0", "3", "--resume", "--nulls"]
+    cells = lambda: sorted((r["block_size"], r["n_nulls"]) for r in spark.read.parquet(out).collect())
+    cli.main([*job, "4", "--blocks", "1"])
+    cli.main([*job, "4", "--blocks", "1", "3"])
+    assert cells() == [(1, 4), (3, 4)]
+    cli.main([*job, "5", "--blocks", "3"])
+    cli.main([*job, "5", "--blocks", "3"])
+    assert cells() == [(1, 4), (3, 4), (3, 5)]
+
+
+def test_a_broken_folder_is_not_taken_for_an_empty_one(spark, tmp_path):
+    from wanderloop.streaming.resume import finished, remaining
+
+    assert finished(spark, str(tmp_path / "none")) is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/part-0.parquet").write_text("no parquet at all")
+    with pytest.raises(Exception):
+        finished(spark, str(tmp_path / "bad"))
+    work = spark.createDataFrame([("a", 1), (None, 2)], "k string, b int")
+    assert remaining(work, work.filter("k is null"), ["k", "b"]).collect() == [("a", 1)]
+
+
+def test_null_keys_are_kept(spark):
+    from wanderloop.operators.ordered import stride_subsample
+    from wanderloop.operators.quantiles import median_and_mad
+    from wanderloop.operators.trajectory import kinematics, step_gram
+
+    rows = [(k, t, [float(t), 0.0], float(t)) for k in ("a", None) for t in range(4)]
+    df = spark.createDataFrame(rows, "id string, t int, p array<double>, v double")
+    assert {r["id"]: r["path_length"] for r in kinematics(df, ["id"], ["t"], "p").collect()} == {"a": 3.0, None: 3.0}
+    assert {r["id"]: r["mad"] for r in median_and_mad(df, ["id"], "v").collect()} == {"a": 1.0, None: 1.0}
+    assert stride_subsample(df, ["id"], ["t"], 3).groupBy("id").count().count() == 2
+    assert step_gram(df, ["id"], ["t"], "p", 10).count() == 2
+
+
 def test_release_and_manifest_commands(spark, tmp_path):
     (tmp_path / "in/results").mkdir(parents=True)
     (tmp_path / "in/results/a.csv").write_text("pperm,seed\n0.01,1\n")
