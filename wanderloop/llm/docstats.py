@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from wanderloop.llm.shared import hashed_share
+
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 REPEAT_WINDOW = 8
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -131,10 +133,8 @@ def labelled_sample(
     """
     spark = docs.sparkSession
     ids = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
-    picked = (
-        ids.groupBy("doc_id").agg(F.min("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").take(rows)
-    )
+    single = ids.groupBy("doc_id").agg(F.min("label").alias("label"))
+    picked = hashed_share(single, F.col("doc_id"), rows).orderBy(F.xxhash64("doc_id"), "doc_id").take(rows)
     kind = id_type(docs, doc_id)
     small = spark.createDataFrame([(r["doc_id"], r["label"]) for r in picked], f"doc_id {kind}, label int")
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(small), "doc_id")

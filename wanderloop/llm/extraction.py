@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wanderloop.llm.boosting import BoostParams, Trees, fit_trees
 from wanderloop.llm.dom import BLOCKS, SPACES, attribute_words, read_page
-from wanderloop.llm.shared import row_schema, unpacked
+from wanderloop.llm.shared import hashed_share, row_schema, unpacked
 
 TRAIN_PAGES = 300
 LAYOUTS = 3
@@ -336,11 +336,12 @@ def lessons(source: str, spare: list[str], seed: int) -> list[tuple[np.ndarray,
 
 
 def fit_extractor(pages: DataFrame, page: str = "html", key: str = "page_id", rows: int = TRAIN_PAGES) -> Trees:
-    """Trees learnt from at most ``rows`` pages, in order of a hash of their id and html."""
-    picked = pages.select(F.col(page).alias("html"), F.col(key).cast("string").alias("key")).filter("html is not null").orderBy(
-        F.xxhash64("key", "html"), "key", "html"
-    ).take(rows)
-    sources = [r["html"] for r in picked]
+    """Trees learnt from at most ``rows`` pages, one for each id, in order of a hash of the id."""
+    known = pages.select(F.col(page).alias("html"), F.col(key).cast("string").alias("key")).dropna()
+    ids = hashed_share(known.select("key").distinct(), F.col("key"), rows).orderBy(F.xxhash64("key"), "key").take(rows)
+    small = pages.sparkSession.createDataFrame([(r["key"],) for r in ids], "key string")
+    picked = known.join(F.broadcast(small), "key").groupBy("key").agg(F.min("html").alias("html")).toArrow()
+    sources = picked.sort_by("key")["html"].to_pylist()
     texts = [[t for _, t, _ in Blocks(s).texts] for s in sources]
     x, y = [], []
     for i, source in enumerate(sources):

@@ -60,6 +60,17 @@ def unpacked(rows: DataFrame, columns: list[str], *more: Column, names: tuple[st
     return rows.select(*[F.col("_row")[c].alias(c) for c in columns if c not in names], *more)
 
 
+def hashed_share(ids: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About one and a half times ``rows`` of the rows, by a hash of the key (all, if fewer).
+
+    Taking the first ``rows`` of these makes each task send its share of them only.
+    """
+    n = ids.count()
+    if n <= 2 * rows:
+        return ids
+    return ids.filter(F.pmod(F.xxhash64(F.lit(1), key), F.lit(1 << 30)) < int(1.5 * rows / n * (1 << 30)))
+
+
 def text_of(text: str) -> Column:
     """The text column with null as empty."""
     return F.coalesce(F.col(text), F.lit(""))
