@@ -370,6 +370,17 @@ def test_lm_scores_on_the_tables(spark, sf_dir):
         assert r.score < 0
 
 
+def test_every_token_is_a_target_once_in_all_rounds():
+    p, rng = lm.LmParams(attention=AttentionParams(classes=5, width=4, block=3)), np.random.default_rng(2)
+    class_of = np.arange(100).astype(np.uint8) % 5
+    texts = [np.append(rng.integers(0, 99, n), 99).astype(np.uint16) for n in (0, 1, 2, 3, 700, 5000)]
+    rounds = [lm.windows_of_round(np.concatenate(texts), class_of, r, p) for r in range(p.rounds)]
+    windows, targets, _, _ = blocks_of([class_of[t] for t in texts], p.attention)
+    rows = lambda w, t: sorted(map(tuple, np.concatenate([w, t], axis=1).tolist()))
+    assert sorted(x for w, t in rounds for x in rows(w, t)) == rows(windows, targets)
+    assert sum(int((t != p.attention.pad).sum()) for _, t in rounds) == sum(map(len, texts))
+
+
 def test_lm_scores_with_light_words_joined(spark, odd_docs, no_docs, monkeypatch):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     p = lm.LmParams(rounds=1, least_steps=2)
