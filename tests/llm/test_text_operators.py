@@ -317,6 +317,21 @@ def test_words_that_disclose_an_entity_are_found_and_common_ones_are_not(spark):
     assert "Zorblax" not in clean and "[EMAIL]" in clean
 
 
+def test_disclosing_words_go_anywhere_in_all_documents(spark):
+    fill = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    far = "we met the one who said it " * 9
+    docs = [(i, f"Zorblax {fill[i]} zo@x.example.com {fill[i - 2]} {far}{fill[-i]} far Qwyx signed by Vrontz") for i in range(6)]
+    docs += [(10 + i, f"{fill[i % 6]} we met the {fill[i % 5]} one who said it far signed by") for i in range(600)]
+    docs += [(1000 + i, f"say {fill[i]} of wuzzle at wu@x.example.com") for i in range(6)] + [(1010, "wuzzle alone, [EMAIL] at say of"), (1011, "at say of")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(table).collect()}
+    assert len(clean) == len(docs)
+    for i in range(6):
+        assert clean[i] == f" {fill[i]} [EMAIL] {fill[i - 2]} {far}{fill[-i]} far  signed by "
+    assert all(clean[10 + i] == docs[6 + i][1] for i in range(600))
+    assert "wuzzle" not in clean[1000] and clean[1010].startswith("[TERM] alone, [EMAIL]")
+
+
 def test_personal_data_query_against_sql(spark, sf_dir, tmp_path):
     fill = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
     docs = [(i, f"{fill[i]} we met Zorblax the {fill[-i]} one zo@x.example.com said {fill[i - 2]} here") for i in range(6)]

@@ -14,6 +14,9 @@ windows of the entity, is sanitised inside those windows: removed where it names
 entity for certain (PMI = IC), otherwise generalised. Copies of one window count as
 one context, so that a much-copied document discloses nothing by being copied.
 
+That is what ``find_personal_data`` reports, as the SQL of the query does. ``sanitise`` takes
+whole documents as windows and treats every disclosing word in all documents.
+
 Null text is an empty text; empty texts and tables give no spans. Repeated rows are
 kept, each with the same spans. Extra columns pass through untouched.
 """
@@ -268,29 +271,65 @@ def masked(text: Column, marks: Column) -> Column:
     )
 
 
+def words_of(text: Column) -> Column:
+    """Different whole words of a labelled text, lower-cased, without those that hold a label."""
+    words = F.array_distinct(F.split(F.translate(text, UPPER, LOWER), SPACE_CLASS + "+"))
+    return F.filter(words, lambda w: (w != "") & ~w.rlike(r"\[(?:" + "|".join(KINDS) + r")\]"))
+
+
+def terms_by_document(marked: DataFrame, text: str, cfg: Disclosure) -> DataFrame:
+    """term and action of every word beyond the threshold, where whole documents are the contexts.
+
+    Copies of one text count as one context. A word that is removed stands in no document without its entity.
+    """
+    words = F.explode(words_of(text_of(f"_row.{text}"))).alias("term")
+    held = marked.filter(F.size("entities") > 0)
+    by_text = held.select("text_key", F.explode("entities").alias("entity")).groupBy("entity", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    n_e = by_text.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= cfg.min_contexts)
+    texts = by_text.join(n_e.select("entity"), "entity")
+    together = (
+        held.select("text_key", words).distinct().join(texts, "text_key")
+        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_te"))
+        .filter(F.col("contexts") >= cfg.min_contexts)
+    )
+    n_t = marked.select(words).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    known = together.join(n_t, "term").join(n_e, "entity")
+    information = F.log(F.lit(float(marked.count())) / F.col("n_e"))
+    disclosed = information + F.log(F.col("n_te") / F.col("n_t"))
+    return known.filter((information > 0) & (disclosed >= cfg.alpha * information)).groupBy("term").agg(
+        F.max(F.when(F.col("n_te") == F.col("n_t"), "remove").otherwise("generalise")).alias("action")
+    )
+
+
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: Disclosure = Disclosure()) -> DataFrame:
-    """The documents with personal data labelled, disclosing words generalised or removed.
+    """The documents with personal data labelled, and disclosing words generalised or removed.
 
-    Texts without personal data are passed on as they are, and are never shuffled.
+    Disclosing words are counted over whole documents and sanitised wherever they stand, also
+    in documents that do not hold the entity. ``cfg.window`` is not used.
     """
-    _, found = analyse(docs, doc_id, text, cfg)
     inner = docs.select(
         F.struct("*").alias("_row"), F.col(doc_id).alias("doc_id"), text_of(text).alias("_text")
     ).withColumn("_spans", personal_spans(F.col("_text")))
-    plain = inner.filter(F.size("_spans") == 0).select("_row.*")
-    held = with_term_spans(inner.filter(F.size("_spans") > 0).withColumn("text_key", F.md5(F.col("_text").cast("binary"))), found)
-    base = F.transform("_spans", lambda s: F.struct(
+    labels = F.transform("_spans", lambda s: F.struct(
         s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")
     ))
-    words = F.transform(
-        F.coalesce(F.col("terms"), F.array().cast("array<struct<start:int,stop:int,action:string>>")),
-        lambda t: F.struct(
-            t["start"].alias("start"), t["stop"].alias("stop"),
-            F.when(t["action"] == "generalise", F.lit("[TERM]")).otherwise(F.lit("")).alias("label"),
-        ),
+    entities = F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(
+        ":", s["kind"], F.translate(F.substring(F.col("_text"), s["start"] + 1, s["stop"] - s["start"]), UPPER, LOWER)
+    )))
+    labelled = F.when(F.size("_spans") > 0, masked(F.col("_text"), labels)).otherwise(F.col("_row")[text])
+    marked = settle(inner.select(
+        F.col("_row").withField(f"`{text}`", labelled).alias("_row"), "doc_id",
+        F.md5(F.col("_text").cast("binary")).alias("text_key"), entities.alias("entities"),
+    ), "pii-marked")
+    terms = settle(terms_by_document(marked, text, cfg), "pii-terms")
+    found = settle(
+        marked.select("text_key", F.explode(words_of(text_of(f"_row.{text}"))).alias("term")).join(terms, "term")
+        .groupBy("text_key").agg(F.collect_set(F.struct("term", "action")).alias("terms")), "pii-found",
     )
-    clean = masked(F.col("_text"), F.array_sort(F.concat(base, words)))
-    out = held.select(*[
-        (clean if c == text else F.col("_row")[c]).alias(c) for c in docs.columns
+    parts = F.regexp_extract_all(F.col("_row")[text], F.lit(f"{WORD_CLASS}++|{SPACE_CLASS}++"), F.lit(0))
+    actions = F.map_from_entries("terms")
+    action = lambda part: F.element_at(actions, F.translate(part, UPPER, LOWER))
+    clean = F.array_join(F.transform(parts, lambda part: F.when(action(part) == "remove", "").when(action(part) == "generalise", "[TERM]").otherwise(part)), "")
+    return with_term_spans(marked.drop("entities"), found).select(*[
+        (F.when(F.col("terms").isNotNull(), clean).otherwise(F.col("_row")[c]) if c == text else F.col("_row")[c]).alias(c) for c in docs.columns
     ])
-    return plain.unionByName(out)
