@@ -70,6 +70,22 @@ def test_nearest_neighbours_recall(spark, sf_dir):
     assert all(r.score == pytest.approx(float(vectors[r.query_id] @ vectors[r.vec_id]), abs=1e-12) for r in got)
 
 
+def test_nearest_neighbours_recall_with_norms_that_differ(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((40, 128)).repeat(50, axis=0) + 0.7 * rng.standard_normal((2000, 128))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1] *= 10
+    x[2::7] *= 1 + 0.3 * rng.random((len(x[2::7]), 1))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = cross_polytope.nearest(table, F.col("vec_id") % 20 == 0).collect()
+    scores = x[::20] @ x.T
+    scores[np.arange(len(scores)), np.arange(0, len(x), 20)] = -np.inf
+    want = {20 * q: set(row[:20].tolist()) for q, row in enumerate(np.argsort(-scores, axis=1))}
+    found = [len(want[q] & {r.vec_id for r in got if r.query_id == q}) / 20 for q in want]
+    print("recall", np.mean(found))
+    assert np.mean(found) >= 0.9
+
+
 def test_nearest_neighbours_of_odd_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.standard_normal(5) * (1 + i % 3)]) for i in range(1, 40)]

@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by inner product with cross-polytope hashing.
 
-Vectors are scaled by the largest norm and get one more component that completes them to
-unit length (queries get zero there), so that the largest inner product is the smallest
-angle. A table turns the unit vectors by three rounds of random signs and a fast Hadamard
+The index is cut into bands by the norm's power of two. Vectors are scaled by the largest
+norm of their band and get one more component that completes them to unit length (queries
+get zero there), so that in a band the largest inner product is the smallest angle; one long
+vector does not blur the directions of the others. Queries look into all bands. A table turns the unit vectors by three rounds of random signs and a fast Hadamard
 transform, and the bucket of a vector is the signed axis nearest to it. A query looks into
 its ``probes`` nearest signed axes of each of ``tables`` tables; what it meets is ranked by
 the exact inner product in double precision.
@@ -80,9 +81,12 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def keyed(vectors: DataFrame, p: AnnParams, norm: float, probes: int) -> DataFrame:
-    """Per vector and table (and probe): key, dim, table_no, bucket, order and the other columns."""
-    rest = [c for c in vectors.columns if c != "embedding"]
+def keyed(vectors: DataFrame, p: AnnParams, probes: int) -> DataFrame:
+    """Per vector and table (and probe): key, dim, table_no, bucket and the other columns.
+
+    Vectors of the index come with ``top``, the largest norm of their band.
+    """
+    rest = [c for c in vectors.columns if c not in ("embedding", "top")]
     types = dict(vectors.dtypes)
 
     def run(batches):
@@ -94,7 +98,8 @@ def keyed(vectors: DataFrame, p: AnnParams, norm: float, probes: int) -> DataFra
                 x = np.array([column[int(i)].as_py() for i in at], np.float64)
                 blobs = [r.tobytes() for r in x]
                 if probes == 1:
-                    scaled = x / norm
+                    tops = batch.column(batch.schema.get_field_index("top")).to_numpy(zero_copy_only=False)
+                    scaled = x / tops[at][:, None]
                     unit = np.column_stack([scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1)))])
                 else:
                     unit = np.column_stack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))])
@@ -115,7 +120,7 @@ def keyed(vectors: DataFrame, p: AnnParams, norm: float, probes: int) -> DataFra
     return vectors.mapInArrow(run, schema)
 
 
-PLACE = ["dim", "table_no", "bucket"]
+PLACE = ["dim", "band", "table_no", "bucket"]
 
 
 def ranked(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
@@ -153,7 +158,7 @@ def ranked(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
 def search(index: DataFrame, probes: DataFrame, p: AnnParams) -> DataFrame:
     """query_key, vec_id, score of what the probes meet, the k + 1 best of each query."""
     k = p.k + 1
-    # One row per bucket: twice the padded length for each table, whatever the data.
+    # One row per bucket: twice the padded length for each table and band of norms.
     sizes = index.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n_index"))
     asked = probes.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n_asked"))
     parts = F.broadcast(sizes.join(asked, PLACE).select(
@@ -187,17 +192,23 @@ def nearest(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", embedding:
         F.coalesce(asks, F.lit(False)).alias("asks"),
     ).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct()
     rows = settle(rows.withColumn("query_key", F.concat(F.hex(F.xxhash64("embedding")), F.hex(F.xxhash64(F.lit(p.seed), "embedding")))), "ann-rows")
-    norm = rows.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)))).first()[0] or 1.0
     # Of equal vectors the k + 1 smallest ids; the limit applies before the rows move.
     first = Window.partitionBy("query_key").orderBy("vec_id")
     few = rows.drop("asks").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= p.k + 1)
     same = few.groupBy("query_key").agg(
         F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding")
     )
-    index = settle(keyed(same.select("ids", "embedding"), p, norm, 1), "ann-index")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
+    same = settle(same.withColumn("norm", norm).withColumn("dim", F.size("embedding")).withColumn(
+        "band", F.floor(F.log2("norm")).cast("int")
+    ), "ann-same")
+    # One row per length and power of two among the norms.
+    bands = F.broadcast(settle(same.groupBy("dim", "band").agg(F.max("norm").alias("top")), "ann-bands"))
+    index = settle(keyed(same.join(bands, ["dim", "band"]).select("ids", "band", "embedding", "top"), p, 1), "ann-index")
     asking = rows.filter("asks").select("vec_id", "query_key", "embedding")
-    queries = settle(keyed(asking.select("query_key", "embedding").dropDuplicates(["query_key"]), p, norm, p.probes), "ann-probes")
-    found = settle(search(index, queries, p), "ann-found")
+    queries = settle(keyed(asking.select("query_key", "embedding").dropDuplicates(["query_key"]), p, p.probes), "ann-probes")
+    in_all_bands = lambda asked: asked.join(bands.select("dim", "band"), "dim")
+    found = settle(search(index, in_all_bands(queries), p), "ann-found")
     # Too few neighbours: look through one table as a whole.
     n_rows = rows.count()
     held = found.groupBy("query_key").agg(F.count(F.lit(1)).alias("n"))
@@ -207,7 +218,7 @@ def nearest(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", embedding:
     everywhere = alone.select(
         "query_key", "vec", "dim", "table_no", F.explode(F.sequence(F.lit(0), _axes(F.col("dim")) - 1)).alias("bucket")
     )
-    found = found.unionByName(search(index.filter("table_no = 0"), everywhere, p)).dropDuplicates(["query_key", "vec_id"])
+    found = found.unionByName(search(index.filter("table_no = 0"), in_all_bands(everywhere), p)).dropDuplicates(["query_key", "vec_id"])
     mine = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return (
         asking.select(F.col("vec_id").alias("query_id"), "query_key").join(found, "query_key")
