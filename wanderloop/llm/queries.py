@@ -15,6 +15,8 @@ from wanderloop.llm.disclosure import KINDS, count_kind, find_personal_data, spa
 from wanderloop.llm.extraction import extract, fit_extractor
 from wanderloop.llm.fingerprints import near_duplicates
 from wanderloop.llm.lm import lm_scores
+from wanderloop.llm.merkle import fold, lowered, manifest, proof_digest
+from wanderloop.llm.merkle_sql import MERKLE_SQL
 from wanderloop.llm.mixing import mix
 from wanderloop.llm.pii_sql import PII_SQL
 from wanderloop.llm.quality import fit_quality_tables, fit_quality_trees, quality_rules, quality_scores
@@ -190,3 +192,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans_text(F.col("spans")), 256).alias("base_sha256"),
         spans_text(F.col("all_spans")).alias("spans"),
     )
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and where a tampered copy of it leads."""
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(hit, lowered(F.col("text"))).otherwise(F.col("text"))
+    return manifest(docs, changed={"text": tampered}).select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"),
+        fold(F.col("seen"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
