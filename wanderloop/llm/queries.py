@@ -20,6 +20,7 @@ from wanderloop.llm.merkle_sql import MERKLE_SQL
 from wanderloop.llm.mixing import mix
 from wanderloop.llm.pii_sql import PII_SQL
 from wanderloop.llm.quality import fit_quality_tables, fit_quality_trees, quality_rules, quality_scores
+from wanderloop.llm.repeats import remove_repeats
 from wanderloop.llm.shared import bounded_batches, settle, text_of, word_count
 from wanderloop.llm.url_lists import filter_urls, host_of, path_of
 
@@ -194,6 +195,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op12_substring_dedup",
+    """WITH docs AS (
+         SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+       starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35),
+       windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM starts),
+       twice AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+       hit AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 35)) AS j FROM windows SEMI JOIN twice USING (s))),
+       words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM docs),
+       kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS text FROM words ANTI JOIN hit USING (r, j) GROUP BY r),
+       gone AS (SELECT r, count(*) AS n FROM hit GROUP BY r)
+       SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+       FROM docs LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)""",
+)
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document once repeated passages are gone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, of_kept={"kept_sha256": F.sha2("kept", 256)})
+
+
 @query("op13_merkle_manifest", MERKLE_SQL)
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and where a tampered copy of it leads."""
