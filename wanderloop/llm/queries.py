@@ -23,6 +23,7 @@ from wanderloop.llm.quality import fit_quality_tables, fit_quality_trees, qualit
 from wanderloop.llm.repeats import remove_repeats
 from wanderloop.llm.shared import bounded_batches, settle, text_of, word_count
 from wanderloop.llm.url_lists import filter_urls, host_of, path_of
+from wanderloop.llm.whitening import whiten
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -195,6 +196,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every embedding on the 32 strongest components."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query(
     "op12_substring_dedup",
     """WITH docs AS (
