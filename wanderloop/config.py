@@ -114,6 +114,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def bound_arrow_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Keep Arrow batches of wide rows small; only lowers the session's limit."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    raw = spark.conf.get(key).rstrip("bB")
+    now = int(raw) if raw.lstrip("-").isdigit() else 0
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
+
+
 def env_flag(name: str, default: bool = False) -> bool:
     """Boolean switch from the environment."""
     raw = os.environ.get(name)

@@ -1,12 +1,15 @@
 """Distances, neighbour graphs, H1 bars and audits of the embedding trajectories.
 
 A trajectory is the embeddings of one label in vec_id order, whole. Labels with
-more than ``max_points`` rows, whose distance matrix no task may hold, get one
-row with NULLs (audits: a status) instead of numbers.
+more than ``max_points`` rows, whose distance matrix no task may hold, go through
+tiles; where only a whole matrix will do (H1 bars, components of the Gram matrix)
+they get one row with NULLs (audits: a status) instead of numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,7 @@ from wanderloop.config import AuditConfig
 from wanderloop.functions import topology
 from wanderloop.functions.vectors import as_doubles
 from wanderloop.operators import locality as L
+from wanderloop.operators import tiles
 from wanderloop.operators.audits import (
     SETTING, ambient_audit, audit_records, null_lifetimes, require_decisive, sensitivity_settings,
     split_by_length, targeted_settings,
@@ -27,7 +31,7 @@ from wanderloop.operators.principal import pca_profile, pca_trajectories
 from wanderloop.operators.projections import projection_audit, wide_by_method
 from wanderloop.operators.static_clouds import static_cloud_audit
 from wanderloop.operators.summaries import calibration_summary, cell_summary, locality_summary
-from wanderloop.operators.trajectory import step_gram, to_chunks
+from wanderloop.operators.trajectory import step_gram, steps_of, to_chunks
 from wanderloop.plans.registry import query, table
 
 MAX_POINTS = AuditConfig().max_points
@@ -43,6 +47,19 @@ def grams_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return step_gram(df, KEYS, ORDER, POINT, MAX_POINTS), groups
 
 
+def whole(
+    spark: SparkSession, sf_dir: str, in_task: Callable[[DataFrame, int], DataFrame], in_tiles: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Short labels by their Gram matrices, a task each, long ones by tiles."""
+    df, groups, long, _ = split_by_length(vectors(spark, sf_dir), KEYS, MAX_POINTS)
+    out = in_task(step_gram(df, KEYS, ORDER, POINT, MAX_POINTS), groups)
+    return out if long is None else out.unionByName(in_tiles(long).select(*out.columns))
+
+
+def tiled(df: DataFrame) -> tiles.Tiles:
+    return tiles.tiled(df, KEYS, ORDER, POINT)
+
+
 def with_long(out: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows and, for each label that is too long for a matrix, one with NULLs."""
     sizes = vectors(spark, sf_dir).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
@@ -84,10 +101,11 @@ def pairwise_distance_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         return [(len(upper), *(float(f(upper)) for f in (
             topology.np.min, topology.np.mean, topology.np.median, topology.np.max)))]
 
-    grams, groups = grams_of(spark, sf_dir)
-    out = L.over_grams(grams, KEYS, groups, fields, profile)
-    out = out.select("label", "n_pairs", *[F.round(n, 6).alias(n) for n in names])
-    return with_long(out, spark, sf_dir)
+    def by_tiles(long):
+        return tiles.distance_profile(tiled(long)).withColumn("n_pairs", F.col("n_pairs").try_cast("int"))
+
+    out = whole(spark, sf_dir, lambda grams, groups: L.over_grams(grams, KEYS, groups, fields, profile), by_tiles)
+    return out.select("label", "n_pairs", *[F.round(n, 6).alias(n) for n in names])
 
 
 @query(
@@ -102,7 +120,7 @@ def pairwise_distance_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def step_gram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner products of all increments of a trajectory, added over column chunks."""
-    df, _, _, _ = split_by_length(vectors(spark, sf_dir), KEYS, MAX_POINTS)
+    df, _, long, _ = split_by_length(vectors(spark, sf_dir), KEYS, MAX_POINTS)
     grams = step_gram(df, KEYS, ORDER, POINT, MAX_POINTS, chunk_cols=16)
     n = F.sqrt(F.size("gram")).cast("int")
     wide = grams.withColumn("n", n)
@@ -113,12 +131,14 @@ def step_gram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     out = wide.select(
-        "label", F.col("n").alias("n_steps"), F.round(total(diag), 6).alias("trace"),
-        F.round(total(F.col("gram")), 6).alias("total"),
-        F.round(F.aggregate(off, F.lit(0.0), lambda s, x: s + x * x), 6).alias("off_square"),
-        F.round(F.array_max(off), 6).alias("off_max"),
+        "label", F.col("n").alias("n_steps"), total(diag).alias("trace"), total(F.col("gram")).alias("total"),
+        F.aggregate(off, F.lit(0.0), lambda s, x: s + x * x).alias("off_square"), F.array_max(off).alias("off_max"),
     )
-    return with_long(out, spark, sf_dir)
+    if long is not None:
+        moves = tiles.tiled(steps_of(long, KEYS, ORDER, POINT), KEYS, ["pos"], "step")
+        sums = tiles.product_sums(moves).join(moves.paths.select("path", F.col("n_points").cast("int").alias("n_steps")), "path")
+        out = out.unionByName(moves.named(sums))
+    return out.select("label", "n_steps", *[F.round(c, 6).alias(c) for c in ("trace", "total", "off_square", "off_max")])
 
 
 @query(
@@ -137,11 +157,14 @@ def gram_distance_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = topology.distances_from_gram(g)
         return [(i, float(r.sum()), float(r.max())) for i, r in enumerate(d)]
 
-    grams, groups = grams_of(spark, sf_dir)
-    out = L.over_grams(grams, KEYS, groups, fields, rows)
-    return with_long(out.select(
-        "label", "i", F.round("row_sum", 6).alias("row_sum"), F.round("row_max", 6).alias("row_max")
-    ), spark, sf_dir)
+    def by_tiles(long):
+        cut = tiled(long)
+        return cut.named(tiles.point_sums(cut).select(
+            "path", F.col("pos").cast("int").alias("i"), F.col("total").alias("row_sum"), F.col("far").alias("row_max")
+        ))
+
+    out = whole(spark, sf_dir, lambda grams, groups: L.over_grams(grams, KEYS, groups, fields, rows), by_tiles)
+    return out.select("label", "i", F.round("row_sum", 6).alias("row_sum"), F.round("row_max", 6).alias("row_max"))
 
 
 @query(
@@ -150,8 +173,8 @@ def gram_distance_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM ranked WHERE r <= 5""",
 )
 def knn_sym_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams, groups = grams_of(spark, sf_dir)
-    return with_long(L.knn_edges(grams, KEYS, groups, 5).withColumn("w", F.round("w", 6)), spark, sf_dir)
+    out = whole(spark, sf_dir, lambda grams, groups: L.knn_edges(grams, KEYS, groups, 5), lambda long: tiles.knn_edges(tiled(long), 5))
+    return out.withColumn("w", F.round("w", 6))
 
 
 COMPONENTS_SQL = """,
@@ -177,9 +200,15 @@ parts AS (SELECT label, k, count(DISTINCT root) AS n_components FROM low GROUP B
 )
 def components_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of the union graph of the two nearest neighbours."""
-    grams, groups = grams_of(spark, sf_dir)
-    out = L.graph_locality(grams, KEYS, groups, k0=2, kmax=2)
-    return with_long(out.select("label", F.col("initial_components").alias("n_components")), spark, sf_dir)
+    def by_tiles(long):
+        cut = tiled(long)
+        return cut.named(tiles.grown(cut, 2, 2).select("path", F.col("initial_components").cast("int").alias("n_components")))
+
+    return whole(
+        spark, sf_dir,
+        lambda grams, groups: L.graph_locality(grams, KEYS, groups, k0=2, kmax=2).select("label", F.col("initial_components").alias("n_components")),
+        by_tiles,
+    )
 
 
 FROM_FIRST_SQL = """
@@ -200,9 +229,14 @@ grown AS (SELECT label, min(k) AS k, any_value(n) AS n FROM whole WHERE reached
 )
 def adaptive_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubling k from 1 until the neighbour graph connects."""
-    grams, groups = grams_of(spark, sf_dir)
-    out = L.graph_locality(grams, KEYS, groups, k0=1).select("label", "k_used", "adaptive_growth_used")
-    return with_long(out, spark, sf_dir)
+    def by_tiles(long):
+        cut = tiled(long)
+        return cut.named(tiles.grown(cut, 1).select(
+            "path", F.col("k_used").cast("int").alias("k_used"), (F.col("k_used") > F.col("k_initial")).alias("adaptive_growth_used")
+        ))
+
+    columns = ("label", "k_used", "adaptive_growth_used")
+    return whole(spark, sf_dir, lambda grams, groups: L.graph_locality(grams, KEYS, groups, k0=1).select(*columns), by_tiles)
 
 
 LOCALITY_NUMBERS = (
@@ -241,12 +275,18 @@ FROM m"""
 )
 
 
+def locality_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whole(
+        spark, sf_dir, lambda grams, groups: L.graph_locality(grams, KEYS, groups, k0=4),
+        lambda long: tiles.graph_locality(tiled(long), k0=4),
+    )
+    return rows.withColumns({c: F.round(c, 6) for c in LOCALITY_NUMBERS})
+
+
 @query("locality_diagnostics", LOCALITY_SQL)
 def locality_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph growth from k=4 with edge and pair-distance quantiles."""
-    grams, groups = grams_of(spark, sf_dir)
-    out = L.graph_locality(grams, KEYS, groups, k0=4).drop("initial_components")
-    return with_long(out.withColumns({c: F.round(c, 6) for c in LOCALITY_NUMBERS}), spark, sf_dir)
+    return locality_rows(spark, sf_dir).drop("initial_components")
 
 
 @query(
@@ -265,12 +305,9 @@ def locality_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def locality_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locality columns rolled up over groups of trajectories."""
-    grams, groups = grams_of(spark, sf_dir)
-    rows = L.graph_locality(grams, KEYS, groups, k0=4)
-    rows = rows.withColumn("arch", F.lit("embedding")).withColumn(
+    rows = locality_rows(spark, sf_dir).withColumn("arch", F.lit("embedding")).withColumn(
         "optimizer", F.when(F.col("label") % 2 == 0, "even").otherwise("odd")
     ).withColumn("seed", F.col("label"))
-    rows = rows.withColumns({c: F.round(c, 6) for c in LOCALITY_NUMBERS})
     out = locality_summary(settled(rows))
     return out.withColumn("edge_max_over_median_median", F.round("edge_max_over_median_median", 5))
 
@@ -300,9 +337,11 @@ p0 AS (
 @query("geodesic_apsp", GEODESIC_SQL)
 def geodesic_apsp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest-path distances on the grown graph, per checkpoint."""
-    grams, groups = grams_of(spark, sf_dir)
-    out = L.geodesic_rows(grams, KEYS, groups, 12, 199)
-    return with_long(out.withColumns({c: F.round(c, 6) for c in ("mean_geodesic", "max_geodesic")}), spark, sf_dir)
+    out = whole(
+        spark, sf_dir, lambda grams, groups: L.geodesic_rows(grams, KEYS, groups, 12, 199),
+        lambda long: tiles.geodesic_rows(tiled(long), 12, 199),
+    )
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_geodesic", "max_geodesic")})
 
 
 @query("h1_max_lifetime")
@@ -363,18 +402,19 @@ def projection_max_test(spark: SparkSession, sf_dir: str) -> DataFrame:
         methods=("raw", "dpca", "dtime"), budgets=(5, 10, 20, 40),
     )
     fields = ("Lobs", "null_med", "pperm", "formal_trigger")
-    return wide_by_method(records, [*KEYS, "budget"], ("raw", "dpca", "dtime"), fields)
+    return with_long(wide_by_method(records, [*KEYS, "budget"], ("raw", "dpca", "dtime"), fields), spark, sf_dir)
 
 
 @query("archetype_decisions")
 def archetype_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust, projected-only or no recurrence, from both audits of a label."""
     df, cfg = vectors(spark, sf_dir), require_decisive(AuditConfig(seed_by_key=True, n_nulls=39))
-    geo = ambient_audit(df, KEYS, ORDER, POINT, AuditConfig(n_nulls=200)).select("label", "geo_pperm", "geo_formal_trigger")
+    geo = ambient_audit(df, KEYS, ORDER, POINT, AuditConfig(seed_by_key=True, n_nulls=200)).select("label", "geo_pperm", "geo_formal_trigger")
     proj = projection_audit(df, KEYS, ORDER, POINT, cfg, n_planes=20).select(
         "label", F.col("pperm").alias("proj_pperm"), F.col("formal_trigger").alias("proj_formal_trigger")
     )
-    return geo.join(proj, "label").withColumn(
+    # Labels too long for either audit keep their row.
+    return geo.join(proj, "label", "left").withColumn(
         "decision", archetype_decision(F.col("geo_formal_trigger"), F.col("proj_formal_trigger"))
     )
 
@@ -389,7 +429,7 @@ def gaussian_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pca_profile")
 def pca_profile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams, groups = grams_of(spark, sf_dir)
-    return pca_profile(grams, KEYS, groups, dims=64).drop("cum")
+    return with_long(pca_profile(grams, KEYS, groups, dims=64).drop("cum"), spark, sf_dir)
 
 
 @query("pca_prefix_audit")
@@ -399,7 +439,7 @@ def pca_prefix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = pca_trajectories(grams, KEYS, groups, dims=(3, "d95"), prefixes=(25, 200))
     keys = ["label", "pca_d", "prefix_ep"]
     rows = ambient_audit(paths, keys, ["t"], "point", require_decisive(AuditConfig(seed_by_key=True, n_nulls=99)))
-    return rows.withColumn("decision", audit_decision(F.col("geo_formal_trigger"), "pca_diagnostic"))
+    return with_long(rows.withColumn("decision", audit_decision(F.col("geo_formal_trigger"), "pca_diagnostic")), spark, sf_dir)
 
 
 @query("loop_control")
@@ -415,7 +455,7 @@ def loop_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     keys = ["label", "amp_frac"]
     life = null_lifetimes(grams, keys, targeted_settings(cfg, 50), cfg, 2 * groups)
-    return with_inference_role(audit_records(life, [*keys, *SETTING], cfg))
+    return with_long(with_inference_role(audit_records(life, [*keys, *SETTING], cfg)), spark, sf_dir)
 
 
 @query("vector_walk_calibration")
