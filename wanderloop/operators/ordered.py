@@ -76,6 +76,7 @@ class OrderedGroups:
         self.order = list(order)
         limit = limit or group_rows(df.sparkSession)
         largest, total, _ = group_sizes(df, self.keys)
+        self.largest = largest
         self.is_split = largest > limit
         if not self.is_split:
             self.df = df

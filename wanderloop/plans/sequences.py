@@ -12,7 +12,7 @@ from wanderloop.operators.summaries import adjacent_flips, calibration_summary,
 from wanderloop.operators.trajectory import kinematics, steps_of
 from wanderloop.operators.walk_nulls import hash_number, record_from_lifetimes, walk_extents
 from wanderloop.plans.registry import query, table
-from wanderloop.plans.walk_tests import EXTENT_SQL, RECORD_SQL
+from wanderloop.plans.walk_tests import RECORD_SQL, extent_sql, rounded_record
 
 
 def placed_events(spark: SparkSession, sf_dir: str, **scan) -> DataFrame:
@@ -285,19 +285,20 @@ def random_subsample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-N_WALKS, WALK_STEPS, WALK_NULLS = 100, 50, 39
+N_WALKS, WALK_NULLS = 200, 200
 
 CALIBRATION_SQL = (
-    "WITH " + PLACED_SQL + """,
+    "WITH RECURSIVE " + PLACED_SQL + """,
+shortest AS (SELECT min(n) - 1 AS n FROM (SELECT count(*) AS n FROM events GROUP BY user_id)),
 pool AS (
   SELECT value - before AS step, row_number() OVER (ORDER BY user_id, pos) - 1 AS idx
   FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY pos) AS before FROM placed) WHERE pos >= 1),
 draws AS (
   SELECT CAST(c AS BIGINT) AS calib_id, CAST(s AS BIGINT) AS pos,
          ('0x' || substr(md5('20260506|' || c || '|' || s), 1, 15))::BIGINT % (SELECT count(*) FROM pool) AS idx
-  FROM range(100) x(c), range(1, 51) y(s)),
+  FROM range(200) x(c), (SELECT unnest(range(1, n + 1)) AS s FROM shortest)),
 steps AS (SELECT d.calib_id, d.pos, p.step FROM draws d JOIN pool p USING (idx)),"""
-    + EXTENT_SQL.format(keys="calib_id", keytext="calib_id", blocks="1, 5, 10, 20", n_nulls=WALK_NULLS)
+    + extent_sql("calib_id", "1, 5, 10, 20", WALK_NULLS)
     + "," + RECORD_SQL.format(cell="calib_id, block_size") + """
 SELECT block_size, count(*) AS n_calib_cells,
        CAST(sum(formal_trigger::INTEGER) AS BIGINT) AS pperm_trigger_count,
@@ -322,23 +323,26 @@ def pooled_walk_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """False-positive rate of the block tests on walks drawn from all increments.
 
     Draws are hashed indices into the pool of every user's increments, so a
-    walk does not depend on how the pool is partitioned.
+    walk does not depend on how the pool is partitioned. Walks are as long as the
+    shortest source.
     """
+    events = table(spark, sf_dir, "events")
+    n_steps = (events.groupBy("user_id").count().agg(F.min("count")).first()[0] or 1) - 1
     placed = placed_events(spark, sf_dir, position="pos", lags={"before": "value"}).filter("pos >= 1")
     pool = placed.select("user_id", "pos", (F.col("value") - F.col("before")).alias("step"))
     indexed = OrderedGroups(pool, [], ["user_id", "pos"]).scan(position="idx").select("idx", "step")
     n_pool = pool.count()
     draws = (
         spark.range(N_WALKS).withColumnRenamed("id", "calib_id")
-        .withColumn("pos", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(WALK_STEPS).cast("long"))))
+        .withColumn("pos", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_steps).cast("long"))))
     )
     drawn = F.concat_ws("|", F.lit("20260506"), F.col("calib_id").cast("string"), F.col("pos").cast("string"))
     draws = draws.withColumn("idx", hash_number(drawn) % F.lit(n_pool))
     steps = draws.join(indexed, "idx").select(
-        "calib_id", "pos", "step", F.lit(WALK_STEPS).cast("long").alias("n_steps")
+        "calib_id", "pos", "step", F.lit(n_steps).cast("long").alias("n_steps")
     )
-    extents = walk_extents(steps, ["calib_id"], WALK_NULLS, (1, 5, 10, 20), 42)
-    record = record_from_lifetimes(extents, ["calib_id", "block_size"], tie_digits=9)
+    extents = walk_extents(steps, ["calib_id"], WALK_NULLS, (1, 5, 10, 20), 42, n_steps)
+    record = rounded_record(record_from_lifetimes(extents, ["calib_id", "block_size"], tie_digits=9))
     out = calibration_summary(settled(record))
     nine = ("empirical_fpr", "empirical_fpr_wilson95_lo", "empirical_fpr_wilson95_hi")
     six = ("mean_Lobs", "median_Lobs", "mean_null_median", "median_null_median", "mean_pperm", "min_pperm")

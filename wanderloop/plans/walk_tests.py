@@ -9,23 +9,25 @@ from wanderloop.operators.ordered import OrderedGroups
 from wanderloop.operators.walk_nulls import record_from_lifetimes, walk_extents
 from wanderloop.plans.registry import query, table
 
-N_NULLS = 50
+N_NULLS = 200
 SEED = 42
 BLOCKS = (1, 5, 10, 20)
 
 
-def event_walk_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Increments of each user's cumulative, mean-free event value."""
+def event_walk_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Increments of each user's cumulative, mean-free event value, and how many the longest walk has."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    placed = OrderedGroups(events, ["user_id"], ["ts", "event_id"]).scan(position="pos")
+    ordered = OrderedGroups(events, ["user_id"], ["ts", "event_id"])
+    placed = ordered.scan(position="pos")
     level = events.groupBy("user_id").agg(
         F.round(F.avg("value"), 8).alias("level"), (F.count(F.lit(1)) - 1).alias("n_steps")
     )
-    return (
+    steps = (
         placed.filter("pos >= 1")
         .join(level, "user_id")
         .select("user_id", "pos", (F.col("value") - F.col("level")).alias("step"), "n_steps")
     )
+    return steps, ordered.largest - 1
 
 
 def rounded_record(df: DataFrame) -> DataFrame:
@@ -43,20 +45,41 @@ steps AS (
   SELECT p.user_id, p.pos, p.value - l.lvl AS step
   FROM placed p JOIN level l USING (user_id) WHERE p.pos >= 1)"""
 
+# Places of blocks in a null: a Feistel network, gone through again while beyond the last block.
+_SEEDED = "block_size, null_id, block, nb, half, k1, k2, k3, k4"
+
+
+def _network(source: str, start: str) -> str:
+    """The network on column ``start`` of ``source``, as a subquery with column x."""
+    sql = f"SELECT *, {start} >> half AS l0, {start} & ((1::BIGINT << half) - 1) AS r0 FROM {source}"
+    for r in range(1, 5):
+        mixed = f"((r{r - 1} + k{r}) % 2147483647)"
+        sql = f"""SELECT *, r{r - 1} AS l{r}, xor(l{r - 1}, (({mixed} * {mixed}) % 2147483647 >> 5) & ((1::BIGINT << half) - 1)) AS r{r}
+          FROM ({sql})"""
+    return f"SELECT *, (l4 << half) | r4 AS y FROM ({sql})"
+
+
 EXTENT_SQL = """
-grid AS (
-  SELECT {keys}, s.pos, s.step, b.block_size, n.null_id,
-         CASE WHEN n.null_id = -1 THEN '' ELSE
-           md5(concat_ws('|', '42', n.null_id, b.block_size, {keytext},
-                         CAST(floor((s.pos - 1) / b.block_size) AS BIGINT))) END AS token
-  FROM steps s
-  CROSS JOIN (SELECT unnest([{blocks}]) AS block_size) b
-  CROSS JOIN (SELECT range - 1 AS null_id FROM range({n_nulls} + 1)) n),
+sizes AS (
+  SELECT {keys}, b.block_size, CAST((max(s.pos) + b.block_size - 1) // b.block_size AS BIGINT) AS nb
+  FROM steps s CROSS JOIN (SELECT unnest([{blocks}]) AS block_size) b GROUP BY {keys}, b.block_size),
+drawn AS (
+  SELECT z.*, n.null_id, md5(concat_ws('|', '42', n.null_id, z.block_size, {keytext})) AS h
+  FROM sizes z CROSS JOIN (SELECT range - 1 AS null_id FROM range({n_nulls} + 1)) n),
+seeds AS (
+  SELECT {keys}, block_size, null_id, unnest(range(nb)) AS block, nb, greatest(1, (length(bin(nb - 1)) + 1) // 2) AS half,
+         ('0x' || substr(h, 1, 7))::BIGINT AS k1, ('0x' || substr(h, 8, 7))::BIGINT AS k2,
+         ('0x' || substr(h, 15, 7))::BIGINT AS k3, ('0x' || substr(h, 22, 7))::BIGINT AS k4 FROM drawn),
+walked AS (
+  SELECT {keys}, {seeded}, y AS x FROM ({first}) UNION ALL
+  SELECT {keys}, {seeded}, y AS x FROM ({again})),
+places AS (
+  SELECT {keys}, block_size, null_id, block, x AS place FROM walked WHERE x < nb AND null_id >= 0
+  UNION ALL SELECT {keys}, block_size, null_id, block, block FROM seeds WHERE null_id = -1),
 paths AS (
-  SELECT {keys}, block_size, null_id,
-         sum(step) OVER (PARTITION BY {keys}, block_size, null_id ORDER BY token, pos
-                         ROWS UNBOUNDED PRECEDING) AS path
-  FROM grid),
+  SELECT {keys}, p.block_size, p.null_id,
+         sum(s.step) OVER (PARTITION BY {keys}, p.block_size, p.null_id ORDER BY p.place, s.pos ROWS UNBOUNDED PRECEDING) AS path
+  FROM steps s JOIN places p USING ({keys}) WHERE (s.pos - 1) // p.block_size = p.block),
 lifetimes AS (
   SELECT {keys}, block_size, null_id,
          greatest(0.0, max(path)) - least(0.0, min(path)) AS l
@@ -93,26 +116,27 @@ rec AS (
 
 
 def extent_sql(keys: str, blocks: str, n_nulls: int) -> str:
-    names = [k.strip() for k in keys.split(",")]
     return EXTENT_SQL.format(
-        keys=keys, keytext=", ".join(names), blocks=blocks, n_nulls=n_nulls
+        keys=keys, keytext=keys, blocks=blocks, n_nulls=n_nulls, seeded=_SEEDED,
+        first=_network("seeds", "block"), again=_network("(SELECT * FROM walked WHERE x >= nb)", "x"),
     )
 
 
 @query(
     "perm_test_events",
-    "WITH " + STEPS_SQL + "," + extent_sql("user_id", "1", N_NULLS) + ","
+    "WITH RECURSIVE " + STEPS_SQL + "," + extent_sql("user_id", "1", N_NULLS) + ","
     + RECORD_SQL.format(cell="user_id") + " SELECT * FROM rec",
 )
 def perm_test_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched-step permutation test of every user's walk."""
-    extents = walk_extents(event_walk_steps(spark, sf_dir), ["user_id"], N_NULLS, (1,), SEED)
+    steps, longest = event_walk_steps(spark, sf_dir)
+    extents = walk_extents(steps, ["user_id"], N_NULLS, (1,), SEED, longest)
     return rounded_record(record_from_lifetimes(extents, ["user_id"], tie_digits=9))
 
 
 @query(
     "block_perm_test",
-    "WITH " + STEPS_SQL + "," + extent_sql("user_id", "1, 5, 10, 20", N_NULLS) + ","
+    "WITH RECURSIVE " + STEPS_SQL + "," + extent_sql("user_id", "1, 5, 10, 20", N_NULLS) + ","
     + RECORD_SQL.format(cell="user_id, block_size") + """
     SELECT *, CASE WHEN block_size = 1
         THEN CASE WHEN formal_trigger THEN 'matched_step_trigger' ELSE 'matched_step_non_detection' END
@@ -124,6 +148,7 @@ def block_perm_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block-permutation diagnostics; only block size 1 is a formal test."""
     from wanderloop.operators.decisions import block_decision
 
-    extents = walk_extents(event_walk_steps(spark, sf_dir), ["user_id"], N_NULLS, BLOCKS, SEED)
+    steps, longest = event_walk_steps(spark, sf_dir)
+    extents = walk_extents(steps, ["user_id"], N_NULLS, BLOCKS, SEED, longest)
     record = rounded_record(record_from_lifetimes(extents, ["user_id", "block_size"], tie_digits=9))
     return record.withColumn("decision", block_decision(F.col("formal_trigger"), F.col("block_size")))
