@@ -84,7 +84,8 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 def keyed(vectors: DataFrame, p: AnnParams, probes: int) -> DataFrame:
     """Per vector and table (and probe): key, dim, table_no, bucket and the other columns.
 
-    Vectors of the index come with ``top``, the largest norm of their band.
+    Vectors of the index come with ``band`` and ``top``, the largest norm of their band over
+    two to the power of the band.
     """
     rest = [c for c in vectors.columns if c not in ("embedding", "top")]
     types = dict(vectors.dtypes)
@@ -98,10 +99,12 @@ def keyed(vectors: DataFrame, p: AnnParams, probes: int) -> DataFrame:
                 x = np.array([column[int(i)].as_py() for i in at], np.float64)
                 blobs = [r.tobytes() for r in x]
                 if probes == 1:
-                    tops = batch.column(batch.schema.get_field_index("top")).to_numpy(zero_copy_only=False)
-                    scaled = x / tops[at][:, None]
+                    tops, bands = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[at] for c in ("top", "band"))
+                    scaled = np.ldexp(x, -bands[:, None]) / tops[:, None]
                     unit = np.column_stack([scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1)))])
                 else:
+                    # The largest component first: squares of very small or large ones leave the range.
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
                     unit = np.column_stack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))])
                 part = batch.take(pa.array(at))
                 for t in range(p.tables):
@@ -198,12 +201,13 @@ def nearest(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", embedding:
     same = few.groupBy("query_key").agg(
         F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding")
     )
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
-    same = settle(same.withColumn("norm", norm).withColumn("dim", F.size("embedding")).withColumn(
-        "band", F.floor(F.log2("norm")).cast("int")
-    ), "ann-same")
+    # In logarithms, from components relative to the largest: no norm leaves the range of doubles.
+    largest = F.array_max(F.transform("embedding", F.abs))
+    relative = F.aggregate(F.transform("embedding", lambda v: v / F.col("largest")), F.lit(0.0), lambda s, v: s + v * v)
+    same = same.withColumn("largest", largest).withColumn("power", F.log2("largest") + F.log2(relative) / 2)
+    same = settle(same.withColumn("dim", F.size("embedding")).withColumn("band", F.floor("power").cast("int")).drop("largest"), "ann-same")
     # One row per length and power of two among the norms.
-    bands = F.broadcast(settle(same.groupBy("dim", "band").agg(F.max("norm").alias("top")), "ann-bands"))
+    bands = F.broadcast(settle(same.groupBy("dim", "band").agg(F.max(F.pow(F.lit(2.0), F.col("power") - F.col("band"))).alias("top")), "ann-bands"))
     index = settle(keyed(same.join(bands, ["dim", "band"]).select("ids", "band", "embedding", "top"), p, 1), "ann-index")
     asking = rows.filter("asks").select("vec_id", "query_key", "embedding")
     queries = settle(keyed(asking.select("query_key", "embedding").dropDuplicates(["query_key"]), p, p.probes), "ann-probes")
