@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wanderloop.llm import merkle, repeats, whitening
+from wanderloop.llm import cross_polytope, extraction, merkle, repeats, whitening
 from wanderloop.llm.queries import QUERIES
 from wanderloop.llm.repeats import RepeatParams
 from wanderloop.llm.whitening import WhiteningParams
@@ -206,3 +207,29 @@ def test_equal_deviations_restart_the_bidiagonalisation():
     a = np.vstack([np.eye(6), -np.eye(6)])
     right, small, steps = whitening.bidiagonalise(lambda z: (float((a @ z) @ (a @ z)), a.T @ (a @ z)), 6, 6, WhiteningParams())
     assert steps == 6 and np.allclose(right @ right.T, np.eye(6), atol=1e-12) and np.allclose(np.linalg.svd(small)[1], np.sqrt(2))
+
+
+# Nearest neighbours of vectors beyond the range of squares
+
+def test_nearest_neighbours_of_tiny_and_huge_vectors(spark):
+    rng = np.random.default_rng(2)
+    scale = [1e-170] * 30 + [1.0] * 30 + [1e160, 1e-320]
+    vectors = [(rng.normal(size=8) / 3 * s).tolist() for s in scale]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    rows = cross_polytope.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    asked = {r["query_id"] for r in rows}
+    assert asked == {0, 20, 40, 60}  # the last one is huge
+    with np.errstate(over="ignore", under="ignore"):
+        for q in asked:
+            got = [(r["vec_id"], r["score"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q]
+            want = sorted(((-float(np.dot(vectors[q], v)), i) for i, v in enumerate(vectors) if i != q))[:20]
+            assert len(got) == 20 and all(np.isclose(s, np.dot(vectors[q], vectors[i]), rtol=1e-9, atol=0) or s == np.dot(vectors[q], vectors[i]) for i, s in got)
+            assert len({i for i, _ in got} & {i for _, i in want}) >= 18
+
+
+def test_pages_with_very_many_inline_elements_take_linear_time():
+    source = "<div>" + "<b>x</b> y <i>z</i><br>" * 50_000 + "</div>"
+    began = time.monotonic()
+    blocks = extraction.Blocks(source)
+    assert time.monotonic() - began < 20
+    assert [len(text.split(" ")) for _, text, _ in blocks.texts] == [150_000]

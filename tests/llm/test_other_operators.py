@@ -143,7 +143,7 @@ def test_extraction_on_the_tables_and_odd_pages(spark, sf_dir):
         good += extraction.main_text(r.html, trees) == "\n".join(own)
     assert good / len(rows) > 0.97
     text = extraction.main_text(PAGE, trees).split("\n")
-    assert text[:3] == ["A & B", "First paragraph with words, andmore.", "Second one follows, it is long enough."]
+    assert text[:3] == ["A & B", "First paragraph with words, and more.", "Second one follows, it is long enough."]
     assert not any("Buy" in t or "Home" in t or "us" == t[-2:] for t in text)
     long_page = "<article>" + "<p>Some words that are main text, again.</p>" * 5000 + "</article>"
     odd = spark.createDataFrame(

@@ -107,6 +107,9 @@ def read_page(source: str) -> Page:
         here = len(nodes)
         nodes.append(Node(tag, stack[-1], len(stack), attrs))
         nodes[stack[-1]].children.append(here)
+        if tag == "br":
+            # A line break parts words as white space does.
+            texts.append((stack[-1], " "))
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -81,14 +82,20 @@ class Blocks:
             up = n.parent
             owner[i] = i if up < 0 or n.tag in BLOCKS else owner[up]
             in_link[i] = n.tag == "a" or up >= 0 and in_link[up]
+        # Block elements right under each block, in page order.
+        parted: dict[int, list[int]] = {}
+        for i, n in enumerate(nodes):
+            if n.parent >= 0 and n.tag in BLOCKS:
+                parted.setdefault(n.parent, []).append(i)
         # Runs of text with one block above them and no block edge between.
-        runs: list[tuple[int, list[str], int]] = []
+        runs: list[tuple[int, list[str], int, int]] = []
         for at, text in page.texts:
             block = owner[at]
-            if runs and runs[-1][0] == block and runs[-1][3] == self._edge(nodes, block, at, owner):
+            edge = bisect_left(parted.get(block, ()), at)
+            if runs and runs[-1][0] == block and runs[-1][3] == edge:
                 runs[-1][1].append(text)
             else:
-                runs.append([block, [text], 0, self._edge(nodes, block, at, owner)])
+                runs.append([block, [text], 0, edge])
             if in_link[at]:
                 runs[-1][2] += len(text)
         leaves = []
@@ -136,12 +143,6 @@ class Blocks:
                 self.elements[self.index[at]] += 1
                 self.controls[self.index[at]] += n.tag in controls
 
-    @staticmethod
-    def _edge(nodes, block: int, at: int, owner) -> int:
-        """Block elements that have begun under the block so far: a change of it parts two runs."""
-        children = nodes[block].children
-        return sum(1 for c in children if nodes[c].tag in BLOCKS and c < at) if len(children) < 64 else _before(nodes, children, at)
-
     def features(self) -> np.ndarray:
         n = len(self.tags)
         chars, words, linked, marks, digits, blocks = (np.zeros(n) for _ in range(6))
@@ -203,17 +204,6 @@ class Blocks:
         return np.concatenate([stats, flags, above_flags, below_flags, hot, above_tags], axis=1)
 
 
-def _before(nodes, children: list[int], at: int) -> int:
-    """As _edge for elements with many children: the last block child before ``at`` by bisection."""
-    lo, hi = 0, len(children)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (mid + 1, hi) if children[mid] < at else (lo, mid)
-    while lo and nodes[children[lo - 1]].tag not in BLOCKS:
-        lo -= 1
-    return 64 + lo
-
-
 def choose(parent: list[int], depth: list[int], p: np.ndarray) -> np.ndarray:
     """Kept nodes: the likeliest choice in which everything below a kept node is kept."""
     n = len(parent)
