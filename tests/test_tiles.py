@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tools.check_oracles import row_set
 from wanderloop.functions import topology
-from wanderloop.operators import tiles
+from wanderloop.operators import principal, tiles
 from wanderloop.operators.locality import LOCALITY, locality_row
 from wanderloop.plans import geometry
 from wanderloop.plans.catalogue import ORACLES, QUERIES
@@ -156,3 +156,31 @@ def test_long_labels_keep_a_row_where_a_matrix_is_needed(spark, sf_dir, monkeypa
     monkeypatch.setattr(geometry, "MAX_POINTS", 19)
     for name in ("pca_profile", "h1_max_lifetime", "top_h1_bar"):
         assert {r["label"] for r in QUERIES[name](spark, sf_dir).select("label").collect()} == labels
+
+
+def test_components_of_long_paths(spark, monkeypatch):
+    """Reduced triangles against the spectrum of the whole matrix; several rounds of reduction."""
+    monkeypatch.setattr(principal, "FAN", 2)
+    rng = np.random.default_rng(8)
+    paths = {"a": rng.normal(size=(900, 7)) * [9, 5, 3, 1, 0.5, 0.1, 0] + 100, None: rng.normal(size=(40, 3)), "short": rng.normal(size=(3, 7)), "flat": np.ones((5, 2))}
+    rows = [(k, p.tolist()) for k, x in paths.items() for p in x] + [("wide", [0.0] * 2049)] * 2
+    df = spark.createDataFrame(rows, "k string, point array<double>").repartition(9)
+    got = by_key(principal.tall_profile(df, ["k"], "point", 6))
+    for k, x in paths.items():
+        s = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+        most = min(len(x) - 1, 6)
+        kept = np.pad(s, (0, 9))[:most]
+        r = got[k][0]
+        assert r["max_d"] == most
+        if kept.sum() < 1e-12:
+            continue
+        cum = kept.cumsum() / kept.sum()
+        assert np.allclose(r["cum"], cum) and (r["d_95"], r["d_99"]) == tuple(int(np.searchsorted(cum, q)) + 1 for q in (0.95, 0.99))
+    assert got["wide"][0]["max_d"] is None
+    assert principal.tall_profile(df.filter("false"), ["k"], "point").count() == 0
+
+
+def test_profile_query_by_small_factors(spark, sf_dir, monkeypatch):
+    want = {tuple(r) for r in QUERIES["pca_profile"](spark, sf_dir).collect()}
+    monkeypatch.setattr(geometry, "MAX_POINTS", 5)
+    assert {tuple(r) for r in QUERIES["pca_profile"](spark, sf_dir).collect()} == want

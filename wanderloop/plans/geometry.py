@@ -27,7 +27,7 @@ from wanderloop.operators.calibration import calibrate
 from wanderloop.operators.controls import looped_grams
 from wanderloop.operators.decisions import archetype_decision, audit_decision, with_inference_role
 from wanderloop.operators.ordered import settled, stride_subsample
-from wanderloop.operators.principal import pca_profile, pca_trajectories
+from wanderloop.operators.principal import pca_profile, pca_trajectories, tall_profile
 from wanderloop.operators.projections import projection_audit, wide_by_method
 from wanderloop.operators.static_clouds import static_cloud_audit
 from wanderloop.operators.summaries import calibration_summary, cell_summary, locality_summary
@@ -428,8 +428,11 @@ def gaussian_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pca_profile")
 def pca_profile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams, groups = grams_of(spark, sf_dir)
-    return with_long(pca_profile(grams, KEYS, groups, dims=64).drop("cum"), spark, sf_dir)
+    """Components of every label, from small factors where its Gram matrix would be too large."""
+    return whole(
+        spark, sf_dir, lambda grams, groups: pca_profile(grams, KEYS, groups, dims=64),
+        lambda long: tall_profile(long, KEYS, POINT, dims=64),
+    ).drop("cum")
 
 
 @query("pca_prefix_audit")
