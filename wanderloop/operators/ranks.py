@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wanderloop.operators.ordered import OrderedGroups
+from wanderloop.config import group_rows
+from wanderloop.operators.ordered import OrderedGroups, settled
+from wanderloop.operators.trajectory import key_fields
 
 # A grid of settings is a list the sweep's author wrote; pairs inside it are
 # formed within one row and must stay few.
@@ -71,6 +76,119 @@ def kendall_tau_b(x: Column, y: Column) -> Column:
     return F.when(left * right > 0, tau)
 
 
+def inversions(rank: np.ndarray, weight: np.ndarray) -> int:
+    """Weighted number of pairs i < j with rank[i] > rank[j]; the ranks are 0, 1, ... in any order.
+
+    Bit by bit from the top: among elements whose higher bits agree, every zero counts the ones
+    before it; then zeros and ones part, in order.
+    """
+    total, n = 0, len(rank)
+    wide = int(weight.sum()) ** 2 >= 1 << 62
+    for bit in range(max(n - 1, 0).bit_length() - 1, -1, -1):
+        order = np.argsort(rank >> (bit + 1), kind="stable")
+        rank, weight = rank[order], weight[order]
+        one = (rank >> bit) & 1 == 1
+        ahead = np.cumsum(np.where(one, weight, 0))
+        group = rank >> (bit + 1)
+        first = np.concatenate([[True], group[1:] != group[:-1]])
+        before = (ahead - np.where(one, weight, 0))[first]
+        here = (ahead - np.repeat(before, np.diff(np.append(np.flatnonzero(first), n))))[~one]
+        w = weight[~one]
+        total += sum(int(a) * int(b) for a, b in zip(w, here)) if wide else int(w @ here)
+    return total
+
+
+def _count_inversions(rows: DataFrame, part: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(keys, value): inversions of the (_y, _x) order inside each part and key, where rows stand in ``order``."""
+    keys = list(keys)
+    schema = T.StructType([*key_fields(rows, keys), T.StructField("value", T.StringType())])
+    n = len(keys)
+
+    def run(batches):
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            x, y, w = (np.concatenate([h[1].column(n + 1 + k).to_numpy(zero_copy_only=False) for h in held]) for k in range(3))
+            rank = np.empty(len(x), np.int64)
+            rank[np.lexsort((x, y))] = np.arange(len(x))
+            return pa.RecordBatch.from_arrays(
+                [*(held[0][1].column(k).slice(0, 1) for k in range(n)), pa.array([str(inversions(rank, w))])], names=schema.names
+            )
+
+        for batch in batches:
+            lead = list(zip(*[batch.column(k).to_pylist() for k in range(n + 1)]))
+            edges = [0, *(i for i in range(1, len(lead)) if lead[i] != lead[i - 1]), len(lead)]
+            for low, high in zip(edges, edges[1:]):
+                if high > low:
+                    if held and lead[low] != now:
+                        yield close()
+                        held = []
+                    now = lead[low]
+                    held.append((now, batch.slice(low, high - low)))
+        if held:
+            yield close()
+
+    dealt = rows.repartition(part).sortWithinPartitions(part, *keys, *order)
+    return dealt.select(*keys, part, "_x", "_y", "_w").mapInArrow(run, schema)
+
+
+def _crossing(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, value): pairs of cells (_s, _b) of a key where the first stands before in _s and behind in _b."""
+    keys = list(keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, b = (np.unique(pdf[c].to_numpy(), return_inverse=True) for c in ("_s", "_b"))
+        table = np.zeros((len(s[0]), len(b[0])), dtype=object if int(pdf["_w"].sum()) ** 2 >= 1 << 62 else np.int64)
+        table[s[1], b[1]] = pdf["_w"].to_numpy()
+        earlier = np.cumsum(table, axis=0) - table
+        behind = np.cumsum(earlier[:, ::-1], axis=1)[:, ::-1] - earlier
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "value": [str(int((table * behind).sum()))]})
+
+    schema = T.StructType([*key_fields(cells, keys), T.StructField("value", T.StringType())])
+    return cells.groupBy(*keys).applyInPandas(run, schema)
+
+
+def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str, rows: int | None = None) -> DataFrame:
+    """(keys, n, tau): tau-b of two columns per group, for groups of any size.
+
+    Distinct pairs are cut into slices of the (x, y) order and, once more, into buckets of the
+    (y, x) order. A pair of rows is discordant exactly if these orders disagree on it. Pairs in
+    one slice are counted in its task, pairs in one bucket but different slices in the bucket's,
+    all others from the table of weights by slice and bucket. Nothing moves more than twice,
+    however many slices there are, and a value that very many rows share is cut like others.
+
+    Rows where a value is NULL or NaN are left out; without two different values on each side tau
+    is NULL. Values count as doubles.
+    """
+    keys = list(keys)
+    fine = lambda c: F.col(c).cast("double").isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    # Negative zero counts as zero.
+    value = lambda c, name: (F.col(c).cast("double") + F.lit(0.0)).alias(name)
+    pairs = settled(
+        df.filter(fine(x) & fine(y)).select(*keys, value(x, "_x"), value(y, "_y")).groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
+    )
+    slices = max(1, math.ceil(2 * pairs.count() / (rows or group_rows(df.sparkSession))))
+    cut = settled(pairs.repartitionByRange(slices, *keys, "_x", "_y").withColumn("_s", F.spark_partition_id()))
+    cut = settled(cut.repartitionByRange(slices, *keys, "_y", "_x").withColumn("_b", F.spark_partition_id()))
+    cells = cut.groupBy(*keys, "_s", "_b").agg(F.sum("_w").alias("_w"))
+    found = _count_inversions(cut, "_s", keys, ["_x", "_y"]).unionByName(_count_inversions(cut, "_b", keys, ["_s", "_y", "_x"])).unionByName(_crossing(cells, keys))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    twos = (wide("_w") * (F.col("_w") - 1).cast("decimal(19,0)") / 2).cast("decimal(38,0)").alias("value")
+
+    def tied(name: str, *by: str) -> DataFrame:
+        return pairs.groupBy(*keys, *by).agg(F.sum("_w").alias("_w")).select(*keys, F.lit(name).alias("name"), twos)
+
+    parts = found.select(*keys, F.lit("discordant").alias("name"), F.col("value").cast("decimal(38,0)").alias("value"))
+    for name, by in (("all", ()), ("x", ("_x",)), ("y", ("_y",)), ("both", ("_x", "_y"))):
+        parts = parts.unionByName(tied(name, *by))
+    parts = parts.unionByName(pairs.select(*keys, F.lit("n").alias("name"), F.col("_w").cast("decimal(38,0)").alias("value")))
+    names = ("n", "all", "x", "y", "both", "discordant")
+    sums = parts.groupBy(*keys).agg(*[F.sum(F.when(F.col("name") == c, F.col("value"))).alias(f"_{c}") for c in names])
+    score = F.col("_all") - F.col("_x") - F.col("_y") + F.col("_both") - 2 * F.col("_discordant")
+    left, right = ((F.col("_all") - F.col(c)).cast("double") for c in ("_x", "_y"))
+    return sums.select(*keys, F.col("_n").cast("long").alias("n"), F.when((left > 0) & (right > 0), score.cast("double") / F.sqrt(left) / F.sqrt(right)).alias("tau"))
+
+
 def kendall_p(x: np.ndarray, y: np.ndarray) -> float:
     """Two-sided p-value of tau: exact for up to 33 untied points, else normal."""
     x, y = np.asarray(x, float), np.asarray(y, float)

@@ -9,7 +9,7 @@ from wanderloop.functions.columns import (
     flag, grid, is_true_text, number_or_null, select_existing, wilson_bounds,
 )
 from wanderloop.operators.quantiles import group_summary, join_on_keys, median_and_mad
-from wanderloop.operators.ranks import kendall_p_column, kendall_tau_b, spearman, spearman_p_column
+from wanderloop.operators.ranks import kendall, kendall_p_column, kendall_tau_b, spearman, spearman_p_column
 from wanderloop.operators.summaries import (
     budget_maxima, decision_pivot, first_cut, grid_arrays, left_join_suffixed, methods_long,
     union_by_name,
@@ -429,6 +429,21 @@ def kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _price_trend(spark, sf_dir).select("l_returnflag", F.round(tau, 9).alias("tau"))
 
 
+@query(
+    "kendall_long_columns",
+    """WITH o AS (SELECT o_orderpriority, row_number() OVER () AS r, CAST(o_orderdate AS DATE) AS x, o_totalprice AS y FROM orders),
+       p AS (SELECT a.o_orderpriority, sign(date_diff('day', b.x, a.x)) AS sx, sign(a.y - b.y) AS sy
+             FROM o a JOIN o b ON a.o_orderpriority = b.o_orderpriority AND a.r < b.r)
+       SELECT o_orderpriority, (SELECT count(*) FROM o WHERE o.o_orderpriority = p.o_orderpriority) AS n,
+              round(sum(sx * sy) / sqrt(sum(abs(sx))) / sqrt(sum(abs(sy))), 9) AS tau
+       FROM p GROUP BY o_orderpriority""",
+)
+def kendall_long_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of date and price over all orders of a priority."""
+    orders = table(spark, sf_dir, "orders").withColumn("day", F.unix_date(F.col("o_orderdate").cast("date")))
+    return kendall(orders, ["o_orderpriority"], "day", "o_totalprice").withColumn("tau", F.round("tau", 9))
+
+
 @query("kendall_with_p")
 def kendall_with_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     tau = kendall_tau_b(F.col("_k"), F.col("price"))
