@@ -1,31 +1,28 @@
 """Personal data and the words that give it away, in DataFrame functions only.
 
-Four kinds of personal data are found by pattern, with code-point positions. Each
-found value is a protected entity. A window of text on both sides of every
-occurrence gives the words that stand near it; counted over the corpus, they tell
-how much a word discloses: with N documents, n_e windows of the entity, n_t documents
-that hold the word and n_te windows that hold both,
+Four kinds of personal data are found by pattern, with code-point positions. Each found value is
+a protected entity. Whole documents are the contexts; co-occurrence, counted over all of them,
+tells how much a word discloses: with N documents, n_e that hold the entity, n_t that hold the
+word and n_te that hold both,
 
     information of e      IC  = ln(N / n_e)
     disclosed by the word PMI = ln(n_te * N / (n_t * n_e))
 
-A word whose PMI reaches ``alpha`` of the IC, seen in ``min_contexts`` different
-windows of the entity, is sanitised inside those windows: removed where it names the
-entity for certain (PMI = IC), otherwise generalised. Copies of one window count as
-one context, so that a much-copied document discloses nothing by being copied.
+A word whose PMI reaches ``alpha`` of the IC, seen with the entity in ``min_contexts`` different
+texts, is sanitised wherever it stands, also in documents without the entity: removed where it
+names the entity for certain (PMI = IC), otherwise generalised. Copies of one text count as one
+context, so that a much-copied document discloses nothing by being copied. Words are runs of
+characters between white space; those that a found value touches are none.
 
-That is what ``find_personal_data`` reports, as the SQL of the query does. ``sanitise`` takes
-whole documents as windows and treats every disclosing word in all documents.
-
-Null text is an empty text; empty texts and tables give no spans. Repeated rows are
-kept, each with the same spans. Extra columns pass through untouched.
+Null text is an empty text; empty texts and tables give no spans. Texts are read whole, of any
+length. Repeated rows are kept, each with the same spans. Extra columns pass through untouched.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wanderloop.llm.shared import LOWER, SPACE_CLASS, UPPER, WORD_CLASS, settle, text_of
 
@@ -41,15 +38,15 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 SPAN = "array<struct<start:int,rank:int,kind:string,stop:int>>"
-HIT = "struct<at:int,i:int,hits:array<struct<start:int,stop:int,hit:string>>>"
+# Stands for each code point of a found value, so that positions stay; a word that holds it is none.
+VEIL = "\uffff"
 COPIES = 16
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Thresholds of the sanitiser; ``window`` in code points on each side."""
+    """Thresholds of the sanitiser."""
 
-    window: int = 80
     min_contexts: int = 3
     alpha: float = 0.9
 
@@ -134,96 +131,72 @@ def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def windows_of(text: Column, spans: Column, width: int) -> Column:
-    """Per span: the entity, a key of its surroundings, and the words there with positions.
+def entities_of(text: Column, spans: Column) -> Column:
+    """Different values found in a text, as kind and lower-cased value."""
+    return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], F.translate(F.substring(text, s["start"] + 1, s["stop"] - s["start"]), UPPER, LOWER)
+    )))
 
-    Words that touch the outer edge of the window or the span itself are parts of
-    something longer and are left out; so are words that overlap any found span.
-    """
-    def side(start: Column, length: Column) -> Column:
-        part = F.substring(text, start + 1, length)
-        words = F.filter(located(part, WORD_CLASS + "+"), lambda w: (w["start"] > 0) & (w["stop"] < F.length(part)))
-        return F.transform(
-            words,
-            lambda w: F.struct(
-                F.translate(w["hit"], UPPER, LOWER).alias("term"),
-                (start + w["start"]).alias("start"),
-                (start + w["stop"]).alias("stop"),
-            ),
-        )
 
-    def clear(w: Column) -> Column:
-        return ~F.exists(spans, lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"]))
+def veiled(text: Column, spans: Column) -> Column:
+    """The text with every code point of a found value replaced."""
+    marks = F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["stop"].alias("stop"), F.repeat(F.lit(VEIL), s["stop"] - s["start"]).alias("label")
+    ))
+    return F.when(F.size(spans) > 0, masked(text, marks, same_length=True)).otherwise(text)
 
-    def one(s: Column) -> Column:
-        left = F.greatest(s["start"] - width, F.lit(0))
-        near = F.concat(side(left, s["start"] - left), side(s["stop"], F.lit(width)))
-        return F.struct(
-            F.concat_ws(":", s["kind"], F.translate(F.substring(text, s["start"] + 1, s["stop"] - s["start"]), UPPER, LOWER)).alias("entity"),
-            F.filter(near, clear).alias("words"),
-        )
 
-    return F.transform(F.transform(spans, one), lambda w: F.struct(
-        w["entity"].alias("entity"), F.md5(F.array_join(F.transform(w["words"], lambda x: x["term"]), " ").cast("binary")).alias("context"),
-        w["words"].alias("words"),
-    ))
+def clear_words(text: Column) -> Column:
+    """Different words of a veiled text, lower-cased, without those that a found value touches."""
+    words = F.array_distinct(F.split(F.translate(text, UPPER, LOWER), SPACE_CLASS + "+"))
+    return F.filter(words, lambda w: (w != "") & ~w.contains(VEIL))
 
 
-def found_spans(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """One narrow row per document: id, key of the text, spans and their windows."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("_text")).withColumn(
-        "spans", personal_spans(F.col("_text"))
-    )
+def found_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row per document: id, key of the text, spans, entities and the veiled text."""
+    base = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("_text")).withColumn("spans", personal_spans(F.col("_text")))
     return base.select(
         "doc_id", F.md5(F.col("_text").cast("binary")).alias("text_key"), "spans",
-        F.when(F.size("spans") > 0, windows_of(F.col("_text"), F.col("spans"), width)).alias("windows"),
+        entities_of(F.col("_text"), F.col("spans")).alias("entities"), veiled(F.col("_text"), F.col("spans")).alias("veiled"),
     )
 
 
-def document_frequency(docs: DataFrame, text: str) -> DataFrame:
-    """Documents that hold each word, over all documents."""
-    words = F.array_distinct(F.split(F.translate(text_of(text), UPPER, LOWER), SPACE_CLASS + "+"))
-    return (
-        docs.select(F.explode(words).alias("term")).filter(F.col("term") != "")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    )
-
-
-def disclosing_terms(narrow: DataFrame, frequency: DataFrame, n_docs: int, cfg: Disclosure) -> DataFrame:
-    """entity, term and action (remove or generalise) of every word beyond the threshold."""
-    near = narrow.filter(F.size("windows") > 0).select(F.explode("windows").alias("w"))
-    n_e = near.groupBy(F.col("w.entity").alias("entity")).agg(F.count(F.lit(1)).alias("n_e"))
+def disclosing_terms(found: DataFrame, n_docs: int, cfg: Disclosure) -> DataFrame:
+    """term and action (remove or generalise) of every word beyond the threshold."""
+    words = F.explode(clear_words(F.col("veiled"))).alias("term")
+    held = found.filter(F.size("entities") > 0)
+    by_text = held.select("text_key", F.explode("entities").alias("entity")).groupBy("entity", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    # An entity of fewer texts has no word in enough of them: it need not meet any word.
+    n_e = by_text.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= cfg.min_contexts)
+    met = by_text.join(n_e.select("entity"), "entity")
     together = (
-        near.select(
-            F.col("w.entity").alias("entity"), F.col("w.context").alias("context"),
-            F.explode(F.array_distinct(F.transform("w.words", lambda x: x["term"]))).alias("term"),
-        )
-        .groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
+        held.select("text_key", words).distinct().join(met, "text_key")
         .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_te"))
         .filter(F.col("contexts") >= cfg.min_contexts)
     )
-    known = together.join(frequency, "term").join(n_e, "entity")
-    share = F.least(F.col("n_te"), F.col("n_t")) / F.col("n_t")
+    n_t = found.select(words).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    known = together.join(n_t, "term").join(n_e, "entity")
     information = F.log(F.lit(float(n_docs)) / F.col("n_e"))
-    disclosed = information + F.log(share)
-    return known.filter((information > 0) & (disclosed >= cfg.alpha * information)).select(
-        "entity", "term", F.when(share >= 1, "remove").otherwise("generalise").alias("action")
+    disclosed = information + F.log(F.col("n_te") / F.col("n_t"))
+    return known.filter((information > 0) & (disclosed >= cfg.alpha * information)).groupBy("term").agg(
+        F.max(F.when(F.col("n_te") == F.col("n_t"), "remove").otherwise("generalise")).alias("action")
     )
 
 
-def term_spans(narrow: DataFrame, terms: DataFrame) -> DataFrame:
-    """Per key of a text: the spans of disclosing words near the entities they disclose."""
-    words = (
-        narrow.filter(F.size("windows") > 0).select("text_key", F.explode("windows").alias("w"))
-        .select("text_key", F.col("w.entity").alias("entity"), F.explode("w.words").alias("x"))
-        .select("text_key", "entity", F.col("x.term").alias("term"), F.col("x.start").alias("start"), F.col("x.stop").alias("stop"))
-        .distinct()
-    )
-    return (
-        words.join(terms, ["entity", "term"])
-        .groupBy("text_key", "start", "stop").agg(F.max("action").alias("action"))
-        .groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "action"))).alias("terms"))
+def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """Per key of a text: the spans of disclosing words, wherever they stand.
+
+    Only texts that hold one are cut into pieces; places are a running sum over the pieces, so
+    that the time grows with the text.
+    """
+    holders = found.select("text_key", F.explode(clear_words(F.col("veiled"))).alias("term")).join(terms.select("term"), "term").select("text_key").distinct()
+    texts = found.select("text_key", "veiled").join(settle(holders, "pii-holders"), "text_key").groupBy("text_key").agg(F.first("veiled").alias("veiled"))
+    pieces = texts.select("text_key", F.posexplode(F.regexp_extract_all("veiled", F.lit(f"{WORD_CLASS}++|{SPACE_CLASS}++"), F.lit(0))).alias("i", "piece"))
+    to_here = Window.partitionBy("text_key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = pieces.withColumn("stop", F.sum(F.length("piece")).over(to_here).cast("int")).select(
+        "text_key", "stop", (F.col("stop") - F.length("piece")).alias("start"), F.translate("piece", UPPER, LOWER).alias("term")
     )
+    return placed.join(terms, "term").groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "action"))).alias("terms"))
 
 
 def with_term_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -234,34 +207,35 @@ def with_term_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
     ).join(salted, ["text_key", "_salt"], "left").drop("_salt")
 
 
-def analyse(docs: DataFrame, doc_id: str, text: str, cfg: Disclosure) -> tuple[DataFrame, DataFrame]:
-    """(narrow rows with spans, term spans by text) of all documents, both settled."""
-    narrow = settle(found_spans(docs, doc_id, text, cfg.window), "pii-spans")
-    terms = disclosing_terms(narrow, document_frequency(docs, text), narrow.count(), cfg)
-    return narrow, settle(term_spans(narrow, terms), "pii-terms")
+def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: Disclosure = Disclosure()) -> DataFrame:
+    """doc_id, the pattern ``spans``, all spans of each document, disclosing words included, and these words' ``terms`` with their actions."""
+    found = settle(found_spans(docs, doc_id, text), "pii-spans")
+    terms = settle(disclosing_terms(found, found.count(), cfg), "pii-terms")
+    placed = settle(term_spans(found, terms), "pii-places")
+    none = F.array().cast("array<struct<start:int,stop:int,action:string>>")
+    extra = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit(TERM).alias("kind"), t["stop"].alias("stop")))
+    joined = with_term_spans(found.select("doc_id", "text_key", "spans"), placed).withColumn("terms", F.coalesce("terms", none))
+    return joined.select("doc_id", "spans", F.array_sort(F.concat("spans", extra)).alias("all_spans"), "terms")
 
 
-def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: Disclosure = Disclosure()) -> DataFrame:
-    """doc_id, the pattern ``spans`` and all spans of each document, words included."""
-    narrow, found = analyse(docs, doc_id, text, cfg)
-    extra = F.transform(
-        F.coalesce(F.col("terms"), F.array().cast("array<struct<start:int,stop:int,action:string>>")),
-        lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit(TERM).alias("kind"), t["stop"].alias("stop")),
-    )
-    return with_term_spans(narrow.drop("windows"), found).select(
-        "doc_id", "spans", F.array_sort(F.concat("spans", extra)).alias("all_spans")
-    )
+def terms_text(terms: Column) -> Column:
+    """action:start:end of every disclosing word, joined by commas."""
+    return F.array_join(F.transform(terms, lambda t: F.concat_ws(":", t["action"], t["start"], t["stop"])), ",")
+
 
+def masked(text: Column, marks: Column, same_length: bool = False) -> Column:
+    """The text with sorted marks (start, stop, label) put in place; overlaps keep the first label.
 
-def masked(text: Column, marks: Column) -> Column:
-    """The text with sorted marks (start, stop, label) put in place; overlaps keep the first label."""
+    With ``same_length`` a later mark fills what the earlier ones leave of it.
+    """
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def put(acc: Column, m: Column) -> Column:
         fresh = m["start"] >= acc["at"]
+        rest = F.substring(m["label"], 1, F.greatest(m["stop"] - acc["at"], F.lit(0)))
         return F.struct(
             F.greatest(acc["at"], m["stop"]).alias("at"),
-            F.when(fresh, F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), m["label"])))
+            F.when(~fresh & F.lit(same_length), F.concat(acc["parts"], F.array(rest))).when(fresh, F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), m["label"])))
             .otherwise(acc["parts"]).alias("parts"),
         )
 
@@ -305,7 +279,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: D
     """The documents with personal data labelled, and disclosing words generalised or removed.
 
     Disclosing words are counted over whole documents and sanitised wherever they stand, also
-    in documents that do not hold the entity. ``cfg.window`` is not used.
+    in documents that do not hold the entity.
     """
     inner = docs.select(
         F.struct("*").alias("_row"), F.col(doc_id).alias("doc_id"), text_of(text).alias("_text")

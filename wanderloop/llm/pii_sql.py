@@ -30,33 +30,28 @@ found AS ({found}),
 each AS (SELECT rid, rank, kind, unnest(range(1, len(hits) + 1)) AS i, hits, gaps FROM found WHERE len(hits) > 0),
 placed AS (SELECT rid, rank, kind, hits[i] AS hit, regexp_replace(hits[i], '[^0-9]', '', 'g') AS digits, {located('i')} AS start FROM each),
 base AS MATERIALIZED (SELECT rid, rank, kind, hit, start, start + length(hit) AS stop FROM placed WHERE {ok}),
-sides AS (
-  SELECT b.rid, b.start AS origin, b.rank, kind || ':' || translate(hit, '{UPPER}', '{LOWER}') AS entity, side,
-         CASE side WHEN 0 THEN greatest(start - 80, 0) ELSE stop END AS off,
-         CASE side WHEN 0 THEN substring(text, greatest(start - 80, 0) + 1, start - greatest(start - 80, 0)) ELSE substring(text, stop + 1, 80) END AS part
-  FROM base b JOIN docs d ON d.rid = b.rid, (VALUES (0), (1)) s(side)),
-cut AS (SELECT *, regexp_extract_all(part, '{WORD}') AS hits, string_split_regex(part, '{WORD}') AS gaps FROM sides),
-near AS (SELECT rid, origin, rank, entity, side, off, part, unnest(range(1, len(hits) + 1)) AS i, hits, gaps FROM cut WHERE len(hits) > 0),
-spots AS (SELECT rid, origin, rank, entity, side, off, length(part) AS size, hits[i] AS word, {located('i')} AS rel FROM near),
+cut AS (SELECT rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS p FROM docs),
+pieces AS (SELECT rid, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM cut),
+ended AS (SELECT rid, piece, CAST(sum(length(piece)) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM pieces),
 words AS MATERIALIZED (
-  SELECT rid, origin, rank, entity, translate(word, '{UPPER}', '{LOWER}') AS term, off + rel AS start, off + rel + length(word) AS stop
-  FROM spots s WHERE rel > 0 AND rel + length(word) < size
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = s.rid AND b.start < off + rel + length(word) AND off + rel < b.stop)),
-contexts AS (SELECT rid, origin, rank, string_agg(term, ' ' ORDER BY start) AS context FROM words GROUP BY ALL),
-n_e AS (SELECT kind || ':' || translate(hit, '{UPPER}', '{LOWER}') AS entity, count(*) AS n_e FROM base GROUP BY 1),
-single AS (SELECT DISTINCT rid, origin, rank, entity, term FROM words),
+  SELECT rid, translate(piece, '{UPPER}', '{LOWER}') AS term, stop - length(piece) AS start, stop
+  FROM ended e WHERE regexp_matches(piece, '{WORD}')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = e.rid AND b.start < e.stop AND e.stop - length(e.piece) < b.stop)),
+keyed AS (SELECT rid, md5(text) AS text_key FROM docs),
+held AS (SELECT DISTINCT rid, text_key, kind || ':' || translate(hit, '{UPPER}', '{LOWER}') AS entity FROM base JOIN keyed USING (rid)),
+by_text AS (SELECT entity, text_key, count(*) AS n FROM held GROUP BY ALL),
+n_e AS (SELECT entity, sum(n) AS n_e FROM by_text GROUP BY entity HAVING count(*) >= 3),
+beside AS (SELECT DISTINCT text_key, term FROM words JOIN keyed USING (rid) WHERE rid IN (SELECT rid FROM held)),
 together AS (
-  SELECT entity, term, count(*) AS contexts, sum(n) AS n_te FROM (
-    SELECT entity, term, context, count(*) AS n FROM single JOIN contexts USING (rid, origin, rank) GROUP BY ALL) GROUP BY ALL HAVING count(*) >= 3),
-df AS (
-  SELECT term, count(*) AS n_t FROM (
-    SELECT unnest(list_distinct(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}'))) AS term FROM docs)
-  WHERE term IN (SELECT term FROM together) GROUP BY term),
+  SELECT entity, term, sum(n) AS n_te FROM beside JOIN by_text USING (text_key) JOIN n_e USING (entity) GROUP BY ALL HAVING count(*) >= 3),
+df AS (SELECT term, count(DISTINCT rid) AS n_t FROM words WHERE term IN (SELECT term FROM together) GROUP BY term),
 judged AS (
-  SELECT entity, term, ln(CAST((SELECT count(*) FROM docs) AS DOUBLE) / n_e) AS information, least(n_te, n_t) / CAST(n_t AS DOUBLE) AS share
+  SELECT entity, term, ln(CAST((SELECT count(*) FROM docs) AS DOUBLE) / n_e) AS information, n_te = n_t AS sure, n_te / CAST(n_t AS DOUBLE) AS share
   FROM together JOIN df USING (term) JOIN n_e USING (entity)),
-disclosing AS (SELECT entity, term FROM judged WHERE information > 0 AND information + ln(share) >= 0.9 * information),
-terms AS (SELECT DISTINCT rid, start, stop FROM words JOIN disclosing USING (entity, term)),
+disclosing AS (
+  SELECT term, max(CASE WHEN sure THEN 'remove' ELSE 'generalise' END) AS action FROM judged
+  WHERE information > 0 AND information + ln(share) >= 0.9 * information GROUP BY term),
+terms AS MATERIALIZED (SELECT rid, start, stop, action FROM words JOIN disclosing USING (term)),
 spans AS (
   SELECT rid, start, rank, kind, stop FROM base UNION ALL SELECT rid, start, 4, 'term', stop FROM terms),
 lines AS (
@@ -64,7 +59,8 @@ lines AS (
          count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4) AS base_text,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
-  FROM spans GROUP BY rid)
+  FROM spans GROUP BY rid),
+acts AS (SELECT rid, string_agg(action || ':' || start || ':' || stop, ',' ORDER BY start) AS actions FROM terms GROUP BY rid)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-       sha256(coalesce(base_text, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM docs LEFT JOIN lines USING (rid)"""
+       sha256(coalesce(base_text, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(actions, '') AS term_actions
+FROM docs LEFT JOIN lines USING (rid) LEFT JOIN acts USING (rid)"""

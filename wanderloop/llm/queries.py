@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wanderloop.config import ship_package
 from wanderloop.llm.bpe import decode, encode, load_spec
 from wanderloop.llm.cross_polytope import nearest
-from wanderloop.llm.disclosure import KINDS, count_kind, find_personal_data, spans_text
+from wanderloop.llm.disclosure import KINDS, count_kind, find_personal_data, spans_text, terms_text
 from wanderloop.llm.extraction import extract, fit_extractor
 from wanderloop.llm.fingerprints import near_duplicates
 from wanderloop.llm.lm import lm_scores
@@ -192,7 +192,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in KINDS],
         F.sha2(spans_text(F.col("spans")), 256).alias("base_sha256"),
-        spans_text(F.col("all_spans")).alias("spans"),
+        spans_text(F.col("all_spans")).alias("spans"), terms_text(F.col("terms")).alias("term_actions"),
     )
 
 
