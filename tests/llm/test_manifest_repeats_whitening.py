@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wanderloop.llm import cross_polytope, extraction, merkle, repeats, whitening
+from wanderloop.llm import cross_polytope, disclosure, extraction, merkle, repeats, whitening
 from wanderloop.llm.queries import QUERIES
 from wanderloop.llm.repeats import RepeatParams
 from wanderloop.llm.whitening import WhiteningParams
@@ -233,3 +233,26 @@ def test_pages_with_very_many_inline_elements_take_linear_time():
     blocks = extraction.Blocks(source)
     assert time.monotonic() - began < 20
     assert [len(text.split(" ")) for _, text, _ in blocks.texts] == [150_000]
+
+
+# Personal data
+
+def test_words_at_the_ends_of_texts_and_in_other_documents_disclose(spark):
+    fill = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    docs = [(i, f"Zorblax {fill[i]} wrote from zo@x.example.com " + f"{fill[-i]} " * 40 + "Quuxley") for i in range(6)]
+    docs += [(10, "zorblax alone"), (11, "nothing here")] + [(20 + i, f"{fill[i % 6]} and {fill[i % 5]}") for i in range(60)]
+    rows = {r["doc_id"]: r for r in disclosure.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(6):
+        text = docs[i][1]
+        found = {text[t["start"]:t["stop"]]: t["action"] for t in rows[i]["terms"]}
+        # Seven documents hold the one word, six the address; the other word stands beside it alone.
+        assert found["Quuxley"] == "remove" and found.get("Zorblax") in (None, "generalise")
+    assert rows[11]["terms"] == [] and rows[20]["terms"] == []
+
+
+def test_many_values_in_one_text(spark):
+    text = " ".join(f"user{i}@mail.example.com met Someone{i % 7}" for i in range(2000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    row = disclosure.find_personal_data(df).first()
+    assert len(row["spans"]) == 2000 and time.monotonic() - began < 60
