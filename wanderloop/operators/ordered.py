@@ -77,13 +77,15 @@ class OrderedGroups:
         limit = limit or group_rows(df.sparkSession)
         largest, total, _ = group_sizes(df, self.keys)
         self.largest = largest
-        self.is_split = largest > limit
+        # Without keys the whole table would be one group of one task, however short.
+        self.is_split = largest > limit or not self.keys
         if not self.is_split:
             self.df = df
             self.parts = self.keys
             return
         ensure_checkpoint_dir(df.sparkSession)
-        self.slices = slices = max(2, math.ceil(2 * total / limit))
+        least = 2 if self.keys else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.slices = slices = max(2, least, math.ceil(2 * total / limit))
         # The checkpoint pins which rows a slice holds: sampled range bounds
         # must not move when a lost task is run again.
         self.df = (
