@@ -45,10 +45,11 @@ COPIES = 16
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Thresholds of the sanitiser."""
+    """Thresholds of the sanitiser; up to ``near_keys`` keys of texts go to all tasks, more are joined."""
 
     min_contexts: int = 3
     alpha: float = 0.9
+    near_keys: int = 1_000_000
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -183,14 +184,18 @@ def disclosing_terms(found: DataFrame, n_docs: int, cfg: Disclosure) -> DataFram
     )
 
 
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
+def term_spans(found: DataFrame, terms: DataFrame, cfg: Disclosure) -> DataFrame:
     """Per key of a text: the spans of disclosing words, wherever they stand.
 
-    Only texts that hold one are cut into pieces; places are a running sum over the pieces, so
-    that the time grows with the text.
+    Only texts that hold one are cut into pieces, and only these move while the list of their
+    keys is short enough to go to all tasks; places are a running sum over the pieces, so that
+    the time grows with the text.
     """
     holders = found.select("text_key", F.explode(clear_words(F.col("veiled"))).alias("term")).join(terms.select("term"), "term").select("text_key").distinct()
-    texts = found.select("text_key", "veiled").join(settle(holders, "pii-holders"), "text_key").groupBy("text_key").agg(F.first("veiled").alias("veiled"))
+    holders = settle(holders, "pii-holders")
+    if holders.count() <= cfg.near_keys:
+        holders = F.broadcast(holders)
+    texts = found.select("text_key", "veiled").join(holders, "text_key").groupBy("text_key").agg(F.first("veiled").alias("veiled"))
     pieces = texts.select("text_key", F.posexplode(F.regexp_extract_all("veiled", F.lit(f"{WORD_CLASS}++|{SPACE_CLASS}++"), F.lit(0))).alias("i", "piece"))
     to_here = Window.partitionBy("text_key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = pieces.withColumn("stop", F.sum(F.length("piece")).over(to_here).cast("int")).select(
@@ -211,7 +216,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """doc_id, the pattern ``spans``, all spans of each document, disclosing words included, and these words' ``terms`` with their actions."""
     found = settle(found_spans(docs, doc_id, text), "pii-spans")
     terms = settle(disclosing_terms(found, found.count(), cfg), "pii-terms")
-    placed = settle(term_spans(found, terms), "pii-places")
+    placed = settle(term_spans(found, terms, cfg), "pii-places")
     none = F.array().cast("array<struct<start:int,stop:int,action:string>>")
     extra = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit(TERM).alias("kind"), t["stop"].alias("stop")))
     joined = with_term_spans(found.select("doc_id", "text_key", "spans"), placed).withColumn("terms", F.coalesce("terms", none))
