@@ -241,7 +241,10 @@ def test_words_at_the_ends_of_texts_and_in_other_documents_disclose(spark):
     fill = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
     docs = [(i, f"Zorblax {fill[i]} wrote from zo@x.example.com " + f"{fill[-i]} " * 40 + "Quuxley") for i in range(6)]
     docs += [(10, "zorblax alone"), (11, "nothing here")] + [(20 + i, f"{fill[i % 6]} and {fill[i % 5]}") for i in range(60)]
-    rows = {r["doc_id"]: r for r in disclosure.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in disclosure.find_personal_data(df).collect()}
+    joined = disclosure.find_personal_data(df, cfg=disclosure.Disclosure(near_keys=0)).collect()
+    assert {r["doc_id"]: r for r in joined} == rows
     for i in range(6):
         text = docs[i][1]
         found = {text[t["start"]:t["stop"]]: t["action"] for t in rows[i]["terms"]}
