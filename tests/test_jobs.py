@@ -59,7 +59,8 @@ def test_audit_command(spark, tmp_path):
     for seed in (1, 2):
         x = rng.standard_normal((14, 9)).cumsum(axis=0).astype(np.float32)
         np.save(tmp_path / f"net__adam__seed{seed}.npy", x)
-    assert [shape for _, shape in npy.npy_headers(str(tmp_path / "*.npy"))] == [(14, 9)] * 2
+    heads = npy.npy_headers(spark, str(tmp_path / "*.npy")).collect()
+    assert [(r["n_rows"], r["n_cols"], r["dtype"]) for r in heads] == [(14, 9, str(x.dtype))] * 2
     out = str(tmp_path / "cells")
     first = ["audit", str(tmp_path / "*seed1.npy"), out, "--nulls", "5", "--k0", "3", "--chunk-cols", "4", "--resume"]
     cli.main(first)

@@ -58,16 +58,16 @@ def run_audit(spark, args) -> None:
     )
     keys = ["arch", "optimizer", "seed"]
     chunks = with_run_keys(read_npy(spark, args.pattern, cfg.chunk_cols)).withColumnRenamed("t", "position")
-    shapes = [shape for _, shape in npy_headers(args.pattern)]
-    if not shapes:
+    files, longest = npy_headers(spark, args.pattern).agg(F.count(F.lit(1)), F.max("n_rows")).first()
+    if not files:
         raise FileNotFoundError(f"no trajectory files match {args.pattern}")
-    if max(n for n, _ in shapes) > cfg.max_points:
+    if longest > cfg.max_points:
         # Read by column chunks, such a matrix would not fit a task.
         raise ValueError(f"a trajectory has more than {cfg.max_points} checkpoints")
 
     def run(left, settings):
         grams = gram_from_chunks(left, keys)
-        life = null_lifetimes(grams, keys, settings, cfg, len(shapes))
+        life = null_lifetimes(grams, keys, settings, cfg, files)
         records = audit_records(life, [*keys, *SETTING], cfg)
         # Together with the setting these name a cell of a sweep.
         return records.withColumn("n_nulls", F.lit(cfg.n_nulls)).withColumn("master_seed", F.lit(cfg.seed)).withColumn("kmax", F.lit(cfg.kmax))

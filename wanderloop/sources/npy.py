@@ -1,98 +1,136 @@
-"""NumPy array files as a Spark data source of column chunks.
+"""NumPy array files as rows of column chunks.
 
-``spark.read.format("npy")`` lists files and returns
-(file, t, chunk_id, vals): one row per checkpoint and column chunk. Splits are
-(file, column chunk), read through a memory map, so a wide trajectory is read
-by many tasks and none holds more than one chunk of it.
+``read_npy`` returns (file, t, chunk_id, vals): one row per checkpoint and column chunk.
+Splits are ranges of ``split_bytes`` bytes of a file, found from its length alone. A task reads
+the header itself and gives the chunks that begin in its range, so a long or wide file is read by many
+tasks, none holds more than one batch of chunks, and the driver opens no file. Files in Fortran
+order are cut by the same places and read column by column.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from wanderloop.sources.files import dealt, listed, open_file, ranges
 
 SCHEMA = "file string, t int, chunk_id int, vals array<float>"
 # Pattern of trajectory names and suffix of side files.
 NAME_PATTERN = r"^(.+?)__(.+?)__seed(\d+)$"
 SIDE_SUFFIX = "__metrics"
-ROWS_PER_BATCH = 32
-
-
-def npy_headers(pattern: str, skip_side: bool = True) -> list[tuple[str, tuple[int, int]]]:
-    """(path, shape) of the matching files in path order; only headers are read."""
-    found = []
-    for path in sorted(glob.glob(pattern)):
-        if skip_side and SIDE_SUFFIX in os.path.basename(path):
-            continue
-        shape = np.load(path, mmap_mode="r").shape
-        if len(shape) != 2:
-            raise ValueError(f"{path}: expected a 2-D array, found shape {shape}")
-        found.append((path, shape))
-    return found
-
-
-class ChunkSplit(InputPartition):
-    def __init__(self, path: str, chunk_id: int, start: int, stop: int):
-        self.path, self.chunk_id, self.start, self.stop = path, chunk_id, start, stop
-
-
-class NpyReader(DataSourceReader):
-    def __init__(self, options):
-        self.pattern = options["path"]
-        self.chunk_cols = int(options.get("chunk_cols", "50000"))
-        self.skip_side = options.get("skip_side_files", "true").lower() == "true"
-
-    def partitions(self):
-        splits = []
-        for path, shape in npy_headers(self.pattern, self.skip_side):
-            for chunk_id, start in enumerate(range(0, shape[1], self.chunk_cols)):
-                stop = min(start + self.chunk_cols, shape[1])
-                splits.append(ChunkSplit(path, chunk_id, start, stop))
-        return splits
-
-    def read(self, split):
-        rows = np.load(split.path, mmap_mode="r")
-        name, width = os.path.basename(split.path), split.stop - split.start
-        for first in range(0, rows.shape[0], ROWS_PER_BATCH):
-            block = np.ascontiguousarray(
-                rows[first : first + ROWS_PER_BATCH, split.start : split.stop], dtype=np.float32
-            )
-            n = len(block)
-            offsets = np.arange(n + 1, dtype=np.int32) * width
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * n, pa.string()),
-                    pa.array(np.arange(first, first + n, dtype=np.int32)),
-                    pa.array(np.full(n, split.chunk_id, dtype=np.int32)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(block.ravel())),
-                ],
-                names=["file", "t", "chunk_id", "vals"],
-            )
-
-
-class NpyDataSource(DataSource):
-    """Register with ``spark.dataSource.register(NpyDataSource)``."""
-
-    @classmethod
-    def name(cls):
-        return "npy"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return NpyReader(self.options)
-
-
-def read_npy(spark: SparkSession, pattern: str, chunk_cols: int = 50_000) -> DataFrame:
-    spark.dataSource.register(NpyDataSource)
-    return spark.read.format("npy").option("chunk_cols", str(chunk_cols)).load(pattern)
+SPLIT_BYTES = 128 << 20
+BATCH_BYTES = 8 << 20
+
+
+@dataclass(frozen=True)
+class Header:
+    rows: int
+    cols: int
+    fortran: bool
+    dtype: np.dtype
+    offset: int
+
+
+def header_of(file: pa.NativeFile, path: str) -> Header:
+    """Shape, order and type of an open file; only 2-D arrays of numbers are taken."""
+    version = np.lib.format.read_magic(file)
+    reader = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}.get(version)
+    if reader is None:
+        raise ValueError(f"{path}: format version {version} is not read")
+    shape, fortran, dtype = reader(file)
+    if len(shape) != 2:
+        raise ValueError(f"{path}: expected a 2-D array, found shape {shape}")
+    if dtype.hasobject or dtype.kind not in "biuf":
+        raise ValueError(f"{path}: expected numbers, found {dtype}")
+    return Header(*shape, fortran, dtype, file.tell())
+
+
+def block_of(file: pa.NativeFile, h: Header, first: int, last: int, start: int, stop: int) -> np.ndarray:
+    """Rows ``first`` to ``last``, columns ``start`` to ``stop``, as float32."""
+    def run(place: int, many: int) -> np.ndarray:
+        return np.frombuffer(file.read_at(many * h.dtype.itemsize, h.offset + place * h.dtype.itemsize), h.dtype)
+
+    if h.fortran:
+        return np.stack([run(c * h.rows + first, last - first) for c in range(start, stop)], axis=1).astype(np.float32)
+    if start == 0 and stop == h.cols:
+        return run(first * h.cols, (last - first) * h.cols).reshape(last - first, h.cols).astype(np.float32)
+    return np.stack([run(r * h.cols + start, stop - start) for r in range(first, last)]).astype(np.float32)
+
+
+def chunks_from(h: Header, start: int, stop: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """(chunk, first row, last row) of the chunks whose first byte lies in a range of the file.
+
+    Places count in row order for files of both orders.
+    """
+    per_row = -(-h.cols // width)
+    many = max(1, BATCH_BYTES // (min(width, h.cols) * 4))
+    place = h.dtype.itemsize
+
+    for chunk in range(per_row):
+        # Row r's chunk begins at offset + (r * cols + chunk * width) * place; the first range also has the header.
+        def rows_before(at: int, chunk: int = chunk) -> int:
+            cells = -(-max(at - h.offset, 0) // place)
+            return min(h.rows, max(0, -(-(cells - chunk * width) // h.cols)))
+
+        low, high = rows_before(start), rows_before(stop)
+        for first in range(low, high, many):
+            yield chunk, first, min(first + many, high)
+
+
+def npy_files(spark: SparkSession, pattern: str, skip_side: bool = True) -> DataFrame:
+    files = listed(spark, pattern)
+    return files.filter(~F.element_at(F.split("path", "/"), -1).contains(SIDE_SUFFIX)) if skip_side else files
+
+
+def npy_headers(spark: SparkSession, pattern: str, skip_side: bool = True) -> DataFrame:
+    """(path, n_rows, n_cols, dtype) of the matching files; headers are read in tasks."""
+    def peek(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                with open_file(path) as file:
+                    h = header_of(file, path)
+                rows.append({"path": path, "n_rows": h.rows, "n_cols": h.cols, "dtype": h.dtype.name})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
+
+    files = dealt(npy_files(spark, pattern, skip_side).select("path"), "path")
+    return files.mapInArrow(peek, "path string, n_rows long, n_cols long, dtype string")
+
+
+def read_npy(
+    spark: SparkSession, pattern: str, chunk_cols: int = 50_000, skip_side: bool = True, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
+    """(file, t, chunk_id, vals) of all matching files; an array without rows or columns gives no row."""
+    def read(batches):
+        for batch in batches:
+            for path, start, stop in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                name = path.rsplit("/", 1)[-1]
+                with open_file(path) as file:
+                    h = header_of(file, path)
+                    for chunk, first, last in chunks_from(h, start, stop, chunk_cols) if h.rows and h.cols else ():
+                        left = chunk * chunk_cols
+                        block = block_of(file, h, first, last, left, min(left + chunk_cols, h.cols))
+                        n, width = block.shape
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([name] * n, pa.string()),
+                                pa.array(np.arange(first, last, dtype=np.int32)),
+                                pa.array(np.full(n, chunk, dtype=np.int32)),
+                                pa.ListArray.from_arrays(
+                                    pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(block.ravel())
+                                ),
+                            ],
+                            names=["file", "t", "chunk_id", "vals"],
+                        )
+
+    splits = ranges(npy_files(spark, pattern, skip_side), split_bytes).select("path", "start", "stop")
+    return dealt(splits, "path", "start").mapInArrow(read, SCHEMA)
 
 
 def with_run_keys(df: DataFrame, file: str = "file") -> DataFrame:
