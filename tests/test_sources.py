@@ -31,6 +31,50 @@ def test_npy_chunks_give_the_gram(spark, tmp_path):
     assert [r["seed"] for r in df.select("arch", "optimizer", "seed").distinct().orderBy(*order).collect()] == [1, 22]
 
 
+@pytest.mark.parametrize("order", ["C", "F"])
+def test_npy_split_by_rows_and_columns(spark, tmp_path, order):
+    x = np.asarray(np.random.default_rng(1).standard_normal((50, 37)), order=order)
+    np.save(tmp_path / "a__b__seed1.npy", x)
+    np.save(tmp_path / "a__b__seed2.npy", np.zeros((0, 4)))
+    np.save(tmp_path / "a__b__seed3.npy", np.arange(6, dtype=np.int16).reshape(3, 2))
+    for split in (64, 1000, 1 << 20):
+        df = npy.read_npy(spark, str(tmp_path), chunk_cols=10, split_bytes=split)
+        rows = df.withColumn("task", F.spark_partition_id()).collect()
+        assert len(rows) == 50 * 4 + 3
+        got = {(r["t"], r["chunk_id"]): r["vals"] for r in rows if "seed1" in r["file"]}
+        for t in range(50):
+            assert np.array_equal(np.concatenate([got[t, c] for c in range(4)]), x[t].astype(np.float32))
+        assert sorted(v for r in rows if "seed3" in r["file"] for v in r["vals"]) == [0, 1, 2, 3, 4, 5]
+        tasks = {r["task"] for r in rows if "seed1" in r["file"]}
+        assert len(tasks) == 1 if split > 1000 else len(tasks) > 4
+
+
+def test_digests_of_files_of_any_size(spark, tmp_path):
+    """A sparse file above Spark's limit of a row, an empty one and one of just two chunks."""
+    size = (3 << 30) + 5
+    with open(tmp_path / "big.bin", "wb") as file:
+        file.truncate(size)
+    (tmp_path / "none.txt").write_text("")
+    (tmp_path / "even.txt").write_text("abcdefgh")
+    seen, block = hashlib.sha256(), bytes(1 << 24)
+    for _ in range(size >> 24):
+        seen.update(block)
+    seen.update(bytes(size & ((1 << 24) - 1)))
+    got = {r["relative_path"]: (r["sha256"], r["size_bytes"]) for r in M.file_manifest(spark, str(tmp_path)).collect()}
+    want = {"big.bin": (seen.hexdigest(), size)}
+    want |= {n: (hashlib.sha256(t).hexdigest(), len(t)) for n, t in (("none.txt", b""), ("even.txt", b"abcdefgh"))}
+    assert got == want
+    small = M.listed(spark, str(tmp_path)).filter("length < 100")
+    tree = {r["path"].rsplit("/", 1)[1]: r for r in M.tree_digests(small, chunk=4).collect()}
+    hexes = [hashlib.sha256(t).hexdigest() for t in (b"abcd", b"efgh")]
+    assert tree["even.txt"]["chunks"] == 2
+    assert tree["even.txt"]["tree_sha256"] == hashlib.sha256("".join(hexes).encode()).hexdigest()
+    before = M.chunk_digests(small, chunk=4).filter("length > 0").select("at", "sha256").collect()
+    (tmp_path / "even.txt").write_text("abcdEfgh")
+    after = M.chunk_digests(small, chunk=4).filter("length > 0").select("at", "sha256").collect()
+    assert [r["at"] for r in set(after) - set(before)] == [1]
+
+
 def test_npy_rejects_other_shapes(spark, tmp_path):
     np.save(tmp_path / "a__b__seed1.npy", np.zeros(4, np.float32))
     with pytest.raises(Exception, match="2-D"):

@@ -2,36 +2,87 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wanderloop.operators.quantiles import join_on_keys
+from wanderloop.sources.files import dealt, empty_files, listed, open_file, ranges
 
 SKIPPED_NAMES = (".gitkeep",)
+AS_ROW = 256 << 20  # Spark refuses rows above 2 GB
+PIECE = 4 << 20
+
+
+def streamed_digests(files: DataFrame) -> DataFrame:
+    """(path, sha256) of listed files: one task streams a file in pieces of ``PIECE`` bytes."""
+    def digest(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                seen = hashlib.sha256()
+                with open_file(path) as file:
+                    while piece := file.read(PIECE):
+                        seen.update(piece)
+                yield pa.RecordBatch.from_pylist([{"path": path, "sha256": seen.hexdigest()}])
+
+    return dealt(files.select("path"), "path").mapInArrow(digest, "path string, sha256 string")
+
+
+def tree_digests(files: DataFrame, chunk: int = 64 << 20) -> DataFrame:
+    """(path, length, chunks, tree_sha256) of listed files, chunks of one file hashed by many tasks.
+
+    The digest is SHA-256 over the lowercase hex digests of the chunks in order. It tells files apart as
+    SHA-256 of the whole does, at the same ``chunk``, and one large file needs no single long task.
+    """
+    return (
+        chunk_digests(files, chunk).groupBy("path", "length")
+        .agg(F.count(F.lit(1)).alias("chunks"), F.sort_array(F.collect_list(F.struct("at", "sha256"))).alias("all"))
+        .select("path", "length", "chunks", F.sha2(F.array_join("all.sha256", "").cast("binary"), 256).alias("tree_sha256"))
+    )
+
+
+def chunk_digests(files: DataFrame, chunk: int = 64 << 20) -> DataFrame:
+    """(path, length, at, sha256) of every chunk; two of these tables tell which parts of a file changed."""
+    def digest(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                seen, place = hashlib.sha256(), row["start"]
+                with open_file(row["path"]) as file:
+                    while place < row["stop"]:
+                        piece = file.read_at(min(PIECE, row["stop"] - place), place)
+                        if not piece:
+                            raise OSError(f"{row['path']}: shorter than when it was listed")
+                        seen.update(piece)
+                        place += len(piece)
+                yield pa.RecordBatch.from_pylist([
+                    {"path": row["path"], "length": row["length"], "at": row["at"], "sha256": seen.hexdigest()}
+                ])
+
+    return dealt(ranges(files, chunk), "path", "at").mapInArrow(digest, "path string, length long, at long, sha256 string")
 
 
 def file_manifest(
-    spark: SparkSession, base: str, roots: Sequence[str] = (".",), exclude_top: Sequence[str] = ()
+    spark: SparkSession, base: str, roots: Sequence[str] = (".",), exclude_top: Sequence[str] = (), as_row: int = AS_ROW
 ) -> DataFrame:
     """(relative_path, sha256, size_bytes) of every file, each path once.
 
-    Spark reads whole files as rows, one file per task slot; Spark's own
-    limit on the size of such a row (2 GB) makes a larger file fail loudly.
+    Files of at most ``as_row`` bytes are hashed as rows by Spark's own function; larger ones, of
+    any size, are streamed. Both give the SHA-256 of the whole file.
     """
     base = base.rstrip("/")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load([base if r == "." else f"{base}/{r}" for r in roots])
-    )
+    paths = [base if r == "." else f"{base}/{r}" for r in roots]
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    small = rows.filter(F.col("length") <= as_row).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    files = small.unionByName(empty_files(rows).withColumn("sha256", F.sha2(F.lit("").cast("binary"), 256)))
+    large = listed(spark, paths).filter(F.col("length") > as_row).dropDuplicates(["path"])
+    if not large.isEmpty():
+        files = files.unionByName(large.join(streamed_digests(large), "path"))
     rel = F.regexp_replace("path", r"^file:/+", "/")
     rel = F.substr(rel, F.lit(len(base) + 2))
-    named = files.select(
-        rel.alias("relative_path"), F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("size_bytes"),
-    )
+    named = files.select(rel.alias("relative_path"), "sha256", F.col("length").alias("size_bytes"))
     leaf = F.element_at(F.split("relative_path", "/"), -1)
     top = F.split("relative_path", "/")[0]
     kept = named.filter(~leaf.isin(*SKIPPED_NAMES))
