@@ -197,3 +197,49 @@ def test_empty_release(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         C.build_release(spark, str(tmp_path), ["results"])
     assert C.build_release(spark, str(tmp_path), ["results"], allow_empty=True) is None
+
+
+def test_large_csv_is_cut_between_records(spark, tmp_path):
+    """Quoted line ends, doubled quotes, stray quotes and blank lines; every cut equals the file read whole."""
+    import csv
+    import random
+
+    pick = random.Random(3)
+    (tmp_path / "r").mkdir()
+    cells = ["1.5", "", "two\nlines", 'say "so"', "a,b", "é" * 3, "\r\nx", '""']
+    for end in ("\n", "\r\n"):
+        with open(tmp_path / f"r/quoted{len(end)}.csv", "w", newline="", encoding="utf-8") as file:
+            out = csv.writer(file, lineterminator=end)
+            out.writerow(["name", "k", "k"])
+            for i in range(60):
+                out.writerow([pick.choice(cells), i, pick.choice(cells)])
+                file.write(end if i % 9 == 0 else "")
+    rows = "".join(f"x{i},5\" screen,{i}\n" for i in range(41))  # 41 quotes within fields
+    (tmp_path / "r/stray.csv").write_text("a,b,c\n" + rows + '"q\nr",1,2\n')
+    (tmp_path / "r/broken.csv").write_text("a,b\n" + "1,2\n" * 80 + "1,2,3\n" + "1,2\n" * 80)
+    (tmp_path / "r/void.csv").write_text("")
+    (tmp_path / "r/one.csv").write_text("a\n7")
+
+    def scan(split):
+        got = C.scan_result_csvs(spark, str(tmp_path), ["r"], split).collect()
+        good = sorted((r["source_csv"], r["row_no"], r["names"], r["values"]) for r in got if r["row_no"] >= 0)
+        last: dict = {}
+        for path, number, *_ in good:
+            assert number > last.get(path, -1)
+            last[path] = number
+        heads = sorted((r["source_csv"], r["names"]) for r in got if r["row_no"] < 0 and r["problem"] is None)
+        bad = sorted(r["source_csv"] for r in got if r["problem"] is not None)
+        return [(p, n, v) for p, _, n, v in good], heads, bad
+
+    whole = scan(1 << 20)
+    assert whole[2] == ["r/broken.csv", "r/void.csv"] and len(whole[0]) == 60 + 60 + 42 + 1
+    for name, end in (("r/quoted1.csv", "\n"), ("r/quoted2.csv", "\r\n")):
+        with open(tmp_path / name, newline="", encoding="utf-8") as file:
+            want = [c for c in csv.reader(file, strict=True) if c][1:]
+        found = [[v.get(n, "") for n in names] for p, names, v in whole[0] if p == name]
+        assert found == want
+    for split in (7, 64, 500):
+        assert scan(split) == whole
+    cuts = C.segments_of(C.ranges(C.listed(spark, str(tmp_path / "r"), "*.csv"), 64)).groupBy("path").count().collect()
+    cuts = {r["path"].rsplit("/", 1)[1]: r["count"] for r in cuts}
+    assert cuts["quoted1.csv"] > 5 and cuts["stray.csv"] == cuts["one.csv"] == 1

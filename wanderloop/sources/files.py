@@ -51,7 +51,7 @@ def empty_files(files: DataFrame) -> DataFrame:
     The names come from the listing that the driver holds for the reader anyway.
     """
     spark = files.sparkSession
-    names = spark.createDataFrame([(local_or_uri(unquote(p)),) for p in files.inputFiles()], "path string")
+    names = spark.createDataFrame([(local_or_uri(unquote(p)),) for p in files.inputFiles()], "path string").distinct()
     full = files.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"))
     return names.join(full, "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"))
 
