@@ -49,6 +49,46 @@ def test_npy_split_by_rows_and_columns(spark, tmp_path, order):
         assert len(tasks) == 1 if split > 1000 else len(tasks) > 4
 
 
+def test_products_at_the_source_equal_the_array_forms(spark, tmp_path):
+    from wanderloop import __main__ as cli
+    from wanderloop.operators.autocorrelation import acf_of_products, trajectory_acf
+    from wanderloop.operators.trajectory import kinematics, kinematics_of_products
+
+    rng, rows = np.random.default_rng(5), []
+    for seed, n in ((1, 60), (2, 7), (3, 1)):
+        x = np.cumsum(rng.standard_normal((n, 23)), axis=0).astype(np.float32)
+        np.save(tmp_path / f"a__b__seed{seed}.npy", x)
+        rows += [(f"a__b__seed{seed}.npy", i, v.tolist()) for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "file string, t int, x array<double>")
+
+    def table(df, *key):
+        return {tuple(r[k] for k in key): r.asDict() for r in df.collect()}
+
+    def equal(got, want, fields):
+        assert got.keys() == want.keys()
+        for k in got:
+            for f in fields:
+                a, b = got[k][f], want[k][f]
+                assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, rel=1e-9, abs=1e-9))
+
+    path = str(tmp_path / "*.npy")
+    want = table(trajectory_acf(points, ["file"], ["t"], "x", 9), "file", "lag")
+    lines = table(kinematics(points, ["file"], ["t"], "x"), "file")
+    for split in (300, 1 << 20):
+        products = npy.step_products(spark, path, 9, chunk_cols=10, split_bytes=split)
+        got = table(acf_of_products(products, ["file"], max_lag=9), "file", "lag")
+        equal(got, want, ["acf_mag", "cos_sim"])
+        ends = npy.net_displacements(spark, path, chunk_cols=10)
+        equal(table(kinematics_of_products(products, ends, ["file"]), "file"), lines,
+              ["n_points", "path_length", "net_displacement", "kinematic_R"])
+    cli.main(["acf", path, str(tmp_path / "out"), "--max-lag", "9", "--chunk-cols", "7"])
+    cli.main(["kinematics", path, str(tmp_path / "kin"), "--chunk-cols", "7"])
+    saved = {r["seed"]: r["kinematic_R"] for r in spark.read.parquet(str(tmp_path / "kin")).collect()}
+    assert saved == pytest.approx({s: lines[f"a__b__seed{s}.npy",]["kinematic_R"] for s in (1, 2, 3)})
+    assert spark.read.parquet(str(tmp_path / "out/acf")).count() == len(want)
+    assert spark.read.parquet(str(tmp_path / "out/windows")).count() == 2
+
+
 def test_digests_of_files_of_any_size(spark, tmp_path):
     """A sparse file above Spark's limit of a row, an empty one and one of just two chunks."""
     size = (3 << 30) + 5

@@ -4,6 +4,8 @@
     python -m wanderloop manifest BASE OUT
     python -m wanderloop query NAME TABLES OUT
     python -m wanderloop audit "runs/*.npy" OUT --nulls 200 --blocks 1 5 10 20 --resume
+    python -m wanderloop acf "runs/*.npy" OUT --max-lag 40
+    python -m wanderloop kinematics "runs/*.npy" OUT
 """
 
 from __future__ import annotations
@@ -42,6 +44,13 @@ def parser() -> argparse.ArgumentParser:
     audit.add_argument("--seed", type=int, default=42)
     audit.add_argument("--chunk-cols", type=int, default=50_000)
     audit.add_argument("--resume", action="store_true")
+    for name in ("acf", "kinematics"):
+        job = jobs.add_parser(name)
+        job.add_argument("pattern")
+        job.add_argument("out")
+        job.add_argument("--chunk-cols", type=int, default=50_000)
+        if name == "acf":
+            job.add_argument("--max-lag", type=int, default=40)
     return top
 
 
@@ -86,6 +95,28 @@ def run_audit(spark, args) -> None:
     )
 
 
+def run_acf(spark, args) -> None:
+    """Autocorrelation of step lengths and directions per lag, and window means, of wide trajectories."""
+    from wanderloop.operators.autocorrelation import acf_of_products, window_means
+    from wanderloop.sources.npy import step_products, with_run_keys
+
+    keys = ["arch", "optimizer", "seed"]
+    products = with_run_keys(step_products(spark, args.pattern, args.max_lag, args.chunk_cols))
+    acf_of_products(products, keys, max_lag=args.max_lag).write.mode("overwrite").parquet(f"{args.out}/acf")
+    acf = spark.read.parquet(f"{args.out}/acf")
+    window_means(acf, keys).write.mode("overwrite").parquet(f"{args.out}/windows")
+
+
+def run_kinematics(spark, args) -> None:
+    """Path length, net displacement and their ratio of wide trajectories."""
+    from wanderloop.operators.trajectory import kinematics_of_products
+    from wanderloop.sources.npy import net_displacements, step_products, with_run_keys
+
+    products = step_products(spark, args.pattern, 0, args.chunk_cols)
+    rows = kinematics_of_products(products, net_displacements(spark, args.pattern), ["file"])
+    with_run_keys(rows).drop("file").write.mode("overwrite").parquet(args.out)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = build_session(f"wanderloop-{args.job}")
@@ -108,7 +139,7 @@ def main(argv: list[str] | None = None) -> None:
         out = QUERIES[args.name](spark, args.tables)
         out.withColumn("query", F.lit(args.name)).write.mode("overwrite").parquet(args.out)
     else:
-        run_audit(spark, args)
+        {"audit": run_audit, "acf": run_acf, "kinematics": run_kinematics}[args.job](spark, args)
 
 
 if __name__ == "__main__":

@@ -112,6 +112,26 @@ def trajectory_acf(
     return join_on_keys(mags, turns, [*keys, "lag"])
 
 
+def acf_of_products(
+    products: DataFrame, keys: Sequence[str], pos: str = "pos", dots: str = "dots", max_lag: int = 40
+) -> DataFrame:
+    """``trajectory_acf`` from inner products of increments with later ones, summed over column chunks.
+
+    The points are not needed: cosines are products over lengths, and lengths are roots of products.
+    """
+    keys = list(keys)
+    lags = list(range(1, max_lag + 1))
+    sized = products.select(*keys, pos, dots, F.sqrt(F.get(dots, F.lit(0))).alias("length"))
+    paired = with_leads(sized, keys, pos, "length", lags)
+    aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
+    for i, lag in enumerate(lags):
+        cosine = F.get(dots, F.lit(lag)) / (F.col("length") * F.get("later", F.lit(i)) + EPS)
+        aggs.append(F.avg(cosine).alias(f"cos_{lag}"))
+    turns = _by_lag(paired.groupBy(*keys).agg(*aggs).withColumn("cos_0", F.lit(1.0)), keys, [0, *lags], ["cos"])
+    mags = magnitude_acf(sized.select(*keys, pos, "length"), keys, pos, "length", max_lag)
+    return join_on_keys(mags, turns.select(*keys, "lag", F.col("cos").alias("cos_sim")), [*keys, "lag"])
+
+
 def acf_statistics(acf: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean and sample deviation over seeds per lag, to four digits half-even."""
     aggs = []
@@ -151,6 +171,6 @@ def next_stage_suggested(windows: DataFrame, group: str, threshold: float = 0.10
 
 
 __all__ = [
-    "acf_statistics", "direction_acf", "magnitude_acf", "next_stage_suggested",
+    "acf_of_products", "acf_statistics", "direction_acf", "magnitude_acf", "next_stage_suggested",
     "persistence_differences", "trajectory_acf", "window_means", "with_leads",
 ]

@@ -53,6 +53,20 @@ def kinematics(df: DataFrame, keys: Sequence[str], order: Sequence[str], point:
     )
 
 
+def kinematics_of_products(
+    products: DataFrame, ends: DataFrame, keys: Sequence[str], dots: str = "dots"
+) -> DataFrame:
+    """``kinematics`` from products of increments and (keys, n_points, net_displacement); no point is read again."""
+    path = products.groupBy(*keys).agg(F.sum(F.sqrt(F.get(dots, F.lit(0)))).alias("path_length"))
+    return (
+        join_on_keys(ends, path, list(keys), "left", null_safe=True)
+        .withColumn("path_length", F.coalesce("path_length", F.lit(0.0)))
+        .withColumn(
+            "kinematic_R", F.col("path_length") / F.greatest("net_displacement", F.lit(1e-8))
+        )
+    )
+
+
 def pack_points(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], point: str, cap: int
 ) -> DataFrame:

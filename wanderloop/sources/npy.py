@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,13 +64,13 @@ def block_of(file: pa.NativeFile, h: Header, first: int, last: int, start: int,
     return np.stack([run(r * h.cols + start, stop - start) for r in range(first, last)]).astype(np.float32)
 
 
-def chunks_from(h: Header, start: int, stop: int, width: int) -> Iterator[tuple[int, int, int]]:
+def chunks_from(h: Header, start: int, stop: int, width: int, least: int = 1) -> Iterator[tuple[int, int, int]]:
     """(chunk, first row, last row) of the chunks whose first byte lies in a range of the file.
 
-    Places count in row order for files of both orders.
+    Places count in row order for files of both orders. At least ``least`` rows go together, where there are as many.
     """
     per_row = -(-h.cols // width)
-    many = max(1, BATCH_BYTES // (min(width, h.cols) * 4))
+    many = max(1, least, BATCH_BYTES // (min(width, h.cols) * 4))
     place = h.dtype.itemsize
 
     for chunk in range(per_row):
@@ -133,6 +135,71 @@ def read_npy(
     return dealt(splits, "path", "start").mapInArrow(read, SCHEMA)
 
 
+def step_products(
+    spark: SparkSession, pattern: str, max_lag: int, chunk_cols: int = 50_000, skip_side: bool = True,
+    split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
+    """(file, pos, dots): inner products of increment ``pos`` (from 1) with those 0 to ``max_lag`` later.
+
+    Partial products are formed where the file is read: a split also reads the ``max_lag + 1`` rows behind
+    its own, so no point is shuffled, only ``max_lag + 1`` sums per increment and column chunk. Products with
+    increments beyond the end are 0. A task holds about two times ``max_lag`` rows of a chunk.
+    """
+    def read(batches):
+        for batch in batches:
+            for path, start, stop in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                name = path.rsplit("/", 1)[-1]
+                with open_file(path) as file:
+                    h = header_of(file, path)
+                    for chunk, low, high in chunks_from(h, start, stop, chunk_cols, max_lag) if h.rows and h.cols else ():
+                        left = chunk * chunk_cols
+                        last = min(high + max_lag + 1, h.rows)
+                        points = block_of(file, h, low, last, left, min(left + chunk_cols, h.cols))
+                        steps = np.diff(points.astype(np.float64), axis=0)
+                        own = min(high, h.rows - 1) - low
+                        if own <= 0:
+                            continue
+                        dots = np.zeros((own, max_lag + 1))
+                        for lag in range(min(max_lag, len(steps) - 1) + 1):
+                            many = min(own, len(steps) - lag)
+                            dots[:many, lag] = np.einsum("ij,ij->i", steps[:many], steps[lag:lag + many])
+                        offsets = np.arange(own + 1, dtype=np.int32) * (max_lag + 1)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([name] * own, pa.string()), pa.array(np.arange(low + 1, low + own + 1, dtype=np.int64)),
+                                pa.ListArray.from_arrays(pa.array(offsets), pa.array(dots.ravel())),
+                            ],
+                            names=["file", "pos", "dots"],
+                        )
+
+    splits = ranges(npy_files(spark, pattern, skip_side), split_bytes).select("path", "start", "stop")
+    parts = dealt(splits, "path", "start").mapInArrow(read, "file string, pos long, dots array<double>")
+    total = vector_to_array(Summarizer.sum(array_to_vector("dots")))
+    return parts.groupBy("file", "pos").agg(total.alias("dots"))
+
+
+def net_displacements(
+    spark: SparkSession, pattern: str, chunk_cols: int = 1 << 20, skip_side: bool = True
+) -> DataFrame:
+    """(file, n_points, net_displacement): distance of the last row from the first; no other row is read."""
+    def read(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open_file(path) as file:
+                    h = header_of(file, path)
+                    square = 0.0
+                    for left in range(0, h.cols if h.rows else 0, chunk_cols):
+                        right = min(left + chunk_cols, h.cols)
+                        ends = [block_of(file, h, r, r + 1, left, right).astype(np.float64) for r in (0, h.rows - 1)]
+                        square += float(((ends[1] - ends[0]) ** 2).sum())
+                yield pa.RecordBatch.from_pylist(
+                    [{"file": path.rsplit("/", 1)[-1], "n_points": h.rows, "net_displacement": square**0.5}]
+                )
+
+    files = dealt(npy_files(spark, pattern, skip_side).select("path"), "path")
+    return files.mapInArrow(read, "file string, n_points long, net_displacement double")
+
+
 def with_run_keys(df: DataFrame, file: str = "file") -> DataFrame:
     """Architecture, optimizer and seed captured from the file name."""
     stem = F.regexp_replace(F.col(file), r"\.npy$", "")
