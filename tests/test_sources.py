@@ -89,6 +89,28 @@ def test_products_at_the_source_equal_the_array_forms(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/windows")).count() == 2
 
 
+def test_facts_of_runs_and_manifest_of_the_pool(spark, tmp_path):
+    for seed, n in ((1, 6), (2, 4)):
+        np.save(tmp_path / f"a__b__seed{seed}.npy", np.zeros((n, 3), np.float32))
+    metrics = np.random.default_rng(2).standard_normal((6, 3))
+    np.save(tmp_path / "a__b__seed1__metrics.npy", metrics)
+    path = str(tmp_path / "*.npy")
+    got = {(r["file"][10:11], r["epoch"]): r[2:] for r in npy.with_run_keys(npy.run_facts(spark, path, [2, 5, 99])).select(
+        "file", "epoch", "n_points", "d_full", "train_loss", "val_acc").collect()}
+    assert got == {
+        ("1", 2): (6, 3, *metrics[1, :2]), ("1", 5): (6, 3, *metrics[4, :2]), ("1", 6): (6, 3, *metrics[5, :2]),
+        ("2", 2): (4, 3, None, None), ("2", 4): (4, 3, None, None),
+    }
+    rows = {r["path"][-9:-4]: r for r in npy.pool_manifest(spark, path).collect()}
+    assert [(rows[s]["n_steps"], rows[s]["n_cols"], rows[s]["dtype"]) for s in ("seed1", "seed2")] == [
+        (5, 3, "float32"), (3, 3, "float32")]
+    raw = (tmp_path / "a__b__seed2.npy").read_bytes()
+    assert (rows["seed2"]["size_bytes"], rows["seed2"]["sha256"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+    np.save(tmp_path / "a__b__seed3.npy", np.zeros((2, 4), np.float32))
+    with pytest.raises(ValueError, match="3 and of 4"):
+        npy.pool_manifest(spark, path)
+
+
 def test_digests_of_files_of_any_size(spark, tmp_path):
     """A sparse file above Spark's limit of a row, an empty one and one of just two chunks."""
     size = (3 << 30) + 5

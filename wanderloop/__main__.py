@@ -108,13 +108,14 @@ def run_acf(spark, args) -> None:
 
 
 def run_kinematics(spark, args) -> None:
-    """Path length, net displacement and their ratio of wide trajectories."""
+    """Path length, net displacement, their ratio, last loss and accuracy of wide trajectories."""
     from wanderloop.operators.trajectory import kinematics_of_products
-    from wanderloop.sources.npy import net_displacements, step_products, with_run_keys
+    from wanderloop.sources.npy import net_displacements, run_facts, step_products, with_run_keys
 
     products = step_products(spark, args.pattern, 0, args.chunk_cols)
     rows = kinematics_of_products(products, net_displacements(spark, args.pattern), ["file"])
-    with_run_keys(rows).drop("file").write.mode("overwrite").parquet(args.out)
+    facts = run_facts(spark, args.pattern).select("file", "d_full", "train_loss", "val_acc")
+    with_run_keys(rows.join(facts, "file")).drop("file").write.mode("overwrite").parquet(args.out)
 
 
 def main(argv: list[str] | None = None) -> None:

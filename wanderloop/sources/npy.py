@@ -9,7 +9,7 @@ order are cut by the same places and read column by column.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wanderloop.sources.files import dealt, listed, open_file, ranges
+from wanderloop.sources.manifests import streamed_digests
 
 SCHEMA = "file string, t int, chunk_id int, vals array<float>"
 # Pattern of trajectory names and suffix of side files.
@@ -52,16 +53,18 @@ def header_of(file: pa.NativeFile, path: str) -> Header:
     return Header(*shape, fortran, dtype, file.tell())
 
 
-def block_of(file: pa.NativeFile, h: Header, first: int, last: int, start: int, stop: int) -> np.ndarray:
-    """Rows ``first`` to ``last``, columns ``start`` to ``stop``, as float32."""
+def block_of(
+    file: pa.NativeFile, h: Header, first: int, last: int, start: int, stop: int, kind: type = np.float32
+) -> np.ndarray:
+    """Rows ``first`` to ``last``, columns ``start`` to ``stop``, as ``kind``."""
     def run(place: int, many: int) -> np.ndarray:
         return np.frombuffer(file.read_at(many * h.dtype.itemsize, h.offset + place * h.dtype.itemsize), h.dtype)
 
     if h.fortran:
-        return np.stack([run(c * h.rows + first, last - first) for c in range(start, stop)], axis=1).astype(np.float32)
+        return np.stack([run(c * h.rows + first, last - first) for c in range(start, stop)], axis=1).astype(kind)
     if start == 0 and stop == h.cols:
-        return run(first * h.cols, (last - first) * h.cols).reshape(last - first, h.cols).astype(np.float32)
-    return np.stack([run(r * h.cols + start, stop - start) for r in range(first, last)]).astype(np.float32)
+        return run(first * h.cols, (last - first) * h.cols).reshape(last - first, h.cols).astype(kind)
+    return np.stack([run(r * h.cols + start, stop - start) for r in range(first, last)]).astype(kind)
 
 
 def chunks_from(h: Header, start: int, stop: int, width: int, least: int = 1) -> Iterator[tuple[int, int, int]]:
@@ -200,6 +203,65 @@ def net_displacements(
     return files.mapInArrow(read, "file string, n_points long, net_displacement double")
 
 
+def run_facts(spark: SparkSession, pattern: str, prefixes: Sequence[int] = ()) -> DataFrame:
+    """(file, epoch, n_points, d_full, train_loss, val_acc) of every trajectory, at its end and at given epochs.
+
+    Loss and accuracy are the first two columns of the side file beside it, at the row of the epoch;
+    NULL where there is no side file, column or row. Epochs beyond a trajectory's end give no row.
+    """
+    asked = sorted(set(prefixes))
+
+    def read(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open_file(path) as file:
+                    h = header_of(file, path)
+                epochs = [e for e in asked if 0 < e < h.rows] + [h.rows]
+                known: dict[int, list[float]] = {}
+                try:
+                    with open_file(path.removesuffix(".npy") + f"{SIDE_SUFFIX}.npy") as side:
+                        m = header_of(side, path)
+                        for e in epochs:
+                            at = m.rows if e == h.rows else e
+                            if 0 < at <= m.rows:
+                                known[e] = block_of(side, m, at - 1, at, 0, min(m.cols, 2), np.float64)[0].tolist()
+                except FileNotFoundError:
+                    pass
+                for e in epochs:
+                    loss, acc = (known.get(e, []) + [None, None])[:2]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([path.rsplit("/", 1)[-1]]), pa.array([e], pa.int64()), pa.array([h.rows], pa.int64()),
+                            pa.array([h.cols], pa.int64()), pa.array([loss], pa.float64()), pa.array([acc], pa.float64()),
+                        ],
+                        names=["file", "epoch", "n_points", "d_full", "train_loss", "val_acc"],
+                    )
+
+    files = dealt(npy_files(spark, pattern).select("path"), "path")
+    return files.mapInArrow(
+        read, "file string, epoch long, n_points long, d_full long, train_loss double, val_acc double"
+    )
+
+
+def pool_manifest(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, n_rows, n_cols, dtype, n_steps, size_bytes, sha256) of the files whose increments form a pool.
+
+    Files of different widths cannot share a pool: an error names both widths.
+    """
+    heads = npy_headers(spark, pattern)
+    least, most = heads.agg(F.min("n_cols"), F.max("n_cols")).first()
+    if least != most:
+        raise ValueError(f"increments of {least} and of {most} columns cannot share a pool")
+    files = npy_files(spark, pattern)
+    return (
+        heads.join(streamed_digests(files), "path").join(files, "path")
+        .select(
+            "path", "n_rows", "n_cols", "dtype", F.greatest(F.col("n_rows") - 1, F.lit(0)).alias("n_steps"),
+            F.col("length").alias("size_bytes"), "sha256",
+        )
+    )
+
+
 def with_run_keys(df: DataFrame, file: str = "file") -> DataFrame:
     """Architecture, optimizer and seed captured from the file name."""
     stem = F.regexp_replace(F.col(file), r"\.npy$", "")
