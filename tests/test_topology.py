@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
 from brute import h1_bars_by_matrix_reduction
@@ -68,6 +71,39 @@ def test_many_open_classes_use_more_than_one_word():
     assert np.allclose(np.array(got), np.array(want))
 
 
+def test_many_classes_stay_small_in_memory():
+    """Rows of classes for each pair took 8 bytes a word of 64 open classes: gigabytes at 1,000 points."""
+    d = T.point_distances(np.random.default_rng(6).standard_normal((500, 64)))
+    tracemalloc.start()
+    births, _ = T.h1_bars(d, d.max())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(births) > 900 and most < 40 << 20
+
+
+def test_a_cloud_of_many_classes_takes_seconds():
+    d = T.point_distances(np.random.default_rng(6).standard_normal((700, 64)))
+    start = time.process_time()
+    T.h1_bars(d, d.max())
+    assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_shortest_paths_of_sparse_and_dense_graphs(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((130, 3 + seed))
+    x = x.cumsum(axis=0) if seed % 2 else x
+    w = T.grow_graph(T.point_distances(x), 3, 3)[0]
+    want = w.copy()
+    np.fill_diagonal(want, 0.0)
+    for m in range(len(w)):
+        want = np.minimum(want, want[:, m, None] + want[None, m])
+    by_points = T.eliminated(w, len(w))
+    for got in (T.shortest_paths(w), T.blocked_paths(w), by_points):
+        assert np.allclose(got, want, rtol=1e-12) and (got == got.T).all()
+    assert T.eliminated(w, 2) is None
+
+
 def test_censored_bar_counts_to_the_cut():
     d = T.point_distances(polygon(30))
     end = T.filtration_end(d, 40.0)
