@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,6 +13,7 @@ from wanderloop.operators import autocorrelation as A
 from wanderloop.operators import roles as R
 from wanderloop.operators import summaries as S
 from wanderloop.operators.decisions import component_null_count
+from wanderloop.plans.catalogue import ORACLES, QUERIES
 from wanderloop.sources import result_csv as C
 
 
@@ -243,3 +245,21 @@ def test_large_csv_is_cut_between_records(spark, tmp_path):
     cuts = C.segments_of(C.ranges(C.listed(spark, str(tmp_path / "r"), "*.csv"), 64)).groupBy("path").count().collect()
     cuts = {r["path"].rsplit("/", 1)[1]: r["count"] for r in cuts}
     assert cuts["quoted1.csv"] > 5 and cuts["stray.csv"] == cuts["one.csv"] == 1
+
+
+def test_means_on_the_limit_equal_sql(spark, tmp_path):
+    """Values of two digits whose mean is the limit: the order of the sum decides."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for user in range(300):
+        v = np.round(rng.uniform(20, 60, int(rng.integers(3, 12))), 2)
+        rows += [(user, float(x)) for x in [*v, round(50.0 * (len(v) + 1) - float(v.sum()), 2)]]
+    rows = [(i, *rows[k]) for i, k in enumerate(rng.permutation(len(rows)).tolist())]
+    events = [(i, user, "click", value) for i, user, value in rows]
+    df = spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double")
+    df.repartition(7, "value").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT * FROM read_parquet(?) ORDER BY event_id", [str(tmp_path / "events.parquet" / "*.parquet")])
+    want = set(con.execute(ORACLES["pivot_first_stability"]).fetchall())
+    assert {tuple(r) for r in QUERIES["pivot_first_stability"](spark, str(tmp_path)).collect()} == want
+    assert len({r[1] for r in want}) == 2

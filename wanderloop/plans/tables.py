@@ -11,7 +11,7 @@ from wanderloop.functions.columns import (
 from wanderloop.operators.quantiles import group_summary, join_on_keys, median_and_mad
 from wanderloop.operators.ranks import kendall, kendall_p_column, kendall_tau_b, spearman, spearman_p_column
 from wanderloop.operators.summaries import (
-    budget_maxima, decision_pivot, first_cut, grid_arrays, left_join_suffixed, methods_long,
+    budget_maxima, decision_pivot, first_cut, grid_arrays, left_join_suffixed, mean_above, methods_long,
     union_by_name,
 )
 from wanderloop.plans.registry import query, table
@@ -292,9 +292,7 @@ def mean_std_round(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM cells GROUP BY user_id""",
 )
 def pivot_first_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(
-        (F.avg("value") > 50).alias("fired")
-    )
+    cells = mean_above(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", "value", 50.0, "fired")
     points = [["click"], ["error"], ["purchase"], ["signup"], ["view"]]
     return decision_pivot(cells, ["user_id"], ["event_type"], points, "fired", "decision_stable")
 
