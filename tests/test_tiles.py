@@ -184,3 +184,27 @@ def test_profile_query_by_small_factors(spark, sf_dir, monkeypatch):
     want = {tuple(r) for r in QUERIES["pca_profile"](spark, sf_dir).collect()}
     monkeypatch.setattr(geometry, "MAX_POINTS", 5)
     assert {tuple(r) for r in QUERIES["pca_profile"](spark, sf_dir).collect()} == want
+
+
+def dealt_copies(cut):
+    """Tiles sent out per tile of ``cut`` by one pass over all squares."""
+    def count(s):
+        yield tiles.arrow(path=[s.path], i=[s.i], j=[s.j])
+
+    squares = tiles.over_squares(cut, count, "path long, i long, j long")
+    found = [tuple(r) for r in squares.collect()]
+    n = cut.tiles.count()
+    assert len(found) == len(set(found)) == cut.pairs
+    return sum(-(-int(r["tiles"]) // cut.group) * int(r["tiles"]) for r in cut.tiles.groupBy("path").agg(F.count("tile").alias("tiles")).collect()) / n
+
+
+def test_a_tile_goes_to_a_bounded_number_of_tasks(spark):
+    """Four times as many points are dealt four times as often in all, not sixteen times; each square is met once."""
+    def path(n):
+        df = spark.range(n).select(F.lit(0).alias("k"), F.col("id").alias("at"), F.array(F.rand(1), F.rand(2)).alias("point"))
+        return tiles.tiled(df, ["k"], ["at"], "point", tile=2)
+
+    short, long = path(200), path(800)
+    assert dealt_copies(long) <= 1.1 * dealt_copies(short)
+    d = tiles.distance_profile(long).first()
+    assert d["n_pairs"] == 800 * 799 // 2
