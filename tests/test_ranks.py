@@ -114,3 +114,14 @@ def test_tau_of_a_million_rows(spark):
     all_of = R.kendall(df, ["k"], "x", "y", 200_000).first()
     few = np.array([tuple(r) for r in df.select("x", "y").filter("x * 1000 - floor(x * 1000) < 0.003").collect()])
     assert all_of["n"] == 1_000_000 and abs(all_of["tau"] - slow_tau(few[:, 0], few[:, 1])) < 0.03
+
+
+def test_slices_of_long_columns_stay_small():
+    """54 million pairs were cut into slices of two million, of which an executor holds four."""
+    from wanderloop.config import DEFAULT_GROUP_ROWS
+    from wanderloop.operators import ranks
+
+    for pairs in (1, 9_000_000, 54_000_000):
+        slices = ranks.slice_count(pairs, DEFAULT_GROUP_ROWS)
+        assert pairs / slices <= 1 << 19
+    assert ranks.slice_count(100, 16) == 13

@@ -19,6 +19,8 @@ from wanderloop.operators.trajectory import key_fields
 # A grid of settings is a list the sweep's author wrote; pairs inside it are
 # formed within one row and must stay few.
 MAX_GRID = 1024
+# Distinct pairs of a slice or bucket, which a Python task sorts bit by bit: some 100 MB.
+SLICE_PAIRS = 1 << 19
 
 
 def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
@@ -108,11 +110,11 @@ def _count_inversions(rows: DataFrame, part: str, keys: Sequence[str], order: Se
         now, held = None, []
 
         def close() -> pa.RecordBatch:
-            x, y, w = (np.concatenate([h[1].column(n + 1 + k).to_numpy(zero_copy_only=False) for h in held]) for k in range(3))
+            x, y, w = (np.concatenate([h[1 + k] for h in held]) for k in range(3))
             rank = np.empty(len(x), np.int64)
             rank[np.lexsort((x, y))] = np.arange(len(x))
             return pa.RecordBatch.from_arrays(
-                [*(held[0][1].column(k).slice(0, 1) for k in range(n)), pa.array([str(inversions(rank, w))])], names=schema.names
+                [*held[0][0], pa.array([str(inversions(rank, w))])], names=schema.names
             )
 
         for batch in batches:
@@ -124,7 +126,10 @@ def _count_inversions(rows: DataFrame, part: str, keys: Sequence[str], order: Se
                         yield close()
                         held = []
                     now = lead[low]
-                    held.append((now, batch.slice(low, high - low)))
+                    # The numbers alone; of the keys one row.
+                    part = batch.slice(low, high - low)
+                    one = [] if held else [column.take(pa.array([low])) for column in batch.columns[:n]]
+                    held.append((one, *(part.column(n + 1 + k).to_numpy(zero_copy_only=False).copy() for k in range(3))))
         if held:
             yield close()
 
@@ -148,6 +153,11 @@ def _crossing(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cells.groupBy(*keys).applyInPandas(run, schema)
 
 
+def slice_count(pairs: int, rows: int) -> int:
+    """Slices of at most half of ``rows`` and of what a Python task should hold."""
+    return max(1, math.ceil(pairs / max(1, min(rows // 2, SLICE_PAIRS))))
+
+
 def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str, rows: int | None = None) -> DataFrame:
     """(keys, n, tau): tau-b of two columns per group, for groups of any size.
 
@@ -167,7 +177,7 @@ def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str, rows: int | None
     pairs = settled(
         df.filter(fine(x) & fine(y)).select(*keys, value(x, "_x"), value(y, "_y")).groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
     )
-    slices = max(1, math.ceil(2 * pairs.count() / (rows or group_rows(df.sparkSession))))
+    slices = slice_count(pairs.count(), rows or group_rows(df.sparkSession))
     cut = settled(pairs.repartitionByRange(slices, *keys, "_x", "_y").withColumn("_s", F.spark_partition_id()))
     cut = settled(cut.repartitionByRange(slices, *keys, "_y", "_x").withColumn("_b", F.spark_partition_id()))
     cells = cut.groupBy(*keys, "_s", "_b").agg(F.sum("_w").alias("_w"))
