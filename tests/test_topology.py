@@ -104,6 +104,54 @@ def test_shortest_paths_of_sparse_and_dense_graphs(seed):
     assert T.eliminated(w, 2) is None
 
 
+def permuted_walk(n: int, dim: int, seed: int) -> np.ndarray:
+    steps = np.random.default_rng(seed).standard_normal((n, dim))
+    return (steps - steps.mean(axis=0)).cumsum(axis=0)
+
+
+def test_edges_behind_the_last_bar_are_not_sorted(monkeypatch):
+    d = T.point_distances(permuted_walk(500, 2, 3))
+    made = []
+    extend = T.Filtration.extend
+    monkeypatch.setattr(T.Filtration, "extend", lambda self: (extend(self), made.append(len(self.length))))
+    births, deaths = T.h1_bars(d, d.max())
+    assert len(births) > 50 and np.isfinite(deaths).all() and made[-1] < 500 * 499 / 2 / 3
+    # No batch, guess or part changes the bars.
+    for batch in (64, 100_000):
+        again = T.h1_bars(d, d.max(), batch, lambda i, j: np.zeros(len(i), dtype=np.int64))
+        assert sorted(zip(*again)) == sorted(zip(births, deaths))
+
+
+@pytest.mark.parametrize("kind", ["copies", "grid", "walk"])
+def test_bars_of_ties_and_copies_over_more_than_a_word(kind):
+    rng = np.random.default_rng(11)
+    x = {
+        "copies": np.repeat(rng.standard_normal((24, 3)), 3, axis=0), "grid": rng.integers(0, 6, (70, 2)).astype(float),
+        "walk": permuted_walk(70, 2, 8),
+    }[kind]
+    d = T.point_distances(x)
+    want = h1_bars_by_matrix_reduction(d, d.max())
+    for batch in (7, 2048):
+        assert np.allclose(np.array(sorted(zip(*T.h1_bars(d, d.max(), batch)))), np.array(want).reshape(-1, 2))
+
+
+@pytest.mark.parametrize("pct", [None, 99.0, 95.0, 70.0, 30.0])
+def test_percentiles_are_left_out_only_where_they_cut_nothing(pct):
+    for seed in range(12):
+        x = permuted_walk(40, 1 + seed % 4, seed) if seed % 3 else np.random.default_rng(seed).standard_normal((40, 3))
+        d = T.point_distances(x)
+        births, deaths = T.h1_bars(d, T.filtration_end(d, pct))
+        want = (np.minimum(deaths, T.filtration_end(d, pct)) - births).max() if births.size else 0.0
+        assert T.max_h1_lifetime(d, pct) == want
+
+
+def test_graph_without_sorting_keeps_ties_in_order():
+    for x in (np.random.default_rng(2).integers(0, 3, (60, 2)).astype(float), permuted_walk(60, 3, 1)):
+        d = T.point_distances(x)
+        for k in (1, 4, 12, 59):
+            assert (T.nearest_graph(d, k) == T.knn_graph(d, T.neighbour_order(d), k)).all()
+
+
 def test_censored_bar_counts_to_the_cut():
     d = T.point_distances(polygon(30))
     end = T.filtration_end(d, 40.0)
