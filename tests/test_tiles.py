@@ -95,6 +95,30 @@ def test_growth_and_locality(cut, k0, kmax):
             assert found == value or abs(found - value) < 1e-9, (key, field.name, found, value)
 
 
+def test_ways_on_sparse_graphs_make_no_tiles(cut, monkeypatch):
+    by_tiles = tiles.shortest_paths
+    monkeypatch.setattr(tiles, "HELD", 0)
+    want = by_key(tiles.geodesic_rows(cut, 2, 9))
+    monkeypatch.undo()
+    monkeypatch.setattr(tiles, "shortest_paths", lambda *_: pytest.fail("ways of a sparse graph in tiles"))
+    got = by_key(tiles.geodesic_rows(cut, 2, 9))
+    assert by_tiles is not tiles.shortest_paths and set(got) == set(want)
+    for k in want:
+        a, b = (sorted((r["t"], r["k_used"], r["mean_geodesic"], r["max_geodesic"]) for r in x[k]) for x in (got, want))
+        assert [r[:2] for r in a] == [r[:2] for r in b]
+        assert np.allclose(np.array(a, dtype=float), np.array(b, dtype=float), rtol=1e-12, equal_nan=True)
+
+
+@pytest.mark.parametrize("walk", [True, False])
+def test_ways_from_some_points(walk):
+    x = np.random.default_rng(4).normal(size=(150, 3))
+    w = topology.grow_graph(direct(x.cumsum(axis=0) if walk else x), 3, 50)[0]
+    rows, others = np.nonzero(np.isfinite(w) & ~np.eye(len(w), dtype=bool))
+    start = np.searchsorted(rows, np.arange(len(w) + 1))
+    got = topology.ways_from(np.arange(20, 60), start, others, w[rows, others])
+    assert np.allclose(got.T, topology.shortest_paths(w)[20:60], rtol=1e-12)
+
+
 def test_shortest_paths(spark):
     cut = tiles.tiled(points(spark), ["k"], ["at"], "point", tile=24)
     got = by_key(tiles.geodesic_rows(cut, 2, 9))
