@@ -58,6 +58,36 @@ def test_profile_of_all_pairs(cut):
         assert np.allclose([r["d_min"], r["d_mean"], r["d_median"], r["d_max"]], [d.min(), d.mean(), np.median(d), d.max()], rtol=1e-12, atol=0)
 
 
+def test_digits_are_counted_once_for_all_quantiles(cut, monkeypatch):
+    """Twelve ranks of two families ask for few different digits, not for twelve times as many."""
+    asked = []
+    over = tiles.over_squares
+
+    def counted(t, fn, schema, info=None, own=None, **more):
+        if own is not None:
+            asked.append(max(len(r["own"]) // 4 for r in own.collect()))
+        return over(t, fn, schema, info, own, **more)
+
+    monkeypatch.setattr(tiles, "over_squares", counted)
+    sizes = cut.paths.select("path", (F.col("n_points") * (F.col("n_points") - 1) / 2).cast("long").alias("n0")).withColumn("n1", F.col("n0"))
+    found = cut.named(tiles.quantiles(cut, sizes.filter("n0 > 0"), (0.5, 0.5, 0.5), lambda s: [tiles.all_pairs(s)[0]] * 2, (0, 1)))
+    assert asked[0] == 2 and max(asked) <= 4
+    for k, rows in by_key(found).items():
+        x = clouds()[k]
+        want = np.median(direct(x)[np.triu_indices(len(x), 1)])
+        assert len(rows) == 2 and all(np.allclose([r["q0"], r["q1"], r["q2"]], want, rtol=1e-12) for r in rows)
+
+
+def test_points_in_single_precision_travel_as_such(spark):
+    df = points(spark)
+    short = tiles.tiled(df.withColumn("point", F.col("point").cast("array<float>")), ["k"], ["at"], "point", tile=8, chunk_cols=2)
+    assert dict(short.tiles.dtypes)["block"] == "array<float>"
+    got = by_key(tiles.distance_profile(short))
+    for k, x in clouds().items():
+        d = direct(x.astype(np.float32).astype(float))[np.triu_indices(len(x), 1)]
+        assert np.allclose([got[k][0]["d_mean"], got[k][0]["d_median"]], [d.mean(), np.median(d)], rtol=1e-12, atol=0)
+
+
 def test_sums_of_points(cut):
     got = by_key(cut.named(tiles.point_sums(cut)))
     for k, x in clouds().items():
