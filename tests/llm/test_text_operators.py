@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from wanderloop.llm import bpe, disclosure, fingerprints, lm, mixing, quality
 from wanderloop.llm.additive import fit_additive
-from wanderloop.llm.attention import Attention, AttentionParams, blocks_of
+from wanderloop.llm.attention import Attention, AttentionParams, blocks_of, pack
 from wanderloop.llm.boosting import BoostParams, fit_trees
 from wanderloop.llm.docstats import FALLING, FEATURES, text_stats
 from wanderloop.llm.queries import ORACLES, QUERIES
@@ -407,6 +407,31 @@ def test_lm_scores_with_light_words_joined(spark, odd_docs, no_docs, monkeypatch
     assert lm.lm_scores(no_docs, path, p=p).collect() == []
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_lm_beats_word_counts_on_held_out_texts(spark, size):
+    rows = QUERIES["op3_lm_scoring"](spark, f"/root/testdata/{size}").filter("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.1 * sum(r.n_tokens for r in rows)
+
+
+def test_lm_words_share_their_class_by_counts(spark, odd_docs, no_docs, monkeypatch):
+    """A model that gives each class its share scores like the base, but for one unknown word per last byte."""
+    monkeypatch.setattr(lm, "LISTED", 4)
+    monkeypatch.setattr(lm, "learn", lambda texts, classes, share, p: pack(
+        {k: np.zeros(n, np.float32) if k != "bias" else np.log(np.maximum(share, 1e-9)).astype(np.float32) for k, n in p.attention.shapes.items()}))
+    p = lm.LmParams(attention=AttentionParams(classes=6, width=4, block=3), alone=3)
+    for heavy in (300_000, 3):  # almost every word is light with 3
+        monkeypatch.setattr(lm, "HEAVY", heavy)
+        rows = lm.lm_scores(odd_docs, p=p).collect()
+        words = [(r.doc_id, lm.words_of((r.text or "").encode())) for r in odd_docs.select("doc_id", "text").collect()]
+        learnt = Counter(w for i, ws in words if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*ws, b"\n"])
+        n, v = sum(learnt.values()), len(learnt)
+        assert len(rows) == len(words) and rows[0].train_tokens == n
+        for r in rows:
+            extra = r.n_tokens * (math.log10(n + v + 256) - math.log10(n + v + 1))
+            assert r.score == pytest.approx(r.base_score - extra, rel=1e-5, abs=1e-5)
+    assert lm.lm_scores(no_docs, p=p).collect() == []
+
+
 def test_pipeline_stages(spark, sf_dir, no_docs):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, rows = docs.columns, docs
