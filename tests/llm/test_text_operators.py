@@ -13,6 +13,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from wanderloop.llm import bpe, disclosure, fingerprints, lm, mixing, quality
 from wanderloop.llm.additive import fit_additive
-from wanderloop.llm.attention import Attention, AttentionParams, blocks_of, pack
+from wanderloop.llm.attention import Attention, AttentionParams, blocks_of, first_weights, pack
 from wanderloop.llm.boosting import BoostParams, fit_trees
 from wanderloop.llm.docstats import FALLING, FEATURES, text_stats
 from wanderloop.llm.queries import ORACLES, QUERIES
@@ -368,6 +369,52 @@ def test_attention_gradients_and_scores():
     assert -(logs * real).sum() / real.sum() == pytest.approx(loss, rel=1e-4)
 
 
+def test_adaptive_softmax_of_attention():
+    """Probabilities of all classes add up to one, gradients are those of the loss, and the bias starts at the shares."""
+    p, rng = AttentionParams(classes=9, width=4, block=3, cuts=(3, 5)), np.random.default_rng(0)
+    w = {k: rng.standard_normal(s) * 0.5 for k, s in p.shapes.items()}
+    windows, targets, real, _ = blocks_of([rng.integers(0, 9, n).astype(np.uint8) for n in (1, 7, 40)], p)
+    g, loss = Attention(w, p).gradients(windows, targets, real)
+    for k in w:
+        for _ in range(5):
+            at, e = tuple(rng.integers(0, s) for s in w[k].shape), 1e-4
+            w[k][at] += e
+            up = Attention(w, p).gradients(windows, targets, real)[1]
+            w[k][at] -= 2 * e
+            down = Attention(w, p).gradients(windows, targets, real)[1]
+            w[k][at] += e
+            assert g[k][at] == pytest.approx((up - down) / 2 / e, abs=1e-4)
+    model = Attention({k: v.astype(np.float32) for k, v in w.items()}, p)
+    assert -(model.log_probs(windows, targets) * real).sum() / real.sum() == pytest.approx(loss, rel=1e-4)
+    every = sum(np.exp(model.log_probs(windows, np.full_like(targets, c))) for c in range(9))
+    assert every[real] == pytest.approx(1, abs=1e-5)
+    share = np.array([0.3, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05])
+    flat = {k: np.zeros(n, np.float32) for k, n in p.shapes.items()} | {"bias": first_weights(p, share)["bias"]}
+    logs = Attention(flat, p).log_probs(windows, targets)
+    assert np.exp(logs[real]) == pytest.approx(share[targets[real]], rel=1e-5)
+
+
+def test_words_of_many_texts_at_once():
+    texts = [None, "", " ", "a\x0bb\x0cc\x1cd\x85e g\xa0h \t\r\nI \xc4B", "  X  y", "z\x00q", *[f"u{chr(i)}V" for i in range(128)]]
+    for column in (pa.array(texts), pa.array(texts).slice(3, 20)):
+        want = [lm.words_of((t or "").encode()) for t in column.to_pylist()]
+        words, sizes = lm.words_in(column)
+        assert words.to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == [len(ws) for ws in want]
+        assert lm.last_bytes(words).tolist() == [w[-1] for ws in want for w in ws]
+
+
+def test_lm_repeated_rows_score_alike_and_texts_are_split_twice_at_most(spark, odd_docs, monkeypatch):
+    """Also where nearly all words are joined; no round of training and no scoring looks at texts again."""
+    monkeypatch.setattr(lm, "HEAVY", 3)
+    seen = []
+    for name in ("word_rows", "coded_rows"):
+        monkeypatch.setattr(lm, name, lambda *a, f=getattr(lm, name), name=name: seen.append(name) or f(*a))
+    rows = lm.lm_scores(odd_docs.unionAll(odd_docs), p=lm.LmParams(rounds=2, least_steps=2)).collect()
+    assert seen == ["word_rows", "coded_rows"]
+    found = Counter(tuple(r)[:6] for r in rows)
+    assert len(rows) == 2 * odd_docs.count() and all(n % 2 == 0 for n in found.values())
+
+
 def test_lm_scores_on_the_tables(spark, sf_dir):
     texts = texts_of(spark, sf_dir)
     word = re.compile(rb"[^\x20\x09-\x0D]+")
