@@ -33,7 +33,7 @@ def rows_of(df):
     return sorted((tuple(plain(v) for v in r) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("name", ["h1_max_lifetime", "h1_diagram", "top_h1_bar", "full_audit_geo", "block_robustness", "projection_max_test", "archetype_decisions", "loop_control", "h1_diagram", "top_h1_bar", "full_audit_geo", "block_robustness", "projection_max_test", "archetype_decisions"])
+@pytest.mark.parametrize("name", ["h1_max_lifetime", "h1_diagram", "top_h1_bar", "full_audit_geo", "block_robustness", "projection_max_test", "archetype_decisions", "loop_control", "h1_diagram", "top_h1_bar", "full_audit_geo", "block_robustness", "projection_max_test", "archetype_decisions", "loop_control"])
 def test_queries_give_the_same_rows_for_long_labels(spark, long_dir, monkeypatch, name):
     # Loops have steps of equal length, so that rounding chooses among neighbours; and a short label that is null has no rows.
     kept, most = ("label IS NOT NULL", (0.05, 0.02)) if name == "loop_control" else ("true", (1e-4, 1e-5))
