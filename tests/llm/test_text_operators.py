@@ -491,3 +491,32 @@ def test_pipeline_stages(spark, sf_dir, no_docs):
             assert not any(slow_spans(r.text) for r in rows.collect())
         assert name == "encoding" or rows.columns == columns
     assert rows.filter("n_tokens <> size(ids)").count() == 0
+
+
+def test_lm_spells_unknown_words(spark, odd_docs, no_docs, monkeypatch):
+    """Every unknown word of a text is scored by its subwords, as often as it stands there; all else scores as before."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    p = lm.LmParams(rounds=1, least_steps=2)
+    plain = sorted((tuple(r)[:6] for r in lm.lm_scores(odd_docs, p=p).collect()), key=str)
+    rows = lm.lm_scores(odd_docs, p=p, spell_path=path).collect()
+    assert rows[0].__fields__[-1] == "spelling_score" and sorted((tuple(r)[:6] for r in rows), key=str) == plain
+    assert all((r.spelling_score < 0) == (r.n_known < r.n_tokens) for r in rows)
+    assert all(r.spelling_score == 0 for r in rows if not r.held_out)
+
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    learnt = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2)
+    docs = spark.createDataFrame(
+        [(learnt, "one two three"), (held, "one zebra"), (held, "zebra two zebra qqxz"), (held, "qqxz"), (held, "two")], "doc_id long, text string"
+    )
+    for heavy in (300_000, 1):
+        monkeypatch.setattr(lm, "HEAVY", heavy)
+        got = {r.n_tokens - r.n_known if r.held_out else -1: r.spelling_score for r in lm.lm_scores(docs, p=p, spell_path=path).collect()}
+        one = {r.n_tokens: r.spelling_score for r in lm.lm_scores(docs, p=p, spell_path=path).filter("held_out and n_tokens - n_known = 1").collect()}
+        assert got[-1] == got[0] == 0 and got[3] == pytest.approx(2 * one[3] + one[2], rel=1e-6)
+    assert lm.lm_scores(no_docs, p=p, spell_path=path).collect() == []
+
+
+def test_lm_query_spells_unknown_words(spark, sf_dir):
+    rows = QUERIES["op3_lm_scoring"](spark, sf_dir).filter("held_out").collect()
+    assert any(r.n_known < r.n_tokens for r in rows)
+    assert all((r.spelling_score < 0) == (r.n_known < r.n_tokens) for r in rows)
